@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, url_filter
+from quern.llm import chat_format, decontaminate, url_filter
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -42,6 +42,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
+
+
 def labelled_urls(pages: DataFrame) -> DataFrame:
     """URLs labelled by words in their host: 1 if it has a word of BAD_HOST_WORDS between dots and hyphens, else 0."""
     words = F.split(url_filter.host_of(F.col("url")), "[.-]")
@@ -55,6 +61,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
 }
 
