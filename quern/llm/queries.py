@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, decontaminate, url_filter
+from quern.llm import chat_format, decontaminate, pieces, top_k, url_filter
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -17,6 +17,8 @@ URL_RULES = [
 ]
 BAD_HOST_WORDS = ["adult", "porn", "casino", "poker", "bets", "pills", "viagra", "spam", "ads", "warez", "torrent"]
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -59,10 +61,22 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, url_filter.fit(labelled_urls(pages)))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(model)
+    done = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op8_top_k": op8_top_k,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
