@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, decontaminate, pieces, top_k, toxicity, url_filter
+from quern.llm import chat_format, decontaminate, html_extract, pieces, top_k, toxicity, url_filter
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -54,6 +54,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
@@ -84,6 +88,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op8_top_k": op8_top_k,
