@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, decontaminate, html_extract, pieces, top_k, toxicity, url_filter
+from quern.llm import chat_format, decontaminate, html_extract, pieces, pii, top_k, toxicity, url_filter
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -75,6 +75,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, url_filter.fit(labelled_urls(pages)))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, trusted=pii.patterns(docs))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written_spans(F.col("base")), 256).alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op7_pii": op7_pii,
     "op8_top_k": op8_top_k,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -73,3 +73,26 @@ def jaccard_components(docs, n=5, share=75):
                 a, b = root(doc), root(sets[j][0])
                 parent[max(a, b)] = min(a, b)
     return [(doc, len(s), root(doc)) for doc, s in sets]
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def personal(text):
+    """(start, rank, end) of the base patterns."""
+    text = text or ""
+    out = []
+    for rank, p in enumerate((EMAIL, IP, CARD, PHONE)):
+        for m in p.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = [True, rank == 1 and all(int(x) <= 255 for x in m.group().split(".")), 14 <= len(digits) <= 19 and luhn(digits), 10 <= len(digits) <= 15][rank]
+            if good:
+                out.append((m.start(), rank, m.end()))
+    return sorted(out)
