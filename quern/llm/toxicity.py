@@ -27,19 +27,17 @@ SEGMENT = 48  # words of a training sequence
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
 
-def features(words: Words) -> np.ndarray:
-    """(1 + len(PREFIXES), words): the hash of each feature, 0 where a word is too short for it."""
-    out = np.zeros((1 + len(PREFIXES), len(words.hashes)), np.uint64)
-    out[0] = words.hashes
+def features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of words, hashes) for each kind of feature in turn: the word itself, then each prefix of words that long."""
+    yield np.arange(len(words.hashes)), words.hashes
     total, size = np.zeros(len(words.hashes), np.uint64), words.end - words.begin
     live, begin = np.arange(len(words.hashes)), words.begin
     for k in range(max(PREFIXES)):
         keep = size[live] > k
-        live, begin = live[keep], begin[keep]
-        total[live] += TERMS.value[words.data[begin + k]] * _UP[k]
+        live, begin, total = live[keep], begin[keep], total[keep]
+        total += TERMS.value[words.data[begin + k]] * _UP[k]
         if k + 1 in PREFIXES:
-            out[1 + PREFIXES.index(k + 1), live] = mix(total[live] + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64))
-    return out
+            yield live, mix(total + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64))
 
 
 @dataclass
@@ -86,8 +84,7 @@ class Field:
 
     def events(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(places, weights) of words that have a feature of the table."""
-        found = features(words)
-        pairs = [self.table.find(h) for h in found]
+        pairs = [(live[p], t) for live, h in features(words) for p, t in [self.table.find(h)]]
         places = np.concatenate([p for p, _ in pairs])
         if not len(places):
             return places, np.zeros(0)
@@ -145,26 +142,29 @@ def summed(words: Words, at: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _train_field(words: Words, toxic: np.ndarray, share: np.ndarray, least: int, odds: float, rounds: int, most: int = 8000) -> Field:
     """toxic, share: each document's label and weight."""
-    found = features(words)
-    doc = np.repeat(np.arange(len(toxic)), np.diff(words.first))
-    # Documents that have a feature, by label.
-    places = [np.flatnonzero(h) for h in found]
-    hashes = np.concatenate([h[p] for h, p in zip(found, places, strict=True)])
-    kinds, number = np.unique(hashes, return_inverse=True)
-    number = np.split(number, np.cumsum([len(p) for p in places])[:-1])
-    ones, zeros = np.zeros(len(kinds)), np.zeros(len(kinds))
-    for p, n in zip(places, number, strict=True):
-        pair = np.unique(n.astype(np.int64) * len(toxic) + doc[p])
-        y = toxic[pair % max(len(toxic), 1)]
-        ones += np.bincount(pair // max(len(toxic), 1), y, len(kinds))
-        zeros += np.bincount(pair // max(len(toxic), 1), 1 - y, len(kinds))
-    points = np.log((ones + 0.5) / (toxic.sum() + 1)) - np.log((zeros + 0.5) / ((1 - toxic).sum() + 1))
-    good = np.flatnonzero((ones >= least) & (points >= odds))
-    good = good[np.argsort(-points[good] * np.sqrt(ones[good]), kind="stable")][:most]
-    of = np.full(len(kinds), -1)
-    of[good] = np.arange(len(good))
-    at = np.concatenate([p[of[n] >= 0] for p, n in zip(places, number, strict=True)])
-    which = np.concatenate([of[n][of[n] >= 0] for n in number])
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(words.first))
+    kinds, value, at, which, n = [], [], [], [], 0
+    for places, hashes in features(words):  # documents that have a feature, by label
+        seen, number = np.unique(hashes, return_inverse=True)
+        pair = np.unique(number * max(len(toxic), 1) + doc[places])
+        label = toxic[pair % max(len(toxic), 1)]
+        pair //= max(len(toxic), 1)
+        ones, zeros = np.bincount(pair, label, len(seen)), np.bincount(pair, 1 - label, len(seen))
+        points = np.log((ones + 0.5) / (toxic.sum() + 1)) - np.log((zeros + 0.5) / ((1 - toxic).sum() + 1))
+        good = np.flatnonzero((ones >= least) & (points >= odds))
+        of = np.full(len(seen), -1)
+        of[good] = n + np.arange(len(good))
+        hit = of[number] >= 0
+        at.append(places[hit])
+        which.append(of[number[hit]])
+        kinds.append(seen[good])
+        value.append(points[good] * np.sqrt(ones[good]))
+        n += len(good)
+    kinds, value, at, which = (np.concatenate(x) for x in (kinds, value, at, which))
+    best = np.argsort(-value, kind="stable")[:most]
+    to = np.full(n, -1)
+    to[best] = np.arange(len(best))
+    kinds, at, which = kinds[best], at[to[which] >= 0], to[which][to[which] >= 0]
     tagged = np.zeros(len(doc))
     tagged[at] = 1
     tagged *= toxic[doc]
@@ -182,7 +182,7 @@ def _train_field(words: Words, toxic: np.ndarray, share: np.ndarray, least: int,
     use = row_of[at] >= 0
     at, which = row_of[at[use]], which[use]
     y = np.where(inside, tagged[grid], 0.0)
-    w, bias, moves = np.zeros(len(good)), -4.0, np.zeros((2, 2))
+    w, bias, moves = np.zeros(len(kinds)), -4.0, np.zeros((2, 2))
     moves[1, 1] = 0.5
     sizes = [w.size, 1, 4]
     theta, m, v = np.concatenate([w, [bias], moves.ravel()]), np.zeros(sum(sizes)), np.zeros(sum(sizes))
@@ -191,45 +191,40 @@ def _train_field(words: Words, toxic: np.ndarray, share: np.ndarray, least: int,
     before = np.c_[np.zeros(len(y)), y[:, :-1]]
     seen = np.array([[((before == a) & (y == b) & inside).astype(float).sum(1) @ weight for b in (0, 1)] for a in (0, 1)])
     for t in range(1, rounds + 1):
-        w, bias, moves = theta[: len(good)], theta[len(good)], theta[len(good) + 1 :].reshape(2, 2)
+        w, bias, moves = theta[: len(kinds)], theta[len(kinds)], theta[len(kinds) + 1 :].reshape(2, 2)
         local = bias + np.bincount(at, w[which], y.size).reshape(y.shape)
         p, pairs = _dense(local, moves, inside, weight)
         error = (y - p) * inside * weight[:, None]
-        up = np.concatenate([np.bincount(which, error.ravel()[at], len(good)), [error.sum()], (seen - pairs).ravel()]) * scale * 1000
+        up = np.concatenate([np.bincount(which, error.ravel()[at], len(kinds)), [error.sum()], (seen - pairs).ravel()]) * scale * 1000
         up -= 0.02 * (theta - prior)
         m, v = 0.8 * m + 0.2 * up, 0.98 * v + 0.02 * up**2
         theta = theta + 0.25 * (m / (1 - 0.8**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)
-    return Field(Table(kinds[good], theta[: len(good)]), float(theta[len(good)]), theta[len(good) + 1 :].reshape(2, 2))
+    return Field(Table(kinds, theta[: len(kinds)]), float(theta[len(kinds)]), theta[len(kinds) + 1 :].reshape(2, 2))
 
 
 def _dense(local: np.ndarray, moves: np.ndarray, inside: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 and the weighted sums of expected moves, for sequences side by side."""
+    """Marginals of state 1 and the weighted sums of expected moves, for sequences side by side.
+
+    Two states need only the ratio of the second's to the first's message.
+    """
     n, size = local.shape
-    move = np.exp(moves)
-    own = np.exp(np.clip(local, -30, 30))
-    ahead, back = np.empty((size, n, 2)), np.empty((size, n, 2))
-    now = np.tile([1.0, 0.0], (n, 1))
+    (m00, m01), (m10, m11) = np.exp(moves)
+    own, real = np.exp(np.clip(np.ascontiguousarray(local.T), -30, 30)), np.ascontiguousarray(inside.T)
+    ahead, back = np.zeros((size + 1, n)), np.ones((size + 1, n))
     for t in range(size):
-        step = now @ move
-        step[:, 1] *= own[:, t]
-        step /= step.sum(1, keepdims=True)
-        now = np.where(inside[:, t, None], step, now)
-        ahead[t] = now
-    now = np.ones((n, 2))
+        r = ahead[t]
+        ahead[t + 1] = np.where(real[t], own[t] * (m01 + m11 * r) / (m00 + m10 * r), r)
     for t in range(size - 1, -1, -1):
-        back[t] = now
-        new = (now * np.c_[np.ones(n), own[:, t]]) @ move.T
-        now = np.where(inside[:, t, None], new / new.sum(1, keepdims=True), now)
-    both = ahead * back
-    p = (both[:, :, 1] / both.sum(2)).T
+        x = own[t] * back[t + 1]
+        back[t] = np.where(real[t], (m10 + m11 * x) / (m00 + m01 * x), back[t + 1])
+    odds = ahead[1:] * back[1:]
     pairs = np.zeros((2, 2))
-    last = np.tile([1.0, 0.0], (n, 1))
     for t in range(size):
-        joint = last[:, :, None] * move * (back[t] * np.c_[np.ones(n), own[:, t]])[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        pairs += np.einsum("n,nij->ij", weight * inside[:, t], joint)
-        last = ahead[t]
-    return p, pairs
+        x, r = own[t] * back[t + 1], ahead[t]
+        w = weight * real[t] / (m00 + m01 * x + m10 * r + m11 * r * x)
+        wr, wx = w * r, w * x
+        pairs += [[m00 * w.sum(), m01 * wx.sum()], [m10 * wr.sum(), m11 * (wr @ x)]]
+    return (odds / (1 + odds)).T, pairs
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -265,7 +260,7 @@ def _part(words: Words, docs: np.ndarray) -> Words:
     return Words(words.hashes[pick], first, words.begin[pick], words.end[pick], words.data)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 2500, least: int = 8, odds: float = 2.0, rounds: int = 60, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, least: int = 8, odds: float = 2.0, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on documents with a label where learn (a condition on id_col) holds.
 
     At most `most` ids of each label are taken, the first in the order of their hash; weights make up for that. Null ids,
