@@ -260,7 +260,7 @@ def _part(words: Words, docs: np.ndarray) -> Words:
     return Words(words.hashes[pick], first, words.begin[pick], words.end[pick], words.data)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, least: int = 8, odds: float = 2.0, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, least: int = 8, odds: float = 2.0, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on documents with a label where learn (a condition on id_col) holds.
 
     At most `most` ids of each label are taken, the first in the order of their hash; weights make up for that. Null ids,
