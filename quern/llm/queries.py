@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, decontaminate, html_extract, pieces, pii, top_k, toxicity, url_filter
+from quern.llm import chat_format, decontaminate, html_extract, jaccard, pieces, pii, top_k, toxicity, url_filter
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -86,6 +86,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(model)
     done = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op7_pii": op7_pii,
     "op8_top_k": op8_top_k,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
