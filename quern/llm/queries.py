@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, decontaminate, html_extract, jaccard, pieces, pii, top_k, toxicity, url_filter
+from quern.llm import chat_format, decontaminate, html_extract, jaccard, pieces, pii, recompress, top_k, toxicity, url_filter
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -75,6 +75,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, url_filter.fit(labelled_urls(pages)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, trusted=pii.patterns(docs))
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_top_k": op8_top_k,
     "op9_jaccard_join": op9_jaccard_join,
