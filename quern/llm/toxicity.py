@@ -294,15 +294,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, lea
     return ToxicityModel(_train_field(words, y, even, least, odds, rounds), _logistic(x, y, true))
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id_col, score, predicted, spans) for every row.
+def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, others: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *others, score, predicted, spans) for every row.
 
     score: 0 to 1, from the whole text; null and empty texts have the score of a text without words. spans: words whose
     marginal reaches the threshold, neighbours joined: code points, end exclusive, with their highest marginal. Repeated
-    rows are scored each; other columns are not carried.
+    rows are scored each; columns that others doesn't list are not carried.
     """
-    df = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    schema = T.StructType([df.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T._parse_datatype_string(SPANS))])
+    df = docs.select(F.col(id_col).alias(id_col), *[F.col(c).alias(f"_{c}") for c in others], F.col(text_col).alias("text"))
+    schema = T.StructType([df.schema[id_col], *[T.StructField(c, docs.schema[c].dataType) for c in others], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T._parse_datatype_string(SPANS))])
     sent = df.sparkSession.sparkContext.broadcast(model)  # a bounded table of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
                                 spans[d].append({"start": a, "end": b, "probability": float(p[i])})
                             last = w
                 scores = own.score(words, at, p)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=[id_col, "score", "predicted", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), *[part.column(f"_{c}") for c in others], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
