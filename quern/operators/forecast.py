@@ -51,7 +51,7 @@ def climatology_cells(train: DataFrame, least: int = 1) -> DataFrame:
     t = train.where("value is not null").select("station_id", F.month("ts").alias("month"), F.hour("ts").alias("hour"), "value")
     t.createOrReplaceTempView("_climatology")
     return t.sparkSession.sql(
-        "SELECT station_id, CASE grouping_id(month, hour) WHEN 0 THEN 'month_hour' WHEN 2 THEN 'hour' WHEN 1 THEN 'month' ELSE 'global' END AS level, month, hour,"
+        "SELECT station_id, CASE grouping_id(station_id, month, hour) WHEN 0 THEN 'month_hour' WHEN 2 THEN 'hour' WHEN 1 THEN 'month' ELSE 'global' END AS level, month, hour,"
         " avg(value) AS mean, median(value) AS median, count(*) AS n FROM _climatology"
         " GROUP BY GROUPING SETS ((station_id, month, hour), (station_id, hour), (station_id, month), (station_id))"
     )

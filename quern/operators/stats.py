@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d", order: str = "ts") -> DataFrame:
@@ -64,12 +65,12 @@ def t_two_sided(t: float, df: float) -> float:
     return front * _betacf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _betacf(b, a, 1 - x) / b
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b < 1 else t_two_sided(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2))).astype("float64")
 
@@ -82,7 +83,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
     s = x.groupBy(*keys).agg(F.count_if(group).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("_r"))).alias("r1"), F.sum(F.pow("_same", F.lit(2.0)) - 1).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)), F.lit(0.0))))
     z = (F.abs(u - n1 * n2 / 2) - 0.5) / F.nullif(sd, F.lit(0.0))
     return s.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"))
 

@@ -8,12 +8,19 @@ from quern.operators import forecast as fc, grid, merge, metrics, nowcast as nc,
 from quern.plans.registry import PANEL, query
 from quern.sources import tables as src
 
-T, SQL_T = F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "strftime(ts, '%Y-%m-%d %H:%M') AS ts"
-LEVEL = F.floor(F.col("value") / 50)
+SQL_T = "strftime(ts, '%Y-%m-%d %H:%M') AS ts"
 DAYS = 3  # of the same-hour means on a panel of a month
 THRESHOLD = 50.0
 
 
+def hour():
+    return F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts")
+
+
+def level():
+    return F.floor(F.col("value") / 50)
+
+
 def r(column: str, digits: int = 5):
     return F.round(column, digits).alias(column)
 
@@ -28,7 +35,7 @@ def train_block(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {PANEL} SELECT station_id, {SQL_T}, round(value, 5) AS value FROM panel")
 def hourly_regrid(spark: SparkSession, sf: str) -> DataFrame:
-    return src.hourly_panel(spark, sf).select("station_id", T, r("value"))
+    return src.hourly_panel(spark, sf).select("station_id", hour(), r("value"))
 
 
 @query("SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -67,27 +74,27 @@ masks AS (SELECT *, q1 OR q2 OR q3 AS masked FROM (SELECT *, f IS NOT NULL AND c
 
 
 def masks(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.row_masks(src.hourly_panel(spark, sf), 0.0, 300.0, LEVEL, 3, 6)
+    return qc.row_masks(src.hourly_panel(spark, sf), 0.0, 300.0, level(), 3, 6)
 
 
 @query(f"WITH {MASKS} SELECT station_id, {SQL_T}, round(value, 5) AS value FROM masks WHERE q1")
 def q1_range(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.flag_range(src.hourly_panel(spark, sf), 0.0, 300.0).where("q1").select("station_id", T, r("value"))
+    return qc.flag_range(src.hourly_panel(spark, sf), 0.0, 300.0).where("q1").select("station_id", hour(), r("value"))
 
 
 @query(f"WITH {MASKS} SELECT station_id, {SQL_T} FROM masks WHERE q2")
 def q2_flatline(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.flag_flatline(src.hourly_panel(spark, sf), LEVEL, 3).where("q2").select("station_id", T)
+    return qc.flag_flatline(src.hourly_panel(spark, sf), level(), 3).where("q2").select("station_id", hour())
 
 
 @query(f"WITH {MASKS} SELECT station_id, {SQL_T} FROM masks WHERE q3")
 def q3_zero_run(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.flag_zero_run(src.hourly_panel(spark, sf), LEVEL, 6).where("q3").select("station_id", T)
+    return qc.flag_zero_run(src.hourly_panel(spark, sf), level(), 6).where("q3").select("station_id", hour())
 
 
 @query(f"WITH {MASKS} SELECT station_id, {SQL_T}, masked, CASE WHEN NOT masked THEN round(value, 5) END AS kept FROM masks")
 def qc_row_mask_union(spark: SparkSession, sf: str) -> DataFrame:
-    return masks(spark, sf).select("station_id", T, "masked", F.when(~F.col("masked"), F.round("value", 5)).alias("kept"))
+    return masks(spark, sf).select("station_id", hour(), "masked", F.when(~F.col("masked"), F.round("value", 5)).alias("kept"))
 
 
 @query(f"WITH {MASKS} SELECT station_id, count(*) AS n_grid, count(value) AS n_before, count(value) FILTER (WHERE NOT masked) AS n_after, count(*) FILTER (WHERE q1) AS n_q1, count(*) FILTER (WHERE q2) AS n_q2, count(*) FILTER (WHERE q3) AS n_q3, count(*) FILTER (WHERE masked) AS n_masked FROM masks GROUP BY 1")
@@ -216,7 +223,7 @@ MERGED = f"{PANEL}, merged AS (SELECT coalesce(p.ts, s.ts) AS ts, p.value AS p,
 
 @query(f"WITH {MERGED} SELECT {SQL_T}, round(coalesce(p, s), 5) AS value, CASE WHEN p IS NOT NULL THEN 's3' WHEN s IS NOT NULL THEN 's4' ELSE '' END AS source FROM merged")
 def merge_precedence(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.merge_feeds(src.hourly_panel(spark, sf), "s3", "s4").select(T, r("value"), "source")
+    return merge.merge_feeds(src.hourly_panel(spark, sf), "s3", "s4").select(hour(), r("value"), "source")
 
 
 @query(f"WITH {MERGED}, d AS (SELECT *, abs(p - s) AS d FROM merged) SELECT count(p) AS n_primary, count(s) AS n_secondary, count(d) AS n_overlap, count(*) FILTER (WHERE p IS NULL AND s IS NOT NULL) AS n_filled, count(coalesce(p, s)) AS n_merged, round(100 * avg(CAST(d < 5 AS INT)), 5) AS pct_agree, round(median(d), 5) AS median_diff, round(quantile_cont(d, 0.95), 5) AS p95_diff, round(max(d), 5) AS max_diff FROM d")
@@ -230,7 +237,7 @@ def feed_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return merge.agreement_by(merge.merge_feeds(src.hourly_panel(spark, sf), "s3", "s4"), F.dayofmonth("ts"), 5.0).select("period", "n", r("pct_agree"))
 
 
-@query(f"WITH {PANEL} SELECT city, station_id AS \"primary\", count(value) AS n FROM panel JOIN stations USING (station_id) GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY city ORDER BY count(value) DESC, station_id) = 1")
+@query(f"WITH {PANEL} SELECT city, station_id AS \"primary\", count(value) AS n FROM panel JOIN stations USING (station_id) GROUP BY city, station_id QUALIFY row_number() OVER (PARTITION BY city ORDER BY count(value) DESC, station_id) = 1")
 def choose_primary(spark: SparkSession, sf: str) -> DataFrame:
     return merge.choose_primary(src.hourly_panel(spark, sf).join(F.broadcast(src.stations(spark)), "station_id"))
 
@@ -273,7 +280,7 @@ def asof(hours: int) -> str:
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return df.select("station_id", T, r("value"), r("pred"))
+    return df.select("station_id", hour(), r("value"), r("pred"))
 
 
 SHOW = f"SELECT station_id, {SQL_T}, round(value, 5) AS value, round(pred, 5) AS pred FROM"
@@ -335,7 +342,7 @@ def climatology_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PANEL}, {CLIMATE} SELECT station_id, {SQL_T}, round(pred, 5) AS pred, cell_source FROM clim JOIN blocks ON b = 'test' AND ts BETWEEN x AND y")
 def climatology_forecast(spark: SparkSession, sf: str) -> DataFrame:
     panel = src.hourly_panel(spark, sf)
-    return fc.climatology(test_block(panel), train_block(panel)).select("station_id", T, r("pred"), "cell_source")
+    return fc.climatology(test_block(panel), train_block(panel)).select("station_id", hour(), r("pred"), "cell_source")
 
 
 LADDER = f"""{PANEL}, {CLIMATE}, preds AS (
@@ -414,12 +421,12 @@ def pool_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DONORS} SELECT station_id, {SQL_T}, round(v, 5) AS pred FROM donors WHERE rank = 1")
 def nearest_monitor(spark: SparkSession, sf: str) -> DataFrame:
-    return nc.nearest(test_donors(spark, sf)).select("station_id", T, r("pred"))
+    return nc.nearest(test_donors(spark, sf)).select("station_id", hour(), r("pred"))
 
 
 @query(f"WITH {DONORS} SELECT station_id, {SQL_T}, round(sum(v / km ** 2) / sum(1 / km ** 2), 5) AS pred FROM donors WHERE rank <= 5 GROUP BY station_id, donors.ts")
 def idw_k5_p2(spark: SparkSession, sf: str) -> DataFrame:
-    return nc.idw(test_donors(spark, sf)).select("station_id", T, r("pred"))
+    return nc.idw(test_donors(spark, sf)).select("station_id", hour(), r("pred"))
 
 
 @query(f"WITH {DISTANCES} SELECT a.station_id AS a, b.station_id AS b, round(any_value(km), 4) AS km, round(0.5 * avg((a.value - b.value) ** 2), 4) AS gamma, count(*) AS n FROM train a JOIN train b ON a.ts = b.ts AND a.station_id < b.station_id JOIN dist ON dist.station_id = a.station_id AND donor = b.station_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10")
@@ -441,7 +448,7 @@ def kriged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ordinary_kriging(spark: SparkSession, sf: str) -> DataFrame:
-    return kriged(spark, sf).select("station_id", T, r("pred"), "fallback")
+    return kriged(spark, sf).select("station_id", hour(), r("pred"), "fallback")
 
 
 @query()

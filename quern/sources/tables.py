@@ -12,10 +12,10 @@ STATIONS = [
 ZONE = "Asia/Tashkent"
 
 #: A location record of the ingestion source; unknown fields are ignored.
-LOCATION = T.StructType.fromDDL(
-    "id bigint, name string, locality string, timezone string, country struct<id:int,code:string,name:string>, provider struct<id:int,name:string>,"
-    "isMobile boolean, isMonitor boolean, sensors array<struct<id:bigint,name:string,parameter:struct<id:int,name:string,units:string>>>,"
-    "coordinates struct<latitude:double,longitude:double>, datetimeFirst struct<utc:string>, datetimeLast struct<utc:string>"
+LOCATION = (
+    "id:bigint, name:string, locality:string, timezone:string, country:struct<id:int,code:string,name:string>, provider:struct<id:int,name:string>,"
+    "isMobile:boolean, isMonitor:boolean, sensors:array<struct<id:bigint,name:string,parameter:struct<id:int,name:string,units:string>>>,"
+    "coordinates:struct<latitude:double,longitude:double>, datetimeFirst:struct<utc:string>, datetimeLast:struct<utc:string>"
 )
 
 
@@ -36,7 +36,7 @@ def no_nans(df: DataFrame) -> DataFrame:
 
 def locations(spark: SparkSession, path: str) -> DataFrame:
     """Census rows from documents that hold records under `results`."""
-    records = spark.read.schema(T.StructType([T.StructField("results", T.ArrayType(LOCATION))])).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
+    records = spark.read.schema(f"results array<struct<{LOCATION}>>").option("multiLine", True).json(path).select(F.explode("results").alias("r"))
     pm = F.filter("r.sensors", lambda s: s["parameter"]["name"] == "pm25")
     first, last = F.to_timestamp("r.datetimeFirst.utc"), F.to_timestamp("r.datetimeLast.utc")
     days = (F.unix_timestamp(last) - F.unix_timestamp(first)) / 86400
