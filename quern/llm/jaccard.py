@@ -4,8 +4,8 @@
    and need no comparison. The same pass counts shingles in a fixed number of cells, over all documents.
 2. Shingles are ordered rarest first: by their cell's count, then by hash, which is the same order for all. Two sets that are
    alike share a shingle among their first n - ceil(share * n) + 1. Those entries are dealt by shingle.
-3. In each group of entries the class whose entry stands first in its own order is the hub (what it shares comes earliest, so
-   it has least of its own). Pairs of hub and member pass the length and the position filter; a pair is verified once.
+3. In each group of entries the class that has least of its own (the most common prefix) is the hub. Pairs of hub and member
+   pass the length and the position filter; a pair is verified once.
 4. Links make components. Then all pairs of a group that lie in different components, pass the filters and haven't been
    verified are verified as well: links inside a component can add nothing, so no link between components is lost.
 
@@ -52,11 +52,6 @@ def cell_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def least_overlap(n: Column, m: Column, share: int) -> Column:
-    """The least number of common shingles of two alike sets."""
-    return F.ceil(share * (n + m) / F.lit(100.0 + share) - 1e-9)
-
-
 def _rows(docs: DataFrame, n: int) -> DataFrame:
     """(id, n, key) by document, and in further rows (block, cells): parts of the counters."""
 
@@ -99,74 +94,107 @@ def _rarity(rows: DataFrame) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, n: int, share: int, rarity: np.ndarray) -> DataFrame:
-    """(h, key, n, pos) for each shingle of each class's prefix; copies in one slice give one class's entries once."""
+    """(h, key, n << 32 | pos, own) for each shingle of each class's prefix; copies in one slice give one class's entries once.
+
+    own: how much of its own a class has, from 0: less for one whose prefix is made of shingles that many have.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 seen: set[int] = set()
-                out: list[tuple[np.ndarray, int, int]] = []
+                out: list[tuple[np.ndarray, int, int, int]] = []
                 for own in shingle_sets(words_of(part.column("text"), LOWERED), n):
                     if not len(own) or (key := class_key(own)) in seen:
                         continue
                     seen.add(key)
                     size = len(own) - -(-len(own) * share // 100) + 1
-                    order = np.lexsort((own, sent.value[cell_of(own)]))[:size]
-                    out.append((own[order], key, len(own)))
+                    counts = sent.value[cell_of(own)]
+                    order = np.lexsort((own, counts))[:size]
+                    out.append((own[order], key, len(own), int(1000 * (32 - np.log2(counts[order].astype(np.float64)).mean()))))
                 if out:
                     sizes = np.array([len(x[0]) for x in out])
                     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out]).astype(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out]), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), sizes)), pa.array(place.astype(np.int32))],
-                        names=["h", "key", "n", "pos"],
-                    )
+                    by_class = [np.repeat(np.array([x[i] for x in out], np.int64), sizes) for i in (1, 2, 3)]
+                    cols = [np.concatenate([x[0] for x in out]).astype(np.int64), by_class[0], (by_class[1] << 32) | place, by_class[2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "key", "place", "own"])
 
-    return docs.mapInArrow(run, "h long, key long, n int, pos int")
+    return docs.mapInArrow(run, "h long, key long, place long, own long")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of shingles that several classes have, each with the group's hub (the first by position, then class).
+def _grouped(entries: DataFrame, share: int) -> DataFrame:
+    """Two kinds of rows from entries dealt by shingle.
 
-    Groups go by in a stream of sorted rows: a task holds a few rows, however large a group is.
+    (key, hub): a member of a group and its hub, the class with least of its own, where they pass the filters. A class that much
+    is shared with is the hub of all its groups, so its family's pairs are the same in each. (h, key, place): the members but
+    the hub of groups with two such at least, for the pairs among them. Groups go by in a stream of sorted rows: a task holds
+    a few rows, however large a group is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: tuple[int, ...] | None = None  # of the group that goes on
-        told, last = False, None  # whether its own row is out; the last row's class
+        hub = (0, 0, 0)  # h, class and place of the group that goes on
+        count, first_member, last = -1, (0, 0), None  # its members so far (-1: no group), the first of them, the last class
         for batch in batches:
-            h, key, n, pos = (batch.column(i).to_numpy() for i in range(4))
+            h, key, place = (batch.column(i).to_numpy() for i in range(3))
             if not len(h):
                 continue
-            new = np.r_[hub is None or h[0] != hub[0], h[1:] != h[:-1]]
-            again = ~new & np.r_[key[0] == last, key[1:] == key[:-1]]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            old = first < 0
-            hubs = [np.where(old, hub[i] if hub else 0, x[np.maximum(first, 0)]) for i, x in enumerate((h, key, n, pos))]
-            use = ~new & ~again
-            members = np.flatnonzero(use)
-            heads = np.unique(first[members][first[members] >= 0])
-            carried = hub is not None and not told and bool((use & old).any())
-            whole = lambda c, x, y: np.concatenate([np.array([c] if carried else [], np.int64), x[heads].astype(np.int64), y[members].astype(np.int64)])  # noqa: B023, E731
-            own = hub or (0,) * 4
-            cols = [whole(c, x, x) for c, x in zip(own, (h, key, n, pos), strict=True)]
-            cols += [whole(c, x, y) for c, x, y in zip(own[1:], (key, n, pos), hubs[1:], strict=True)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "key", "n", "pos", "hub", "hub_n", "hub_pos"])
-            told = told or carried
-            if first[-1] >= 0:
-                at = first[-1]
-                hub, told = (int(h[at]), int(key[at]), int(n[at]), int(pos[at])), bool(at in heads)
+            new = np.r_[count < 0 or h[0] != hub[0], h[1:] != h[:-1]]
+            again = ~new & np.r_[last is not None and key[0] == last, key[1:] == key[:-1]]
+            member = ~new & ~again
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            old = begin < 0
+            hub_key, hub_place = (np.where(old, hub[i], x[np.maximum(begin, 0)]) for i, x in ((1, key), (2, place)))
+            total = np.cumsum(member)
+            order = total - np.where(old, -max(count, 0), total[np.maximum(begin, 0)])  # 1 for a group's first member
+            at = np.flatnonzero(member)
+            pair = at[can_be_alike(place[at] >> 32, place[at] & LOW, hub_place[at] >> 32, hub_place[at] & LOW, share)]
+            many = at[order[at] >= 2]
+            second = at[order[at] == 2]  # now the first member of the group counts too
+            before = np.searchsorted(at, second) - 1
+            carried = (before < 0) | old[second] & (count >= 1)
+            firsts = [np.where(carried, f, x[at[np.maximum(before, 0)]]) for f, x in zip(first_member, (key, place), strict=True)] if len(second) else [np.zeros(0, np.int64)] * 2
+            none, size = pa.nulls(len(pair), pa.int64()), len(second) + len(many)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([none, pa.array(h[second]), pa.array(h[many])]), pa.array(np.concatenate([key[pair], firsts[0], key[many]])),
+                    pa.concat_arrays([none, pa.array(firsts[1].astype(np.int64)), pa.array(place[many])]), pa.concat_arrays([pa.array(hub_key[pair]), pa.nulls(size, pa.int64())]),
+                ],
+                names=["h", "key", "place", "hub"],
+            )
+            if begin[-1] >= 0:
+                hub, count = (int(h[begin[-1]]), int(key[begin[-1]]), int(place[begin[-1]])), 0
+            own = at[(begin[at] == begin[-1])]
+            if len(own) and count <= 0:
+                first_member = (int(key[own[0]]), int(place[own[0]]))
+            count += len(own)
             last = key[-1]
 
-    dealt = entries.repartition("h").sortWithinPartitions("h", "pos", "key")
-    return dealt.mapInArrow(run, "h long, key long, n long, pos long, hub long, hub_n long, hub_pos long")
+    dealt = entries.repartition("h").sortWithinPartitions("h", "own", "key").select("h", "key", "place")
+    return dealt.mapInArrow(run, "h long, key long, place long, hub long")
+
+
+LOW = (1 << 32) - 1  # of a place: the position; above: the size of the set
+
+
+def can_be_alike(n, pos, m, at, share: int):
+    """Length and position filter for two entries of one shingle, on columns or arrays.
+
+    For the first common shingle nothing before is common, so what is left bounds the overlap.
+    """
+    if isinstance(n, Column):
+        low, high, rest = F.least(n, m), F.greatest(n, m), F.least(n - pos, m - at)
+    else:
+        low, high, rest = np.minimum(n, m), np.maximum(n, m), np.minimum(n - pos, m - at)
+    return (100 * low >= share * high) & ((100 + share) * rest >= share * (n + m))
+
+
+SENT = 1_000_000  # rows of keys that are broadcast; more are joined by shuffle
 
 
-def _can_be_alike(n: Column, pos: Column, m: Column, at: Column, share: int) -> Column:
-    """Length and position filter for two entries of one shingle; for the first common shingle nothing before is common."""
-    rest = F.least(n - pos, m - at)
-    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= least_overlap(n, m, share))
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows: some pairs of integers each."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFrame:
@@ -195,10 +223,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFram
                     counts = [np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % PARTS, minlength=PARTS), 2**16 - 1).astype(np.uint16).tobytes() for x in found.values()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(counts, pa.binary()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["key", "parts", "grams"])
 
-    sets = docs.mapInArrow(run, "key long, parts binary, grams binary").groupBy("key").agg(F.first("parts").alias("parts"), F.first("grams").alias("grams"))
-    sets = written(sets, "shingle-sets")
+    raw = written(docs.mapInArrow(run, "key long, parts binary, grams binary"), "shingle-sets")  # copies once for each task
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
+        sets = raw.groupBy("key").agg(F.first(column).alias(column))
         one, two = (sets.select(F.col("key").alias(k), F.col(column).alias(f"{k}_{column}")) for k in "ab")
         return pairs.join(two, "b").join(one, "a")
 
@@ -220,7 +248,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFram
                 kept.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    near = joined(pairs, "parts").mapInArrow(suffix, "a long, b long")
+    near = written(joined(pairs, "parts").mapInArrow(suffix, "a long, b long"), "near")
     return joined(near, "grams").select("a", "b", "a_grams", "b_grams").mapInArrow(exact, "a long, b long")
 
 
@@ -263,20 +291,21 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
     rows = written(_rows(df, n), "shingles")
     rarity = _rarity(rows)
     own = rows.where("block is null").select("id", "n", "key")
-    shared = written(_shared(_entries(texts, n, share, rarity)), "shared")
+    grouped = written(_grouped(_entries(texts, n, share, rarity), share), "grouped")
     a, b = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
-    star = shared.where(F.col("key") != F.col("hub")).where(_can_be_alike(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), share)).select(a, b).distinct()
-    star = written(star, "pairs")
+    star = written(grouped.where("hub is not null").select(a, b).distinct(), "pairs")
     links = written(_verified(texts, star, n, share), "links")
     tied = written(components(links), "components")
 
-    # What is left: pairs of one group that lie in different components.
-    placed = shared.select("h", "key", "n", "pos").join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    placed = written(placed.join(mixed, "h"), "mixed")
-    other = placed.select("h", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "pos", "component")])
-    cross = placed.join(other, "h").where((F.col("key") < F.col("key2")) & (F.col("component") != F.col("component2")) & _can_be_alike(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), share))
-    cross = written(cross.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    # What is left: pairs of other members of a group that lie in different components.
+    places = grouped.where("h is not null").select("h", "key", "place").join(small(tied.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = written(places.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h"), "mixed")
+    places = written(places.join(small(mixed), "h", "left_semi"), "places")
+    other = places.select("h", *[F.col(c).alias(f"{c}2") for c in ("key", "place", "component")])
+    size, at = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(LOW))
+    alike = can_be_alike(size("place"), at("place"), size("place2"), at("place2"), share)
+    cross = places.join(other, "h").where((F.col("key") < F.col("key2")) & (F.col("component") != F.col("component2")) & alike)
+    cross = written(cross.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(small(star), ["a", "b"], "left_anti"), "pairs")
     if not cross.isEmpty():
         links = written(links.unionByName(_verified(texts, cross, n, share)), "links")
         tied = written(components(links), "components")
