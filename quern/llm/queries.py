@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm import chat_format, decontaminate, html_extract, jaccard, pieces, pii, recompress, top_k, toxicity, url_filter
+from quern.llm.oracles import ORACLES  # noqa: F401
 
 # Rules of the URL query, and host words that label URLs for its trees.
 URL_RULES = [
@@ -112,5 +113,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
-
-ORACLES: dict[str, str] = {}
