@@ -1,4 +1,4 @@
 """Registered queries of the station operators."""
 
-from quern.plans import daily, hourly  # noqa: F401
+from quern.plans import daily, extras, hourly  # noqa: F401
 from quern.plans.registry import ORACLES, QUERIES  # noqa: F401
