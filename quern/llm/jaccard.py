@@ -189,6 +189,27 @@ def can_be_alike(n, pos, m, at, share: int):
     return (100 * low >= share * high) & ((100 + share) * rest >= share * (n + m))
 
 
+CLASSES = 8  # of sizes, from share * n to n
+
+
+def _across(places: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) that share a shingle, pass the filters and lie in different components.
+
+    One of a pair lies outside of its group's main component, and only those are paired, with members of the sizes that what
+    follows their entry leaves room for. So a large family that is tied together already costs its size, not its square.
+    """
+    size, at = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(LOW))
+    step = float(np.log(100 / share) / CLASSES)
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
+    classes = F.sequence(class_of(size("place")) - CLASSES - 1, class_of(size("place")) + CLASSES + 1)
+    room = (100.0 + share) * (size("place") - at("place")) / share - size("place")  # the largest partner
+    one = places.where(F.col("component") != F.col("main")).select("h", "key", "place", "component", F.explode(F.filter(classes, lambda c: F.exp(c * step) <= room + 1)).alias("class"))
+    two = places.select("h", class_of(size("place")).alias("class"), *[F.col(c).alias(f"{c}2") for c in ("key", "place", "component")])
+    alike = can_be_alike(size("place"), at("place"), size("place2"), at("place2"), share)
+    found = one.join(two, ["h", "class"]).where((F.col("component") != F.col("component2")) & alike)
+    return found.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
 SENT = 1_000_000  # rows of keys that are broadcast; more are joined by shuffle
 
 
@@ -299,13 +320,11 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
 
     # What is left: pairs of other members of a group that lie in different components.
     places = grouped.where("h is not null").select("h", "key", "place").join(small(tied.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = written(places.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h"), "mixed")
-    places = written(places.join(small(mixed), "h", "left_semi"), "places")
-    other = places.select("h", *[F.col(c).alias(f"{c}2") for c in ("key", "place", "component")])
-    size, at = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(LOW))
-    alike = can_be_alike(size("place"), at("place"), size("place2"), at("place2"), share)
-    cross = places.join(other, "h").where((F.col("key") < F.col("key2")) & (F.col("component") != F.col("component2")) & alike)
-    cross = written(cross.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().join(small(star), ["a", "b"], "left_anti"), "pairs")
+    counts = places.groupBy("h", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
+    places = written(places.join(small(written(main, "mixed")), "h"), "places")
+    cross = _across(places, share)
+    cross = written(cross.join(small(star), ["a", "b"], "left_anti"), "pairs")
     if not cross.isEmpty():
         links = written(links.unionByName(_verified(texts, cross, n, share)), "links")
         tied = written(components(links), "components")
