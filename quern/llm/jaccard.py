@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.store import written
@@ -218,33 +219,48 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFrame:
-    """Pairs (a, b) of classes that are alike, from the texts."""
+def packed(shingles: np.ndarray) -> bytes:
+    """Six bytes of each hash: within one pair of sets, as good as eight."""
+    return np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    out = np.zeros((data.size // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, share: int) -> DataFrame:
+    """Pairs (a, b) of classes that are alike, from the texts.
+
+    docs has id and text; classes has each key's least id, so that one document of a class gives its set, not every copy.
+    """
     spark = docs.sparkSession
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    wanted = keys.distinct().count()
-    bits = min(MOST_BITS, 1 << max(16, (16 * wanted).bit_length()))
-    slot = F.pmod(F.col("key"), F.lit(bits))
+    pairs = small(pairs)
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = written(classes.join(small(written(keys, "keys")), "key").select(F.col("key").bitwiseXOR(F.coalesce("least", F.lit(0))).alias("x")), "wanted")
+    bits = min(MOST_BITS, 1 << max(16, (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.col("x"), F.lit(bits))
     words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("x"))
-    bitmap = np.zeros(bits // 64, np.uint64)
-    for part in [words.toArrow()]:  # at most MOST_BITS / 64 rows
-        bitmap[part["w"].to_numpy()] = part["x"].to_numpy().astype(np.uint64)
+    bitmap, found = np.zeros(bits // 64, np.uint64), words.toArrow()  # at most MOST_BITS / 64 rows
+    bitmap[found["w"].to_numpy()] = found["x"].to_numpy().astype(np.uint64)
     sent = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found: dict[int, np.ndarray] = {}
-                for own in shingle_sets(words_of(part.column("text"), LOWERED), n):
+                ids = pc.fill_null(part.column("id"), 0).to_pylist()
+                for doc, own in zip(ids, shingle_sets(words_of(part.column("text"), LOWERED), n), strict=True):
                     if len(own):
-                        at = (key := class_key(own)) % bits
+                        at = ((key := class_key(own)) ^ doc) % bits
                         if int(sent.value[at >> 6]) >> (at & 63) & 1:
                             found[key] = own
                 if found:
                     counts = [np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % PARTS, minlength=PARTS), 2**16 - 1).astype(np.uint16).tobytes() for x in found.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(counts, pa.binary()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["key", "parts", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(counts, pa.binary()), pa.array([packed(x) for x in found.values()], pa.binary())], names=["key", "parts", "grams"])
 
-    raw = written(docs.mapInArrow(run, "key long, parts binary, grams binary"), "shingle-sets")  # copies once for each task
+    raw = written(docs.mapInArrow(run, "key long, parts binary, grams binary"), "shingle-sets")
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
         sets = raw.groupBy("key").agg(F.first(column).alias(column))
@@ -264,13 +280,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, share: int) -> DataFram
         for batch in batches:
             kept = []
             for x, y in zip(batch.column("a_grams"), batch.column("b_grams"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     near = written(joined(pairs, "parts").mapInArrow(suffix, "a long, b long"), "near")
-    return joined(near, "grams").select("a", "b", "a_grams", "b_grams").mapInArrow(exact, "a long, b long")
+    return joined(small(near), "grams").select("a", "b", "a_grams", "b_grams").mapInArrow(exact, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -312,10 +328,11 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
     rows = written(_rows(df, n), "shingles")
     rarity = _rarity(rows)
     own = rows.where("block is null").select("id", "n", "key")
+    classes = written(own.where("n > 0").groupBy("key").agg(F.min("id").alias("least")), "classes")
     grouped = written(_grouped(_entries(texts, n, share, rarity), share), "grouped")
     a, b = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
     star = written(grouped.where("hub is not null").select(a, b).distinct(), "pairs")
-    links = written(_verified(texts, star, n, share), "links")
+    links = written(_verified(df, star, classes, n, share), "links")
     tied = written(components(links), "components")
 
     # What is left: pairs of other members of a group that lie in different components.
@@ -326,10 +343,9 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
     cross = _across(places, share)
     cross = written(cross.join(small(star), ["a", "b"], "left_anti"), "pairs")
     if not cross.isEmpty():
-        links = written(links.unionByName(_verified(texts, cross, n, share)), "links")
+        links = written(links.unionByName(_verified(df, cross, classes, n, share)), "links")
         tied = written(components(links), "components")
 
-    classes = own.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     classes = classes.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.select("key", "component").join(least, "component").select("key", "component_id")
