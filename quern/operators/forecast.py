@@ -70,10 +70,17 @@ def climatology(panel: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def ladder(panel: DataFrame, train: DataFrame, horizons: list[int], days: int) -> DataFrame:
-    """(station_id, ts, value, model, horizon_h, pred) of every baseline at every horizon."""
-    out = None
+    """(station_id, ts, value, model, horizon_h, pred) of every baseline at every horizon.
+
+    All lags come from one sort of the panel by station and time; the models are unpivoted afterwards.
+    """
+    w = _by_time()
+    wide = climatology(panel, train).withColumnRenamed("pred", "_clim").withColumn("_known", F.last("value", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    columns, models = {}, []
     for h in horizons:
-        for name, pred in (("persistence", persistence(panel, h)), ("diurnal_persistence", diurnal_persistence(panel, h)), ("same_hour_mean", same_hour(panel, h, days)), ("climatology_mean", climatology(panel, train))):
-            one = pred.select("station_id", "ts", "value", F.lit(name).alias("model"), F.lit(h).alias("horizon_h"), "pred")
-            out = one if out is None else out.unionByName(one)
-    return out
+        columns |= {f"_p{h}": F.lag("value", h).over(w), f"_d{h}": F.lag("_known", 24 * math.ceil(h / 24)).over(w), f"_s{h}": F.array_compact(F.array(*[F.lag("value", h + 24 * k).over(w) for k in range(days)]))}
+        mean = F.aggregate(f"_s{h}", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(f"_s{h}"), F.lit(0))
+        for name, pred in (("persistence", F.col(f"_p{h}")), ("diurnal_persistence", F.col(f"_d{h}")), ("same_hour_mean", mean), ("climatology_mean", F.col("_clim"))):
+            models.append(F.struct(F.lit(name).alias("model"), F.lit(h).alias("horizon_h"), pred.alias("pred")))
+    long = wide.withColumns(columns).withColumn("_x", F.explode(F.array(*models)))
+    return long.select("station_id", "ts", "value", "_x.model", "_x.horizon_h", "_x.pred")
