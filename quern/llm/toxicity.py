@@ -227,17 +227,36 @@ def _dense(local: np.ndarray, moves: np.ndarray, inside: np.ndarray, weight: np.
     return (odds / (1 + odds)).T, pairs
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Weights of a logistic function, by Newton steps that are halved until the penalised loss falls.
+
+    Columns are standardised for the penalty, and the weights sum up to the number of rows, so that neither the size of the
+    sample's classes nor separable labels can drive the weights off.
+    """
+    share = share * len(y) / share.sum()
+    mean, sd = np.average(x, axis=0, weights=share), x.std(axis=0)
+    mean[0], sd[0] = 0.0, 1.0
+    z = (x - mean) / np.maximum(sd, 1e-6)
+    penalty = np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
+
+    def loss(t: np.ndarray) -> float:
+        m = z @ t
+        return float(share @ (np.logaddexp(0, m) - y * m) + 0.5 * (penalty * t) @ t)
+
     theta = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        up = x.T @ (share * (y - p)) - ridge * theta
-        bend = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(bend, up)
-        theta = theta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -500, 500)))
+        up = z.T @ (share * (y - p)) - penalty * theta
+        bend = (z * (share * p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        step, size = np.linalg.solve(bend, up), 1.0
+        while size > 1e-6 and loss(theta + size * step) > loss(theta):
+            size /= 2
+        theta = theta + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return theta
+    out = theta / np.maximum(sd, 1e-6)
+    out[0] = theta[0] - (out[1:] * mean[1:]).sum()
+    return out
 
 
 @dataclass
