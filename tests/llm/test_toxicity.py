@@ -68,3 +68,12 @@ def test_op1_on_the_tables(spark):
     auc = (sum(ones) - len(ones) * (len(ones) - 1) / 2) / (len(ones) * (len(ranks) - len(ones)))
     print(f"held out: {len(got)} rows, {right:.4f} right, AUC {auc:.4f}")
     assert right > 0.97 and auc > 0.95
+
+
+def test_score_fit_stays_sane_on_separable_rows_of_any_weight():
+    rng = np.random.default_rng(0)
+    y = (np.arange(400) < 200).astype(float)
+    x = np.c_[np.ones(400), rng.normal(0, 0.1, 400) + 2 * y, rng.normal(5, 1, 400)]
+    for share in (np.ones(400), np.where(y == 1, 7.0, 60.0), np.where(y == 1, 7e5, 6e6)):
+        p = 1 / (1 + np.exp(-(x @ X._logistic(x, y, share))))
+        assert ((p >= 0.5) == y).all()
