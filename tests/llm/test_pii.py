@@ -24,6 +24,15 @@ def test_base_against_plain_patterns(spark):
     assert P.find(df.limit(0)).count() == 0
 
 
+def test_cards_with_a_separator_after_each_digit(spark):
+    digits = "4111111111111111"
+    texts = [f"card {gap.join(digits)} end" for gap in ("", " ", "-")] + ["-".join("30569309025904"), " ".join(digits[:13]), "4 1-1 11-1 1 1-11 1-1 1 1-1 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in P.find(df).collect()}
+    assert got == {i: brute.personal(t) for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(6)] == [1, 1, 1, 1, 0, 1]
+
+
 def docs(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("aeiou") for _ in range(4))
