@@ -5,13 +5,17 @@ Everything stays in DataFrame expressions and Spark ML's JVM transformers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quern.llm.store import written
+
+BROADCAST_SUFFIXES = 200_000  # rows of a suffix table; a longer one is joined by shuffle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 LEXICAL = [
@@ -102,39 +106,46 @@ class UrlModel:
     rates: dict[str, DataFrame]
     prior: float
     constant: str = "allow"
+    sizes: dict[str, int] = field(default_factory=dict)
 
     def with_features(self, df: DataFrame) -> DataFrame:
-        for column, rates in self.rates.items():  # bounded by the labelled rows that fit() took
-            df = df.join(F.broadcast(rates), column, "left").fillna({f"{column}_rate": self.prior})
+        for column, rates in self.rates.items():
+            few = self.sizes.get(column, 0) <= BROADCAST_SUFFIXES
+            df = df.join(F.broadcast(rates) if few else rates, column, "left").fillna({f"{column}_rate": self.prior})
         return df
 
 
 def fit(labelled: DataFrame, max_labelled: int = 4000, iterations: int = 12, depth: int = 4, seed: int = 7) -> UrlModel:
     """Fit on labelled (url, label 0/1; 1 means block).
 
-    At most max_labelled distinct URLs are used, the first in the order of their hash, which bounds the training set
-    and the suffix tables. Null URLs or labels take no part.
+    Suffix statistics, the prior and whether there are two classes come from all distinct URLs (1 wins over 0). Only the trees
+    are fitted on at most max_labelled of them, of each label the first in the order of their hash, weighted by the label's
+    share of all. Null URLs or labels take no part.
     """
-    rows = (
-        labelled.select("url", F.col("label").cast("double").alias("label"))
-        .where(F.col("url").isNotNull() & F.col("label").isNotNull())
-        .dropDuplicates(["url"])
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(max_labelled)
-    )
-    rows = lexical_features(rows).coalesce(1).cache()
-    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    known = labelled.select("url", F.col("label").cast("double").alias("label")).where(F.col("url").isNotNull() & F.col("label").isNotNull())
+    host = host_of(F.col("url"))
+    known = known.groupBy("url").agg(F.max("label").alias("label"))
+    known = written(known.withColumns({"suffix2": last_labels(host, 2), "suffix3": last_labels(host, 3)}), "labelled-urls")
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    ones = int(ones)
     prior = ones / n if n else 0.0
     if ones in (0, n):
-        rows.unpersist()
         return UrlModel(None, {}, prior, "block" if n and ones else "allow")
-    rates = {c: suffix_rates(rows, c) for c in ("suffix2", "suffix3")}
-    # The tables are small and wanted by every later task: make them plain local rows.
-    rates = {c: rows.sparkSession.createDataFrame(r.collect(), r.schema) for c, r in rates.items()}
-    model = UrlModel(None, rates, prior)
+    rates = {c: written(suffix_rates(known, c), "suffix-rates") for c in ("suffix2", "suffix3")}
+    sizes = {c: r.count() for c, r in rates.items()}
+    # Half of the bound for each label; what one doesn't need goes to the other.
+    zeros, half = n - ones, max(1, max_labelled // 2)
+    takes = {1.0: min(ones, max(half, max_labelled - zeros)), 0.0: min(zeros, max(half, max_labelled - ones))}
+    total = sum(takes.values())
+    parts = [
+        known.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(take).withColumn("weight", F.lit(have / take * total / n))
+        for (label, take), have in zip(takes.items(), (ones, zeros), strict=True)
+    ]
+    rows = lexical_features(parts[0].unionByName(parts[1]).select("url", "label", "weight")).coalesce(1).cache()
+    model = UrlModel(None, rates, prior, sizes=sizes)
     assembler = VectorAssembler(inputCols=LEXICAL, outputCol="features", handleInvalid="keep")
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=iterations, maxDepth=depth, maxBins=32, seed=seed, minInstancesPerNode=5)
-    ready = assembler.transform(model.with_features(rows)).select("features", "label")
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=iterations, maxDepth=depth, maxBins=32, seed=seed, minInstancesPerNode=5)
+    ready = assembler.transform(model.with_features(rows)).select("features", "label", "weight")
     model.pipeline = PipelineModel([assembler, trees.fit(ready)])
     rows.unpersist()
     return model

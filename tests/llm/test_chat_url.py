@@ -95,3 +95,12 @@ def test_trees_learn(spark):
     seen = spark.createDataFrame([(1, "http://y-9-buy.example.com/p/8?a=1&b=2&c=3"), (2, "http://site9.example.com/a/7")], "page_id int, url string")
     assert {r.page_id: r.verdict for r in U.filter_urls(seen, [], model).collect()} == {1: "block", 2: "allow"}
     assert model.pipeline and U.fit(df.where("label = 1")).constant == "block"
+
+
+def test_rare_label_and_rare_hosts_count(spark):
+    rows = [(f"http://h{i}.example.com/a/{i}", 0) for i in range(3000)] + [("http://x-buy.example.net/p?a=1&b=2", 1), ("http://x-buy.example.net/p?a=3&b=4", 1)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    model = U.fit(df, max_labelled=40, iterations=2)
+    assert model.pipeline is not None and abs(model.prior - 2 / 3002) < 1e-12
+    rates = {r.suffix3: r.suffix3_rate for r in model.rates["suffix3"].collect()}
+    assert len(rates) == 3001 and max(rates, key=rates.get) == "x-buy.example.net"
