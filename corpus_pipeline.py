@@ -18,11 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SENT = 1_000_000  # keys that are broadcast; more are joined by shuffle
 
 
-def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+def without(docs: DataFrame, key: Column, gone: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
     """The documents whose key isn't among gone's (column k)."""
     gone = written(gone.distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= SENT else gone
-    return docs.withColumn("_k", key).join(gone, F.col("_k") == F.col("k"), "left_anti").select(*COLUMNS)
+    return docs.withColumn("_k", key).join(gone, F.col("_k") == F.col("k"), "left_anti").select(*columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +35,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id."""
     known = F.coalesce("doc_id", F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**62)))
-    found = written(jaccard.near_components(docs.select(known.alias("doc_id"), "text")), "near")
-    kept = without(docs, known, found.where("doc_id <> component_id").select(F.col("doc_id").alias("k")))
-    sizes = found.where("doc_id = component_id").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if sizes[0] == sizes[1]:
-        return kept
-    return kept.withColumn("_k", known).dropDuplicates(["_k"]).select(*COLUMNS)  # repeated rows
+    n, ids = docs.select(known.alias("k")).groupBy("k").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    if n == ids:
+        return without(docs, known, _near(docs.select(known.alias("doc_id"), "text")))
+    # Ids repeat: rows are told apart by id and text; numbers in the order of the ids stand for both.
+    said = {"_id": known, "_hash": F.coalesce(F.xxhash64("text"), F.lit(0)), "_size": F.coalesce(F.length("text"), F.lit(-1))}
+    keyed = docs.withColumns(said)
+    numbers = written(keyed.groupBy(*said).agg(F.min("text").alias("text")).orderBy(*said).withColumn("_row", F.monotonically_increasing_id()), "numbers")
+    gone = _near(numbers.select(F.col("_row").alias("doc_id"), "text"))
+    kept = written(without(keyed.join(numbers.drop("text"), list(said)), F.col("_row"), gone, (*COLUMNS, "_row")), "kept")
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    return kept.where(~empty).dropDuplicates(["_row"]).select(*COLUMNS).unionByName(kept.where(empty).select(*COLUMNS))
+
+
+def _near(docs: DataFrame) -> DataFrame:
+    """k of the documents that aren't the first of their component."""
+    found = written(jaccard.near_components(docs), "near")
+    return found.where("doc_id <> component_id").select(F.col("doc_id").alias("k"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,12 @@ def test_odd_rows(spark):
         for name, stage in P.STAGES:
             at = P.written(stage(spark, at, SF), name)
         assert at.count() == n
+
+
+def test_different_texts_under_one_id(spark):
+    words = lambda a: " ".join(f"w{a}x{i}" for i in range(30))
+    rows = [(1, words(1)), (2, words(1) + " end"), (2, words(2)), (3, words(3)), (3, words(4)), (3, words(4)), (None, None), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in dict(P.STAGES)["near_duplicates"](spark, docs, SF).collect()]
+    want = [rows[0], *rows[2:5], *rows[6:]]
+    assert sorted(map(str, got)) == sorted(map(str, want))
