@@ -68,6 +68,8 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 RAW = word_class(SPACES, False)
 LOWERED = word_class(SPACES, True)
 TERMS = word_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]), True)
+#: Letters, digits and whatever is beyond ASCII, lower-cased.
+ALNUM = word_class(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:

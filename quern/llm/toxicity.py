@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; marginals give document scores and offending offsets.
 
-Features of a word are itself and its first bytes (several lengths). Training takes a bounded sample of labelled documents.
-From their labels the features that point to label 1 are found, and words that have one, in documents of label 1, are the
+Features of a word (a run of letters, digits and characters beyond ASCII) are itself and its first bytes (several lengths).
+Training takes a sample of labelled documents, bounded in rows and bytes (parameters of fit). From their labels the features that point to label 1 are found, and words that have one, in documents of label 1, are the
 labelled tokens that the field learns from. A score is a logistic function of what the marginals sum up to; it is fitted
 on marginals of documents that the field in question hasn't seen (two halves), so that it isn't overconfident.
 
@@ -16,13 +16,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quern.llm.tokens import TERMS, Words, mix, slices, words_of, _UP
+from quern.llm.store import written
+from quern.llm.tokens import ALNUM, Words, mix, slices, words_of, _UP
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes
-FAR = 512  # plain words after which a power of the plain matrix no longer changes
 SEGMENT = 48  # words of a training sequence
+SCORED = 2 << 20  # bytes of text that are scored at once
 
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
@@ -35,7 +36,7 @@ def features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k in range(max(PREFIXES)):
         keep = size[live] > k
         live, begin, total = live[keep], begin[keep], total[keep]
-        total += TERMS.value[words.data[begin + k]] * _UP[k]
+        total += ALNUM.value[words.data[begin + k]] * _UP[k]
         if k + 1 in PREFIXES:
             yield live, mix(total + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64))
 
@@ -72,15 +73,14 @@ class Field:
     bias: float
     moves: np.ndarray  # logarithms
 
-    def powers(self) -> np.ndarray:
-        """[g]: the scaled product of g plain words' matrices."""
+    def powers(self, gaps: np.ndarray) -> np.ndarray:
+        """For each gap of so many plain words the product of their matrices, scaled: from both eigenvalues, so for any gap."""
         plain = np.exp(self.moves + np.array([0.0, self.bias]))
-        out = np.empty((FAR + 1, 2, 2))
-        out[0] = np.eye(2)
-        for g in range(FAR):
-            out[g + 1] = out[g] @ plain
-            out[g + 1] /= out[g + 1].sum()
-        return out
+        (a, b), (c, d) = plain
+        root = np.sqrt((a - d) ** 2 + 4 * b * c)  # above 0, as all entries are
+        large, less = (a + d + root) / 2, (a + d - root) / 2
+        first, second = (plain - less * np.eye(2)) / root, (large * np.eye(2) - plain) / root
+        return first + ((less / large) ** gaps)[:, None, None] * second
 
     def events(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(places, weights) of words that have a feature of the table."""
@@ -96,17 +96,16 @@ class Field:
         out = np.zeros(len(at))
         if not len(at):
             return out
-        powers = self.powers()
         doc = np.searchsorted(words.first, at, "right") - 1
         counts = np.bincount(doc, minlength=len(words.first) - 1)
         heads = np.r_[0, np.cumsum(counts)]
         start = np.r_[True, doc[1:] != doc[:-1]]
         before = np.where(start, at - words.first[doc], np.r_[0, np.diff(at)] - 1)
         after = np.where(np.r_[start[1:], True], words.first[doc + 1] - 1 - at, 0)
-        step = powers[np.minimum(before, FAR)] @ np.exp(self.moves)
+        step = self.powers(before) @ np.exp(self.moves)
         step[:, :, 1] *= np.exp(np.clip(self.bias + weights, -60, 60))[:, None]
         step /= step.sum(axis=(1, 2), keepdims=True)
-        tail = powers[np.minimum(after, FAR)] @ np.exp(self.moves)[:, 0]
+        tail = self.powers(after) @ np.exp(self.moves)[:, 0]
         by_size = np.argsort(-counts, kind="stable")
         by_size = by_size[counts[by_size] > 0]
         live = np.searchsorted(-counts[by_size], -np.arange(counts.max()), "left")  # documents with more events than k
@@ -140,8 +139,8 @@ def summed(words: Words, at: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n_docs), np.log1p(total), np.log1p(1000 * total / np.maximum(sizes, 20)), top, np.log1p(sizes)], axis=1)
 
 
-def _train_field(words: Words, toxic: np.ndarray, share: np.ndarray, least: int, odds: float, rounds: int, most: int = 8000) -> Field:
-    """toxic, share: each document's label and weight."""
+def _train_field(words: Words, toxic: np.ndarray, share: np.ndarray, least: int, odds: float, rounds: int, most: int) -> Field:
+    """toxic, share: each document's label and weight; most: features that are kept, those that tell most."""
     doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(words.first))
     kinds, value, at, which, n = [], [], [], [], 0
     for places, hashes in features(words):  # documents that have a feature, by label
@@ -172,8 +171,15 @@ def _train_field(words: Words, toxic: np.ndarray, share: np.ndarray, least: int,
     firsts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(words.first[:-1], words.first[1:], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
     ends = np.minimum(words.first[1:][doc[firsts]], firsts + SEGMENT) if len(firsts) else firsts
     has = np.add.reduceat(np.bincount(at, minlength=len(doc)), firsts) > 0 if len(firsts) else np.zeros(0, bool)
-    kept = has | (np.arange(len(firsts)) % 8 == 0)  # one in eight of the sequences without any feature, with eight times the weight
-    weight = np.where(has, 1.0, 8.0)[kept] * share[doc[firsts[kept]]]
+    # Sequences without any feature are alike but for their length: one stands for all of a length, with the sum of their weights.
+    sums = np.bincount((ends - firsts)[~has], share[doc[firsts[~has]]], SEGMENT + 1)
+    weight = share[doc[firsts]].astype(float)
+    kept = has.copy()
+    if (~has).any():
+        lengths, where = np.unique((ends - firsts)[~has], return_index=True)
+        plain = np.flatnonzero(~has)[where]
+        kept[plain], weight[plain] = True, sums[lengths]
+    weight = weight[kept]
     grid = firsts[kept][:, None] + np.arange(SEGMENT)
     inside = grid < ends[kept][:, None]
     grid = np.where(inside, grid, 0)
@@ -279,11 +285,14 @@ def _part(words: Words, docs: np.ndarray) -> Words:
     return Words(words.hashes[pick], first, words.begin[pick], words.end[pick], words.data)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, least: int = 8, odds: float = 2.0, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, most_bytes: int = 8 << 20, most_features: int = 8000, least: int = 8, odds: float = 2.0, rounds: int = 50, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on documents with a label where learn (a condition on id_col) holds.
 
-    At most `most` ids of each label are taken, the first in the order of their hash; weights make up for that. Null ids,
-    labels and texts take no part; an id with both labels counts as 1.
+    At most `most` ids of each label are taken, the first in the order of their hash; weights make up for that. Of these, a label's
+    texts of together at most most_bytes, the shortest ones first, are read by the driver (one at least). The field has at most
+    most_features features, those that tell most about the labels; a feature stands in `least` documents of label 1 and
+    is exp(odds) times as likely there. Null ids, labels and texts take no part; an id with both labels counts as 1, one
+    with several texts has the least of them.
     """
     known = labels.select(F.col(id_col).alias(id_col), F.col(label_col).alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isNotNull() & learn)
     known = known.groupBy(id_col).agg((F.max("y") > 0).cast("int").alias("y"))
@@ -292,71 +301,90 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, lea
         return ToxicityModel(None, np.zeros(0), float(next(iter(sizes), 0)))
     spark = docs.sparkSession
     taken = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
+    if not taken:
+        return ToxicityModel(None, np.zeros(0), 0.0)
     ids = spark.createDataFrame(taken, known.schema)  # at most twice `most` rows
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.max("y").alias("y"), F.min("text").alias("text"))
-    sample = rows.orderBy(F.xxhash64(id_col), id_col).select("y", "text").toArrow()
+    rows = written(rows.withColumn("bytes", F.octet_length("text")), "toxicity-sample")
+    bytes_so_far = F.sum("bytes").over(Window.partitionBy("y").orderBy("bytes", id_col).rowsBetween(Window.unboundedPreceding, 0))
+    fits = (bytes_so_far <= most_bytes) | (F.row_number().over(Window.partitionBy("y").orderBy("bytes", id_col)) == 1)
+    within = rows.select(id_col, "y", "bytes").withColumn("fits", fits).where("fits").select(id_col)  # of at most twice `most` rows
+    sample = rows.join(F.broadcast(within), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).select("y", "text").toArrow()
     y = sample["y"].to_numpy().astype(float)
     n = {v: max(1, int((y == v).sum())) for v in (0, 1)}
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return ToxicityModel(None, np.zeros(0), float(y.mean()) if len(y) else 0.0)
-    words = words_of(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), TERMS)
+    words = words_of(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), ALNUM)
     # Each half weighs as much as the other in the field; in the score, labels count as often as they occur.
     even, true = np.where(y == 1, 1 / n[1], 1 / n[0]) * len(y) / 2, np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])
     half = np.arange(len(y)) % 2
     x = np.zeros((len(y), 5))
     for h in (0, 1):
         own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
-        model = _train_field(_part(words, own), y[own], even[own], max(3, least // 2), odds, rounds)
+        model = _train_field(_part(words, own), y[own], even[own], max(3, least // 2), odds, rounds, most_features)
         seen = _part(words, other)
         at, weights = model.events(seen)
         x[other] = summed(seen, at, model.marginals(seen, at, weights))
-    return ToxicityModel(_train_field(words, y, even, least, odds, rounds), _logistic(x, y, true))
+    return ToxicityModel(_train_field(words, y, even, least, odds, rounds, most_features), _logistic(x, y, true))
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, others: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *others, score, predicted, spans) for every row.
+def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, others: tuple[str, ...] = (), with_spans: bool = True) -> DataFrame:
+    """(id_col, *others, score, predicted[, spans]) for every row.
 
     score: 0 to 1, from the whole text; null and empty texts have the score of a text without words. spans: words whose
     marginal reaches the threshold, neighbours joined: code points, end exclusive, with their highest marginal. Repeated
-    rows are scored each; columns that others doesn't list are not carried.
+    rows are scored each; an empty table gives an empty one. Columns that others doesn't list are not carried; the text itself
+    may be among others, and goes to the tasks once.
     """
-    df = docs.select(F.col(id_col).alias(id_col), *[F.col(c).alias(f"_{c}") for c in others], F.col(text_col).alias("text"))
-    schema = T.StructType([df.schema[id_col], *[T.StructField(c, docs.schema[c].dataType) for c in others], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T._parse_datatype_string(SPANS))])
+    carried = [c for c in others if c != text_col]
+    df = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(text_col).alias("_text"))
+    place = {c: f"_c{i}" for i, c in enumerate(carried)} | {text_col: "_text"}
+    fields = [T.StructField(id_col, df.schema["_id"].dataType), *[T.StructField(c, docs.schema[c].dataType) for c in others], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    schema = T.StructType(fields + [T.StructField("spans", T._parse_datatype_string(SPANS))] * with_spans)
     sent = df.sparkSession.sparkContext.broadcast(model)  # a bounded table of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(schema["spans"].dataType)
+        kind = to_arrow_type(schema["spans"].dataType) if with_spans else None
         own: ToxicityModel = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = words_of(part.column("text"), TERMS)
-                at, p, spans = np.zeros(0, np.int64), np.zeros(0), [[] for _ in range(part.num_rows)]
+            for part in slices(batch, "_text", SCORED):
+                words = words_of(part.column("_text"), ALNUM)
+                at, p = np.zeros(0, np.int64), np.zeros(0)
                 if own.field is not None:
                     at, weights = own.field.events(words)
                     p = own.field.marginals(words, at, weights)
-                    hot = np.flatnonzero(p >= threshold)
-                    if len(hot):
-                        points = np.r_[0, np.cumsum((words.data & 0xC0) != 0x80, dtype=np.int64)]
-                        bounds = np.r_[words.begin, len(words.data)]
-                        heads = points[np.r_[0, np.cumsum(text_lengths(part.column("text")))]]
-                        last = -2
-                        for i in hot.tolist():
-                            w = int(at[i])
-                            d = int(np.searchsorted(words.first, w, "right")) - 1
-                            a, b = int(points[bounds[w]] - heads[d]), int(points[words.end[w]] - heads[d])
-                            if spans[d] and w == last + 1:
-                                spans[d][-1]["end"], spans[d][-1]["probability"] = b, max(spans[d][-1]["probability"], float(p[i]))
-                            else:
-                                spans[d].append({"start": a, "end": b, "probability": float(p[i])})
-                            last = w
                 scores = own.score(words, at, p)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), *[part.column(f"_{c}") for c in others], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=schema.names)
+                out = [part.column("_id"), *[part.column(place[c]) for c in others], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
+                if with_spans:
+                    out.append(pa.array(_spans(words, at, p, threshold, text_lengths(part.column("_text"))), kind))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _spans(words: Words, at: np.ndarray, p: np.ndarray, threshold: float, lengths: np.ndarray) -> list[list[dict]]:
+    """By text: ranges of neighbouring words whose marginal reaches the threshold."""
+    spans: list[list[dict]] = [[] for _ in lengths]
+    hot = np.flatnonzero(p >= threshold)
+    if not len(hot):
+        return spans
+    points = np.r_[0, np.cumsum((words.data & 0xC0) != 0x80, dtype=np.int64)]
+    heads = points[np.r_[0, np.cumsum(lengths)]]
+    last = -2
+    for i in hot.tolist():
+        w = int(at[i])
+        d = int(np.searchsorted(words.first, w, "right")) - 1
+        a, b = int(points[words.begin[w]] - heads[d]), int(points[words.end[w]] - heads[d])
+        if spans[d] and w == last + 1:
+            spans[d][-1]["end"], spans[d][-1]["probability"] = b, max(spans[d][-1]["probability"], float(p[i]))
+        else:
+            spans[d].append({"start": a, "end": b, "probability": float(p[i])})
+        last = w
+    return spans
+
+
 def text_lengths(column: pa.Array) -> np.ndarray:
     """Bytes of each text; 0 for null."""
     import pyarrow.compute as pc
