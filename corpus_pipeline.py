@@ -28,7 +28,7 @@ def without(docs: DataFrame, key: Column, gone: DataFrame, columns: tuple[str, .
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field, fitted on the labels, doesn't reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
-    scored = toxicity.score_documents(docs.select(*COLUMNS), model, others=tuple(COLUMNS[1:]))
+    scored = toxicity.score_documents(docs, model, others=tuple(COLUMNS[1:]), with_spans=False)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
