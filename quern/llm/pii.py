@@ -1,10 +1,11 @@
 r"""Personal data: fixed patterns give seed entities, whose contexts are bootstrapped to find further identifiers.
 
-Everything is DataFrame expressions. Fixed patterns find emails, IP addresses, card and phone numbers (the seeds). A candidate
-is a token with a digit or an at sign; its pattern is the word before it. Spark scores the graph of patterns and candidates
-in rounds: a pattern is trusted if enough different known identifiers follow it, most of its candidates are known, and the
-word is mostly followed by candidates at all (a word count over the whole corpus); what follows a trusted pattern becomes
-known. In the end the trusted patterns are applied to the texts.
+Everything is DataFrame expressions. Seeds are what the fixed patterns find (emails, IP addresses, card and phone numbers) and
+tokens that look like generated keys (SECRET). A candidate is a token with a digit or an at sign, stripped of punctuation.
+Its lexical patterns are one, two and three words before it, the word on either side, and the word before with the value's
+shape. Spark scores the graph of patterns and values in rounds until nothing new is trusted: a pattern is trusted if it has
+enough different known values, most of its values are known, and its words are mostly followed by candidates at all (counts
+over the whole corpus); all values of a trusted pattern become known. In the end the trusted patterns are applied to the texts.
 
 The regular expressions are written so that they run in linear time and without deep recursion on any text: quantifiers are
 possessive where the language allows it without changing what is matched, and a run of characters is tried from its first
@@ -19,21 +20,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.store import written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")  # the last one has no fixed pattern
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+SECRET = r"^(?:(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+|A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+)$"  # seeds only
+WORD_CHARS = 40  # of a context's word; longer ones make no context
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
-MARKS = "array<struct<start:int,end:int,context:string,value:string>>"
+MARKS = "array<struct<start:int,end:int,contexts:array<string>,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array of (start, end, value, gap) for the leftmost matches that don't overlap; gap: the text since the match before."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+def located(values: Column, gaps: Column) -> Column:
+    """array of (start, end, value, gap) of a pattern's matches, from their texts and the texts between them."""
     sizes = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
     ends = F.aggregate(
@@ -45,6 +47,11 @@ def located(text: Column, pattern: str) -> Column:
     return F.zip_with(sizes, ends, lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value"), x["gap"].alias("gap")))
 
 
+def matches(text: Column, pattern: str) -> tuple[Column, Column]:
+    """Leftmost matches that don't overlap, and the texts between them."""
+    return F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+
+
 def _on_value(test):
     return lambda m: test(m["value"])
 
@@ -65,88 +72,167 @@ def base_spans(text: Column) -> Column:
     # A text without what every match of a kind has is not searched for it; a card has 14 digits, each after one separator at most.
     worth = {"email": F.contains(text, F.lit("@")), "ip": text.rlike("[0-9]\\.[0-9]"), "card": text.rlike("[0-9](?:[ -]?[0-9]){13}"), "phone": F.contains(text, F.lit("+"))}
     found = []
-    for rank, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)):
-        good = F.filter(located(text, pattern), _on_value(sound[kind]))
+    for rank, (kind, pattern) in enumerate(zip(KINDS[:4], (EMAIL, IP, CARD, PHONE), strict=True)):
+        good = F.filter(located(*matches(text, pattern)), _on_value(sound[kind]))
         spans = F.transform(good, _ranked(rank))
         found.append(F.when(worth[kind], spans).otherwise(F.array().cast(SPANS)))
     return F.array_sort(F.coalesce(F.concat(*found), F.array().cast(SPANS)))
 
 
-def candidates(text: Column) -> Column:
-    """MARKS: tokens with a digit or at sign, stripped of punctuation around them, and the word before each, in lower case."""
-    strip = lambda v: F.regexp_replace(v, r"^[\"'(<\[{]+|[\"')>\]},.;:!?]+$", "")
-    lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"^[\"'(<\[{]+", ""))
-    # The word before is looked for in the end of the gap, or is the token before.
-    found = located(text, CANDIDATE)
-    before = lambda i: F.when(i > 0, F.try_element_at(found, i)["value"]).otherwise(F.lit(""))
-    context = lambda m, i: F.lower(F.coalesce(F.nullif(F.element_at(F.split(F.rtrim(F.regexp_replace(F.substring(m["gap"], -80, 80), r"\s", " ")), " "), -1), F.lit("")), before(i)))
-    marks = F.transform(found, lambda m, i: F.struct((m["start"] + lead(m["value"])).alias("start"), (m["start"] + lead(m["value"]) + F.length(strip(m["value"]))).alias("end"), context(m, i).alias("context"), strip(m["value"]).alias("value")))
-    return F.coalesce(F.when(text.rlike("[0-9@]"), F.filter(marks, lambda m: (F.length(m["value"]) >= 6) & (m["context"] != ""))), F.array().cast(MARKS))
+HEAD, TAIL = r"^[^\p{L}\p{N}+@]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
+
+
+def _stripped(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, HEAD, ""), TAIL, "")
+
+
+def _shape(value: Column) -> Column:
+    """What a value is made of, and its length."""
+    made = F.when(value.rlike("^[0-9]++$"), "d").when(value.rlike("^[0-9a-f]++$"), "h").when(value.rlike("^[A-Za-z0-9]++$"), "n").when(F.contains(value, F.lit("@")), "m").otherwise("x")
+    return F.concat(made, F.length(value).cast("string"))
+
+
+def _normal(word: Column) -> Column:
+    return F.translate(F.lower(word), "123456789", "000000000")
+
+
+def _contexts(before: Column, after: Column, value: Column) -> Column:
+    """The lexical patterns of a value between two texts; _ stands for it."""
+    # The last three words: found from the end, so that a long text before costs no more than its length.
+    last = F.reverse(F.regexp_extract(F.reverse(before), r"^\s*+(\S++(?:\s++\S++){0,2}+)", 1))
+    words = F.filter(F.split(_normal(last), r"\s+"), lambda w: w != "")
+    follows = _normal(F.regexp_extract(after, r"^\s*+(\S++)", 1))
+    one = F.try_element_at(words, F.lit(-1))
+    said = lambda n: F.when(F.size(words) >= n, F.concat(F.array_join(F.slice(words, F.size(words) - n + 1, n), " "), F.lit(" _")))
+    fit = F.forall(words, lambda w: F.length(w) <= WORD_CHARS)
+    sides = F.when((follows != "") & (F.length(follows) <= WORD_CHARS), F.concat(one, F.lit(" _ "), follows))
+    listed = F.array(said(1), said(2), said(3), sides, F.concat(one, F.lit(" _:"), _shape(value)))
+    return F.when(fit & (F.size(words) > 0), F.filter(listed, lambda c: c.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
+def with_candidates(df: DataFrame, text_col: str) -> DataFrame:
+    """df with _marks (MARKS): tokens with a digit or at sign, stripped of other characters around them, and their lexical patterns.
+
+    Column by column, so that each regular expression runs once a text, and only on texts that have a candidate.
+    """
+    text = F.col(text_col)
+    has, none = text.rlike("[0-9@]"), F.array().cast("array<string>")
+    values, gaps = matches(text, CANDIDATE)
+    df = df.withColumn("_values", F.when(has, values).otherwise(none)).withColumn("_gaps", F.when(has, gaps).otherwise(none))
+    df = df.withColumn("_found", located(F.col("_values"), F.col("_gaps")))
+    n = F.size("_values")
+    around = F.zip_with(F.concat(F.array(F.lit("")), F.slice("_values", 1, F.greatest(n - 1, F.lit(0)))), F.slice("_gaps", 2, n), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+    lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, HEAD, ""))
+    each = F.zip_with("_found", F.when(n > 0, around).otherwise(F.array().cast("array<struct<before:string,after:string>>")), lambda m, a: F.struct((m["start"] + lead(m["value"])).alias("start"), _stripped(m["value"]).alias("value"), F.concat(a["before"], m["gap"]).alias("before"), a["after"].alias("after")))
+    df = df.withColumn("_each", each)
+    marks = F.transform("_each", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), _contexts(m["before"], m["after"], m["value"]).alias("contexts"), m["value"].alias("value")))
+    return df.withColumn("_marks", F.filter(marks, lambda m: F.size(m["contexts"]) > 0)).drop("_values", "_gaps", "_found", "_each")
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """When a pattern is trusted, and how many rounds are run."""
+    """When a pattern is trusted: known values, their share of the pattern's values, and the share of its words' occurrences
+    that are followed by a candidate. Values of fewer characters are no identifiers. rounds: at most; it ends when nothing is new.
+    """
 
     least_known: int = 4
     least_share: float = 0.6
     least_specific: float = 0.25
-    rounds: int = 3
+    least_chars: int = 4
+    rounds: int = 10
 
 
 def patterns(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:  # noqa: B008
     """(context, rank, score) of the trusted patterns, from all documents.
 
-    score: share of known candidates times the logarithm of their number.
+    score: share of known values times the logarithm of their number; rank: the kind most of them have, of equals the first
+    in KINDS. Null and empty texts give nothing, an empty table or one without repeated contexts no pattern; repeated rows
+    count for how often words occur, not for different values.
     """
-    df = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    marks = df.select(base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("marks")).select("base", F.explode("marks").alias("m"))
+    text = F.col("text")
+    df = docs.select(F.col(text_col).alias("text")).where(text.rlike("[0-9@]"))
+    marks = with_candidates(df.withColumn("base", base_spans(text)), "text").select("text", "base", F.explode("_marks").alias("m"))
     over = F.filter("base", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
-    # Inside an entity that began earlier, a token has no context of its own.
-    own = marks.select("m.context", "m.value", F.try_element_at(over, F.lit(1)).alias("s"), F.col("m.start").alias("at")).where(F.col("s").isNull() | (F.col("s.start") >= F.col("at") - 1))
-    graph = written(own.groupBy("context", "value").agg(F.min("s.rank").alias("rank"), F.count("*").alias("times")), "pii-graph")
-    by = graph.groupBy("context").agg(F.sum("times").alias("times"), F.count("rank").alias("known"))
-    likely = written(by.where(F.col("known") >= 1), "pii-contexts")
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("context"))
-    if likely.count() <= 100_000:
-        words = words.join(F.broadcast(likely.select("context")), "context", "left_semi")
-    counts = words.groupBy("context").agg(F.count("*").alias("corpus"))
-    specific = written(likely.join(counts, "context").where(F.col("times") >= how.least_specific * F.col("corpus")).select("context"), "pii-specific")
+    own = marks.select("m", "text", F.try_element_at(over, F.lit(1)).alias("s"), F.col("m.value").rlike(SECRET).alias("secret"))
+    # A token inside of an entity that began earlier has no context of its own.
+    own = own.where(F.col("secret") | F.col("s").isNull() & (F.length("m.value") >= how.least_chars) | (F.col("s.start") >= F.col("m.start") - 1))
+    whole = F.substr(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    value = F.when(F.col("secret") | F.col("s").isNull(), F.col("m.value")).otherwise(whole)
+    rank = F.when(F.col("secret"), len(KINDS) - 1).otherwise(F.col("s.rank"))
+    seen = own.select(value.alias("value"), rank.alias("rank"), F.explode("m.contexts").alias("context"))
+    graph = written(seen.groupBy("context", "value").agg(F.min("rank").alias("rank"), F.count("*").alias("times")), "pii-graph")
+    by = graph.groupBy("context").agg(F.sum("times").alias("times"), F.count("*").alias("values")).where(F.col("values") >= how.least_known)
+    # A pattern's words: those before the value, and one after it; a shape has the one word before.
+    before = F.substring_index("context", " _", 1)
+    sided = F.contains("context", F.lit(" _ "))
+    likely = written(by.select("context", "times", F.when(sided, F.col("context")).otherwise(before).alias("words"), F.substring_index(before, " ", -1).alias("one")), "pii-contexts")
+    ones = likely.select("one").distinct()
+    ones = F.broadcast(ones) if ones.count() <= 100_000 else ones
+    words = F.filter(F.split(_normal(F.col("text")), r"\s+"), lambda w: w != "")
+    listed = docs.select(F.col(text_col).alias("text")).select(words.alias("w"))
+    triples = F.transform("w", lambda w, i: F.struct(w.alias("one"), F.get("w", i - 1).alias("two"), F.get("w", i - 2).alias("three"), F.get("w", i + 2).alias("next")))
+    near = listed.select(F.explode(triples).alias("t")).select("t.*").join(ones, "one", "left_semi").groupBy("one", "two", "three", "next").agg(F.count("*").alias("n"))
+    grams = F.array(F.col("one"), F.concat("two", F.lit(" "), "one"), F.concat("three", F.lit(" "), "two", F.lit(" "), "one"), F.concat("one", F.lit(" _ "), "next"))
+    counts = near.select("n", F.explode(grams).alias("words")).where("words is not null").groupBy("words").agg(F.sum("n").alias("corpus"))
+    specific = written(likely.join(counts, "words").where(F.col("times") >= how.least_specific * F.col("corpus")).select("context"), "pii-specific")
     live = graph.join(specific, "context")
-    known = live.where("rank is not null").select("value", "rank").groupBy("value").agg(F.min("rank").alias("rank"))
-    trusted = None
+    known = live.where("rank is not null").groupBy("value").agg(F.min("rank").alias("rank"))
+    trusted, before = None, -1
     for _ in range(how.rounds):
-        seen = live.select("context", "value").join(known, "value", "left")
-        one_kind = seen.groupBy("context", "rank").agg(F.count("*").alias("n"))
-        totals = one_kind.groupBy("context").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("rank").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.max(F.when(F.col("rank").isNotNull(), F.struct("n", (-F.col("rank")).alias("r")))).alias("top"))
+        linked = live.select("context", "value").join(known, "value", "left")
+        one_kind = linked.groupBy("context", "rank").agg(F.count("*").alias("n"))
+        of_known = lambda c: F.when(F.col("rank").isNotNull(), c)
+        totals = one_kind.groupBy("context").agg(F.sum("n").alias("n_all"), F.coalesce(F.sum(of_known(F.col("n"))), F.lit(0)).alias("n_known"), F.max(of_known(F.struct("n", (-F.col("rank")).alias("r")))).alias("top"))
         good = totals.where((F.col("n_known") >= how.least_known) & (F.col("n_known") >= how.least_share * F.col("n_all")))
         trusted = written(good.select("context", (-F.col("top.r")).alias("rank"), (F.col("n_known") / F.col("n_all") * F.log2(F.col("n_known") + 1)).alias("score")), "pii-trusted")
+        if (n := trusted.count()) <= before:
+            break
+        before = n
         grown = live.select("context", "value").join(trusted, "context").groupBy("value").agg(F.min("rank").alias("rank"))
         known = written(known.unionByName(grown).groupBy("value").agg(F.min("rank").alias("rank")), "pii-known")
     return trusted
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: DataFrame | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+LITERALS = 2000  # patterns that are written into the plan; more are joined
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: DataFrame | None = None, others: tuple[str, ...] = (), least_chars: int = Bootstrap.least_chars) -> DataFrame:
     """(id_col, text_col, *others, base, spans) for every row: SPANS of the fixed patterns, and all spans.
 
-    spans has base and, with trusted patterns, the candidates after them that touch no base span. Null and empty texts have
-    none. Repeated rows are searched each; columns that others doesn't list are not carried.
+    spans has base and, with trusted patterns, the candidates that have one of them (of several kinds, the first in KINDS) and
+    touch no base span; secrets may have base spans inside. Null and empty texts have none. Repeated rows are searched each;
+    an empty table gives an empty one; columns that others doesn't list are not carried.
     """
     df = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), *others).withColumn("base", base_spans(F.col(text_col)))
     n = trusted.count() if trusted is not None else 0
     if not n:
         return df.withColumn("spans", F.col("base"))
-    clear = lambda marks: F.filter(marks, lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])))
-    if n <= 2000:  # a literal table of checked size
-        table = F.create_map(*[F.lit(x) for r in trusted.collect() for x in (r["context"], r["rank"])])
-        more = F.transform(F.filter(clear(candidates(F.col(text_col))), lambda m: F.try_element_at(table, m["context"]).isNotNull()), lambda m: F.struct(m["start"].alias("start"), F.try_element_at(table, m["context"]).alias("rank"), m["end"].alias("end")))
-        return df.withColumn("spans", F.array_sort(F.concat("base", more)))
+    secret = len(KINDS) - 1
+
+    def clear(rank, start, end):
+        touches = F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
+        covered = F.exists("base", lambda s: (s["start"] <= start) & (s["end"] >= end))
+        return F.when(rank == secret, ~covered).otherwise(~touches)
+
+    columns = df.columns
+    df = with_candidates(df, text_col)
+    marks = F.filter("_marks", lambda m: F.length(m["value"]) >= least_chars)
+    if n <= LITERALS:  # sets of checked size
+        among = lambda own: lambda c: c.isin(own)
+        by_rank: dict[int, list[str]] = {}
+        for r in trusted.select("context", "rank").collect():
+            by_rank.setdefault(r["rank"], []).append(r["context"])
+        rank_of = lambda m: F.coalesce(*[F.when(F.exists(m["contexts"], among(own)), F.lit(rank)) for rank, own in sorted(by_rank.items())])
+        ranked = F.filter(F.transform(marks, lambda m: F.struct(m["start"].alias("start"), rank_of(m).alias("rank"), m["end"].alias("end"))), lambda m: m["rank"].isNotNull())
+        more = F.filter(ranked, lambda m: clear(m["rank"], m["start"], m["end"]))
+        return df.select(*columns, F.array_sort(F.concat("base", more)).alias("spans"))
     # Equal texts have equal spans: join by a digest of the text.
     digest = F.sha2(F.col(text_col), 256)
-    rows = df.select(digest.alias("_digest"), F.explode(clear(candidates(F.col(text_col)))).alias("m")).select("_digest", "m.start", "m.end", "m.context").distinct()
-    added = rows.join(trusted.select("context", "rank"), "context").groupBy("_digest").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_more"))
+    rows = df.select(digest.alias("_digest"), "base", F.explode(marks).alias("m")).select("_digest", "base", "m.start", "m.end", F.explode("m.contexts").alias("context"))
+    met = rows.join(trusted.select("context", "rank"), "context").groupBy("_digest", "start", "end").agg(F.min("rank").alias("rank"), F.first("base").alias("base"))
+    added = met.where(clear(F.col("rank"), F.col("start"), F.col("end"))).groupBy("_digest").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_more"))
     joined = df.withColumn("_digest", digest).join(added, "_digest", "left")
-    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("_more", F.array().cast(SPANS))))).drop("_digest", "_more")
+    return joined.select(*columns, F.array_sort(F.concat("base", F.coalesce("_more", F.array().cast(SPANS)))).alias("spans"))
 
 
 def written_spans(spans: Column) -> Column:

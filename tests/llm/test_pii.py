@@ -45,7 +45,8 @@ def docs(spark):
 def test_bootstrapping(spark):
     df, rows = docs(spark)
     trusted = P.patterns(df)
-    assert [(r.context, r["rank"]) for r in trusted.collect()] == [("contact:", 0)]
+    got = {(r.context, r["rank"]) for r in trusted.collect()}
+    assert ("contact: _", 0) in got and all("contact: _" in c and k == 0 for c, k in got)
     found = P.find(df, trusted=trusted, others=("lang",)).withColumn("red", P.redacted(F.col("text"), F.col("spans")))
     for r in found.collect():
         m = re.search(r"[^\s\"]+(@|\(at\))mail\.org", rows[r.doc_id])
@@ -57,7 +58,7 @@ def test_bootstrapping(spark):
 def test_many_patterns_give_the_same(spark, monkeypatch):
     df, _ = docs(spark)
     few = P.patterns(df)
-    many = few.unionByName(spark.range(2100).select(F.concat(F.lit("zz"), "id").alias("context"), F.lit(1).alias("rank"), F.lit(1.0).alias("score")))
+    many = few.unionByName(spark.range(2100).select(F.concat(F.lit("zz"), "id", F.lit(" _")).alias("context"), F.lit(1).alias("rank"), F.lit(1.0).alias("score")))
     key = lambda d: sorted((r.doc_id, str(r.spans)) for r in d.collect())
     assert key(P.find(df, trusted=few)) == key(P.find(df, trusted=many))
 
@@ -72,3 +73,35 @@ def test_op7_on_the_tables(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == k for s in own) for k in range(4))
         said = [f"{P.KINDS[k]}:{a}:{b}" for a, k, b in own]
         assert r.base_sha256 == brute.sha(",".join(said)) and set(said) <= set(r.spans.split(",")) | {""}
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
+
+
+def test_op7_finds_what_no_fixed_pattern_does(spark):
+    """On the tables the patterns that are trusted give every planted key, and nothing else."""
+    from quern.llm.queries import op7_pii
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trusted = {(r.context, r["rank"]) for r in P.patterns(docs).collect()}
+    assert ("token = _", 4) in trusted
+    keys = {(r.doc_id, f"secret:{m.start(1)}:{m.end(1)}") for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    found = {(r.doc_id, x) for r in op7_pii(spark, sf).collect() for x in r.spans.split(",") if x.startswith("secret")}
+    assert keys and found == keys
+
+
+def test_trusted_patterns_give_values_of_other_shapes(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioust") for _ in range(5))
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    lines = [f'{word()} {word()} secret_key: "{key(40)}", {word()}' for _ in range(12)] + [f"{word()} secret_key: hunter2!! {word()}", f"{word()} SECRET_KEY: (pw-{key(8)}) {word()}"]
+    # Found by the word before and after, where the word before alone is too common.
+    lines += [f"{word()} from u{i}@mail.org wrote {word()}" for i in range(9)] + [f"{word()} from u7(at)mail.org wrote {word()}"] + [f"from {word()} to {word()}" for _ in range(200)]
+    lines += [f"room 10{i}4 {word()}" for i in range(9)] + [None, "", "9" * 60_000, "\u00e9 " * 30_000 + "7777777", "a " * 300_000, lines[0], lines[0]]
+    df = spark.createDataFrame([(i, t, 1, "y") for i, t in enumerate(lines)], "doc_id int, text string, _marks int, context string")
+    trusted = P.patterns(df)
+    names = {r.context for r in trusted.collect()}
+    assert {"secret_key: _", "from _ wrote"} <= names and "from _" not in names and not any(n.startswith("room") for n in names)
+    out = {r.doc_id: [(P.KINDS[s["rank"]], lines[r.doc_id][s["start"] : s["end"]]) for s in r.spans] for r in P.find(df, trusted=trusted).collect()}
+    assert out[12] == [("secret", "hunter2")] and out[13][0][1].startswith("pw-") and out[23] == [("email", "u7(at)mail.org")]
+    assert all(not out[i] for i in range(24, len(lines) - 2)) and all(len(out[i]) == 1 for i in (0, len(lines) - 1))
+    assert P.patterns(df.where("text is null or text = ''")).count() == 0
