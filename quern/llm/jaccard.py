@@ -1,7 +1,7 @@
 """N-gram Jaccard join: which documents' shingle sets are alike, and the components that their links make.
 
 1. One pass gives each document's number of shingles and the fingerprint of its set; documents with equal sets are one class
-   and need no comparison. The same pass counts shingles in a fixed number of cells, over all documents.
+   and need no comparison. The same pass counts shingles in cells, over all documents; the number of cells follows the input.
 2. Shingles are ordered rarest first: by their cell's count, then by hash, which is the same order for all. Two sets that are
    alike share a shingle among their first n - ceil(share * n) + 1. Those entries are dealt by shingle.
 3. In each group of entries the class that has least of its own (the most common prefix) is the hub. Pairs of hub and member
@@ -22,12 +22,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.store import written
+from quern.llm.store import free, written
 from quern.llm.tokens import LOWERED, Words, grams, mix, slices, words_of
 
-CELLS = 1 << 19  # counters of shingles: 2 MB in all, whatever the input
-CELL_BLOCKS = 32
+CELLS = (1 << 19, 1 << 23)  # counters of shingles, at least and at most: a byte each where they are broadcast
+CELL_BYTES = 1024  # of text for each counter, between the two
+CELL_BLOCK = 1 << 14  # counters that are moved and summed together
+SLICE = 2 << 20  # bytes of text that are held as words at once
 PARTS = 64  # of the suffix filter
+COUNTED = 2**15 - 1  # what a part counts at most
 MOST_BITS = 1 << 26  # of the filter of wanted classes: 8 MB at most
 
 
@@ -43,58 +46,70 @@ def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def class_key(shingles: np.ndarray) -> int:
-    """64 bits of a set, as a signed integer."""
-    total = np.add.reduce(mix(shingles)) if len(shingles) else np.uint64(0)
-    return int(mix(np.array([total, np.bitwise_xor.reduce(shingles) if len(shingles) else 0], np.uint64)).astype(np.int64)[0])
+def class_key(shingles: np.ndarray, salt: int) -> int:
+    """64 bits of a set, as a signed integer; another salt gives others."""
+    total = np.add.reduce(mix(shingles ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))) if len(shingles) else np.uint64(0)
+    return int(mix(np.array([total], np.uint64)).astype(np.int64)[0])
 
 
-def cell_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def cell_of(shingles: np.ndarray, cells: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
-def _rows(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, key) by document, and in further rows (block, cells): parts of the counters."""
+def _rows(docs: DataFrame, n: int, salt: int, n_cells: int) -> DataFrame:
+    """(id, n, key, key2) by document, and in further rows (block, cells): parts of the counters. key2: 64 other bits of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "key", "block", "cells"]
-        counts = np.zeros(CELLS, np.int64)
+        names = ["id", "n", "key", "key2", "block", "cells"]
+        counts = np.zeros(n_cells, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text"):
-                sizes, keys = [], []
+            for part in slices(batch, "text", SLICE):
+                sizes, keys, others = [], [], []
                 for own in shingle_sets(words_of(part.column("text"), LOWERED), n):
                     sizes.append(len(own))
-                    keys.append(class_key(own))
-                    np.add.at(counts, cell_of(own), 1)
+                    keys.append(class_key(own, salt))
+                    others.append(class_key(own, ~salt))
+                    np.add.at(counts, cell_of(own, n_cells), np.uint32(1))
                 none = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
-        if counts.any():
-            rows = [x.tobytes() for x in counts.reshape(CELL_BLOCKS, -1)]
-            none = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(range(none), pa.int32()), pa.array(rows, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(x, pa.int64()) for x in (sizes, keys, others)], pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+        blocks = counts.reshape(-1, min(CELL_BLOCK, n_cells))
+        some = np.flatnonzero(blocks.any(axis=1))
+        if len(some):
+            none = [pa.nulls(len(some), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, key long, block int, cells binary")
+    return docs.mapInArrow(run, "id long, n long, key long, key2 long, block int, cells binary")
 
 
-def _rarity(rows: DataFrame) -> np.ndarray:
-    """The counters, summed in a stream by block: a fixed size in each task and on the driver."""
+def _rarity(rows: DataFrame, n_cells: int) -> np.ndarray:
+    """Logarithms of the counters (four steps a doubling), a byte each, summed in streams by block; their number is bounded."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
-                own = np.frombuffer(cells.as_buffer(), np.int64)
-                sums[block] = sums[block] + own if block in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "cells"])
+        now, sums = None, np.zeros(0)
 
-    parts = rows.where("block is not null").select("block", "cells").repartition(CELL_BLOCKS, "block").mapInArrow(total, "block int, cells binary")
-    out = np.zeros((CELL_BLOCKS, CELLS // CELL_BLOCKS), np.int64)
-    for r in parts.collect():
-        out[r.block] = np.frombuffer(r.cells, np.int64)
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+        def done() -> pa.RecordBatch:
+            logs = np.minimum(4 * np.log2(1 + sums.astype(np.float64)), 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([logs.tobytes()], pa.binary())], names=["block", "logs"])
 
-
-def _entries(docs: DataFrame, n: int, share: int, rarity: np.ndarray) -> DataFrame:
+        for batch in batches:
+            for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = block, np.zeros(min(CELL_BLOCK, n_cells), np.int64)
+                sums += np.frombuffer(cells.as_buffer(), np.uint32)
+        if now is not None:
+            yield done()
+
+    size = min(CELL_BLOCK, n_cells)
+    parts = rows.where("block is not null").select("block", "cells").repartition(n_cells // size, "block").sortWithinPartitions("block").mapInArrow(total, "block int, logs binary")
+    out = np.zeros((n_cells // size, size), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.block] = np.frombuffer(r.logs, np.uint8)
+    return out.ravel()
+
+
+def _entries(docs: DataFrame, n: int, share: int, rarity: np.ndarray, salt: int) -> DataFrame:
     """(h, key, n << 32 | pos, own) for each shingle of each class's prefix; copies in one slice give one class's entries once.
 
     own: how much of its own a class has, from 0: less for one whose prefix is made of shingles that many have.
@@ -103,17 +118,17 @@ def _entries(docs: DataFrame, n: int, share: int, rarity: np.ndarray) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 seen: set[int] = set()
                 out: list[tuple[np.ndarray, int, int, int]] = []
                 for own in shingle_sets(words_of(part.column("text"), LOWERED), n):
-                    if not len(own) or (key := class_key(own)) in seen:
+                    if not len(own) or (key := class_key(own, salt)) in seen:
                         continue
                     seen.add(key)
                     size = len(own) - -(-len(own) * share // 100) + 1
-                    counts = sent.value[cell_of(own)]
-                    order = np.lexsort((own, counts))[:size]
-                    out.append((own[order], key, len(own), int(1000 * (32 - np.log2(counts[order].astype(np.float64)).mean()))))
+                    logs = sent.value[cell_of(own, len(sent.value))]
+                    order = np.lexsort((own, logs))[:size]
+                    out.append((own[order], key, len(own), int(1000 * (64 - logs[order].mean() / 4))))
                 if out:
                     sizes = np.array([len(x[0]) for x in out])
                     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -219,21 +234,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """Six bytes of each hash: within one pair of sets, as good as eight."""
-    return np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(data: pa.Buffer) -> np.ndarray:
-    out = np.zeros((data.size // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, share: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, share: int, salt: int) -> DataFrame:
     """Pairs (a, b) of classes that are alike, from the texts.
 
-    docs has id and text; classes has each key's least id, so that one document of a class gives its set, not every copy.
+    docs has id and text; classes has each key's least id, so that one document of a class gives its set, not every copy. The
+    result is written; sets and pairs are plain tables, so that adaptive execution can split a class that most pairs have.
     """
     spark = docs.sparkSession
     pairs = small(pairs)
@@ -248,53 +253,49 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found: dict[int, np.ndarray] = {}
                 ids = pc.fill_null(part.column("id"), 0).to_pylist()
                 for doc, own in zip(ids, shingle_sets(words_of(part.column("text"), LOWERED), n), strict=True):
                     if len(own):
-                        at = ((key := class_key(own)) ^ doc) % bits
+                        at = ((key := class_key(own, salt)) ^ doc) % bits
                         if int(sent.value[at >> 6]) >> (at & 63) & 1:
                             found[key] = own
                 if found:
-                    counts = [np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % PARTS, minlength=PARTS), 2**16 - 1).astype(np.uint16).tobytes() for x in found.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(counts, pa.binary()), pa.array([packed(x) for x in found.values()], pa.binary())], names=["key", "parts", "grams"])
+                    counts = np.stack([np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % PARTS, minlength=PARTS), COUNTED) for x in found.values()])
+                    parts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * PARTS), pa.array(counts.ravel().astype(np.int16)))
+                    ends = np.r_[0, np.cumsum([len(x) for x in found.values()])].astype(np.int32)
+                    grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(found.values())).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), parts, grams], names=["key", "parts", "grams"])
 
-    raw = written(docs.mapInArrow(run, "key long, parts binary, grams binary"), "shingle-sets")
+    raw = docs.mapInArrow(run, "key long, parts array<smallint>, grams array<long>")
+    sets = written(raw.groupBy("key").agg(F.first("parts").alias("parts"), F.first("grams").alias("grams")), "shingle-sets")
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
-        sets = raw.groupBy("key").agg(F.first(column).alias(column))
-        one, two = (sets.select(F.col("key").alias(k), F.col(column).alias(f"{k}_{column}")) for k in "ab")
+        one, two = (sets.select(F.col("key").alias(k), F.col(column).alias(f"{k}_own")) for k in "ab")
         return pairs.join(two, "b").join(one, "a")
 
-    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PARTS) for c in ("a_parts", "b_parts"))
-                x, y = x.astype(np.int64), y.astype(np.int64)
-                full = ((x == 2**16 - 1) | (y == 2**16 - 1)).any(axis=1)  # a part that isn't counted out bounds nothing
-                both, sizes = np.minimum(x, y).sum(axis=1), x.sum(axis=1) + y.sum(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(full | ((100 + share) * both >= share * sizes)))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("a_grams"), batch.column("b_grams"), strict=True):
-                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= share * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    near = written(joined(pairs, "parts").mapInArrow(suffix, "a long, b long"), "near")
-    return joined(small(near), "grams").select("a", "b", "a_grams", "b_grams").mapInArrow(exact, "a long, b long")
+    counted_out = lambda c: F.array_max(c) >= COUNTED  # noqa: E731  (a part that isn't counted out bounds nothing)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x.cast("int"))
+    both = total(F.zip_with("a_own", "b_own", lambda x, y: F.least(x, y)))
+    possible = counted_out("a_own") | counted_out("b_own") | ((100 + share) * both >= share * (total("a_own") + total("b_own")))
+    near = written(joined(pairs, "parts").where(possible).select("a", "b"), "near")
+    common = F.size(F.array_intersect("a_own", "b_own"))
+    alike = (100 + share) * common.cast("long") >= share * (F.size("a_own") + F.size("b_own")).cast("long")
+    links = written(joined(small(near), "grams").where(alike).select("a", "b"), "links")
+    free(spark, sets, near)
+    return links
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) reach, for every node that has an edge.
 
+    Rounds grow with the logarithm of the longest chain; if so many aren't enough, that is an error, not a partial answer.
+
     Large-star and small-star rounds: each node's neighbours are tied to its least neighbour. The minimum is a partial
     aggregate and the rest a join, so a node with very many neighbours is gathered nowhere.
     """
+    spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
@@ -308,7 +309,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = written(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        older, now = now, written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        free(spark, older, large)
+    else:
+        raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
     tied = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node")).distinct().join(tied.select("node"), "node", "left_anti")
     return tied.unionByName(roots.select("node", F.col("node").alias("component")))
@@ -321,18 +325,29 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
     the whole sequence of fewer words. component_id is the smallest id that links reach, the document's own included.
     Documents without words (null and empty texts too) are linked with nothing. Rows with a null id link like others but
     give no id; a component of such rows only has a null id. Repeated rows are each answered. class_key (64 bits of the set)
-    is the same for equal sets. Ids are integers; other columns are not carried.
+    is the same for equal sets and, in one call, for no others (128 bits are compared). Shingles are compared by 64 bits. Ids
+    are integers; an empty table gives an empty one; other columns are not carried.
     """
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = df.select("text")
-    rows = written(_rows(df, n), "shingles")
-    rarity = _rarity(rows)
-    own = rows.where("block is null").select("id", "n", "key")
-    classes = written(own.where("n > 0").groupBy("key").agg(F.min("id").alias("least")), "classes")
-    grouped = written(_grouped(_entries(texts, n, share, rarity), share), "grouped")
+    texts, spark = df.select("text"), docs.sparkSession
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_cells = min(CELLS[1], max(CELLS[0], 1 << (size // CELL_BYTES).bit_length()))
+    salt = 0
+    while True:  # until no two sets of this input share the 64 bits of their key; 64 further bits tell
+        rows = written(_rows(df, n, salt, n_cells), "shingles")
+        own = rows.where("block is null").select("id", "n", "key")
+        found = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), (F.min(F.struct("n", "key2")) != F.max(F.struct("n", "key2"))).alias("clash"))
+        classes = written(found, "classes")
+        if classes.where("clash").isEmpty():
+            break
+        free(spark, rows, classes)
+        salt += 1
+    classes = classes.drop("clash")
+    rarity = _rarity(rows, n_cells)
+    grouped = written(_grouped(_entries(texts, n, share, rarity, salt), share), "grouped")
     a, b = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
     star = written(grouped.where("hub is not null").select(a, b).distinct(), "pairs")
-    links = written(_verified(df, star, classes, n, share), "links")
+    links = _verified(df, star, classes, n, share, salt)
     tied = written(components(links), "components")
 
     # What is left: pairs of other members of a group that lie in different components.
@@ -340,11 +355,13 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
     counts = places.groupBy("h", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
     places = written(places.join(small(written(main, "mixed")), "h"), "places")
+    free(spark, grouped)
     cross = _across(places, share)
     cross = written(cross.join(small(star), ["a", "b"], "left_anti"), "pairs")
+    free(spark, places, star)
     if not cross.isEmpty():
-        links = written(links.unionByName(_verified(df, cross, classes, n, share)), "links")
-        tied = written(components(links), "components")
+        tied = written(components(links.unionByName(_verified(df, cross, classes, n, share, salt))), "components")
+    free(spark, cross, links)
 
     classes = classes.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))

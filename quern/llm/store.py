@@ -9,17 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where a session has none (tests on one machine), a temporary folder."""
+    """spark.checkpoint.dir; where a session on one machine has none, a temporary folder. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_PATHS: list[str] = []  # of tables that were written and not deleted, oldest first
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    _PATHS.append(path)
+    return out
+
+
+def mark() -> int:
+    """A place in the list of written tables, for clear()."""
+    return len(_PATHS)
+
+
+def clear(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables written after mark() gave `since`, but for kept ones; nothing may read them any more."""
+    free(spark, *[p for p in _PATHS[since:] if p not in {getattr(d, "_written_to", None) for d in kept}])
+
+
+def free(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables of written() that nothing will read any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else table._written_to
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _PATHS:
+            _PATHS.remove(path)
