@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quern.llm.store import written
-from quern.llm.tokens import TERMS, WordClass, slices, words_of
+from quern.llm.tokens import TERMS, WordClass, slices, small_batches, words_of
 
 BLOCK_CHARS = 1_000_000  # of test texts that go to a task at once
 
@@ -42,7 +42,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array([x.tobytes()], pa.binary()) for x in packed]], ["ids", "first", "terms", "term_starts", "positions"])
 
     schema = T.StructType([T.StructField("ids", T.ArrayType(df.schema["id"].dataType))] + [T.StructField(n, T.BinaryType()) for n in ("first", "terms", "term_starts", "positions")])
-    return df.mapInArrow(shards, schema)
+    return small_batches(df).mapInArrow(shards, schema)
 
 
 class Windows:
@@ -155,7 +155,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
                         pa.array([merged(spans.get(i, [])) for i in range(n)], out.field(3).type), pa.array([sorted(items.get(i, ())) for i in range(n)], out.field(4).type),
                     ], names=out.names)
 
-        return keyed.mapInArrow(answers, schema)
+        return small_batches(keyed).mapInArrow(answers, schema)
 
     if blocks == 1:
         return one(0).drop("key")

@@ -23,12 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.store import free, written
-from quern.llm.tokens import LOWERED, Words, grams, mix, slices, words_of
+from quern.llm.tokens import LOWERED, Words, grams, mix, slices, small_batches, words_of
 
 CELLS = (1 << 19, 1 << 23)  # counters of shingles, at least and at most: a byte each where they are broadcast
 CELL_BYTES = 1024  # of text for each counter, between the two
 CELL_BLOCK = 1 << 14  # counters that are moved and summed together
-SLICE = 2 << 20  # bytes of text that are held as words at once
 PARTS = 64  # of the suffix filter
 COUNTED = 2**15 - 1  # what a part counts at most
 MOST_BITS = 1 << 26  # of the filter of wanted classes: 8 MB at most
@@ -63,7 +62,7 @@ def _rows(docs: DataFrame, n: int, salt: int, n_cells: int) -> DataFrame:
         names = ["id", "n", "key", "key2", "block", "cells"]
         counts = np.zeros(n_cells, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 sizes, keys, others = [], [], []
                 for own in shingle_sets(words_of(part.column("text"), LOWERED), n):
                     sizes.append(len(own))
@@ -78,7 +77,7 @@ def _rows(docs: DataFrame, n: int, salt: int, n_cells: int) -> DataFrame:
             none = [pa.nulls(len(some), pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, key long, key2 long, block int, cells binary")
+    return small_batches(docs).mapInArrow(run, "id long, n long, key long, key2 long, block int, cells binary")
 
 
 def _rarity(rows: DataFrame, n_cells: int) -> np.ndarray:
@@ -118,7 +117,7 @@ def _entries(docs: DataFrame, n: int, share: int, rarity: np.ndarray, salt: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 seen: set[int] = set()
                 out: list[tuple[np.ndarray, int, int, int]] = []
                 for own in shingle_sets(words_of(part.column("text"), LOWERED), n):
@@ -136,7 +135,7 @@ def _entries(docs: DataFrame, n: int, share: int, rarity: np.ndarray, salt: int)
                     cols = [np.concatenate([x[0] for x in out]).astype(np.int64), by_class[0], (by_class[1] << 32) | place, by_class[2]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "key", "place", "own"])
 
-    return docs.mapInArrow(run, "h long, key long, place long, own long")
+    return small_batches(docs).mapInArrow(run, "h long, key long, place long, own long")
 
 
 def _grouped(entries: DataFrame, share: int) -> DataFrame:
@@ -253,7 +252,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 found: dict[int, np.ndarray] = {}
                 ids = pc.fill_null(part.column("id"), 0).to_pylist()
                 for doc, own in zip(ids, shingle_sets(words_of(part.column("text"), LOWERED), n), strict=True):
@@ -268,7 +267,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
                     grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(found.values())).astype(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), parts, grams], names=["key", "parts", "grams"])
 
-    raw = docs.mapInArrow(run, "key long, parts array<smallint>, grams array<long>")
+    raw = small_batches(docs).mapInArrow(run, "key long, parts array<smallint>, grams array<long>")
     sets = written(raw.groupBy("key").agg(F.first("parts").alias("parts"), F.first("grams").alias("grams")), "shingle-sets")
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quern.llm.tokens import slices
+from quern.llm.tokens import slices, small_batches
 
 MARK = "▁"
 PENALTY = 10.0
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 digests = pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in packed], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, digests], names=[*part.schema.names, "ids", "ids_sha256"])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -178,4 +178,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to:
                 texts = [None if not x.is_valid else codec.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, to])
 
-    return encoded.mapInArrow(run, schema)
+    return small_batches(encoded).mapInArrow(run, schema)

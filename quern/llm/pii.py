@@ -28,6 +28,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SECRET = r"^(?:(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+|A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+)$"  # seeds only
+SENT = 100_000  # patterns that are broadcast
 WORD_CHARS = 40  # of a context's word; longer ones make no context
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
@@ -166,14 +167,14 @@ def patterns(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap
     before = F.substring_index("context", " _", 1)
     sided = F.contains("context", F.lit(" _ "))
     likely = written(by.select("context", "times", F.when(sided, F.col("context")).otherwise(before).alias("words"), F.substring_index(before, " ", -1).alias("one")), "pii-contexts")
-    ones = likely.select("one").distinct()
-    ones = F.broadcast(ones) if ones.count() <= 100_000 else ones
+    few = F.broadcast if likely.count() <= SENT else (lambda df: df)  # beyond it, joined by shuffle
     words = F.filter(F.split(_normal(F.col("text")), r"\s+"), lambda w: w != "")
     listed = docs.select(F.col(text_col).alias("text")).select(words.alias("w"))
     triples = F.transform("w", lambda w, i: F.struct(w.alias("one"), F.get("w", i - 1).alias("two"), F.get("w", i - 2).alias("three"), F.get("w", i + 2).alias("next")))
-    near = listed.select(F.explode(triples).alias("t")).select("t.*").join(ones, "one", "left_semi").groupBy("one", "two", "three", "next").agg(F.count("*").alias("n"))
+    near = listed.select(F.explode(triples).alias("t")).select("t.*").join(few(likely.select("one").distinct()), "one", "left_semi")
     grams = F.array(F.col("one"), F.concat("two", F.lit(" "), "one"), F.concat("three", F.lit(" "), "two", F.lit(" "), "one"), F.concat("one", F.lit(" _ "), "next"))
-    counts = near.select("n", F.explode(grams).alias("words")).where("words is not null").groupBy("words").agg(F.sum("n").alias("corpus"))
+    counted = near.select(F.explode(grams).alias("words")).join(few(likely.select("words").distinct()), "words", "left_semi")
+    counts = counted.groupBy("words").agg(F.count("*").alias("corpus"))
     specific = written(likely.join(counts, "words").where(F.col("times") >= how.least_specific * F.col("corpus")).select("context"), "pii-specific")
     live = graph.join(specific, "context")
     known = live.where("rank is not null").groupBy("value").agg(F.min("rank").alias("rank"))

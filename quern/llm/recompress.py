@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quern.llm.store import written
-from quern.llm.tokens import RAW, Words, mix, rolling, slices, words_of
+from quern.llm.tokens import RAW, Words, mix, rolling, slices, small_batches, words_of
 
 ROUNDS = 4
 LONGEST = 64  # windows of a segment
@@ -180,7 +180,7 @@ def _segments(texts: DataFrame, window: int, bitmap: np.ndarray | None, hashes:
                     names.append("hashes")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return texts.mapInArrow(run, fields)
+    return small_batches(texts).mapInArrow(run, fields)
 
 
 def _windows(segs: DataFrame) -> DataFrame:

@@ -13,8 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE = 6 << 20  # bytes of text that are held as words at once
+SLICE = 2 << 20  # bytes of text that are held as words at once
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = 4 << 20  # bytes of a batch that goes to a Python worker, a longer row alone
 PIECE = 1 << 18  # bytes that are held as 64-bit values at once
 
 _ROOT = 0x9E3779B97F4A7C15  # odd
@@ -72,6 +75,14 @@ TERMS = word_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 ALNUM = word_class(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes too: 10,000 whole texts may be gigabytes."""
+    now = str(df.sparkSession.conf.get(ARROW_BYTES, str(2**31 - 2))).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        df.sparkSession.conf.set(ARROW_BYTES, str(BATCH))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of at most so many bytes of text; a longer text is a slice of its own."""
     if not batch.num_rows:

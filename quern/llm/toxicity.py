@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quern.llm.store import written
-from quern.llm.tokens import ALNUM, Words, mix, slices, words_of, _UP
+from quern.llm.tokens import ALNUM, Words, mix, slices, small_batches, words_of, _UP
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes
 SEGMENT = 48  # words of a training sequence
@@ -361,7 +361,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
                     out.append(pa.array(_spans(words, at, p, threshold, text_lengths(part.column("_text"))), kind))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _spans(words: Words, at: np.ndarray, p: np.ndarray, threshold: float, lengths: np.ndarray) -> list[list[dict]]:
