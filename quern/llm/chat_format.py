@@ -1,8 +1,9 @@
 r"""Chat formatting by schema fingerprints.
 
-A record is a JSON object in one of several layouts. The sorted paths of its nested fields are hashed; the hash selects a
-declarative mapping that turns the record into canonical turns; a template writes the turns as one string and says which
-code points are under the loss mask. Only DataFrame expressions are used.
+A record is a JSON object in one of several layouts. Its schema, the paths of all its nested fields with their types, is read
+from the record less its texts, at any depth. The paths are hashed; the hash selects a declarative mapping that turns the
+record into canonical turns; a record with further fields is mapped by the layout whose paths it has. A template writes the
+turns as one string and says which code points are under the loss mask. Only DataFrame expressions are used.
 
 Template, for each turn: <|im_start|>role\ntext<|im_end|>\n. Inside roles and texts a backslash is doubled and "<|" becomes
 "<\|", so no control string can appear there; in roles a newline becomes "\n". parse() undoes it exactly.
@@ -10,7 +11,9 @@ Template, for each turn: <|im_start|>role\ntext<|im_end|>\n. Inside roles and te
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,9 +25,10 @@ TURNS = "array<struct<role:string,text:string>>"
 class Layout:
     """How one layout gives turns.
 
-    paths are its field paths, as fingerprint() writes them: a list element is [], and optional ones may be absent.
-    messages = (path of the list, role field, text field), or fields = ((role, (path, ...)), ...): one turn for each
-    role, its texts joined by a blank line; an optional system field goes first. roles renames role values.
+    paths are those of its texts, as field_paths() writes them: a list element is []; a text may be null. optional ones may be
+    absent. messages = (path of the list, role field, text field, or its path in a list of parts), or fields =
+    ((role, (path, ...)), ...): one turn for each role, its texts joined by a blank line. An optional system field goes first.
+    roles renames role values.
     """
 
     name: str
@@ -37,47 +41,86 @@ class Layout:
 
 # The layouts known by default.
 LAYOUTS = [
-    Layout("messages", ("messages", "messages[].content", "messages[].role"), messages=("messages", "role", "content")),
-    Layout("turns", ("turns", "turns[].role", "turns[].text"), messages=("turns", "role", "text")),
-    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), ("system",), messages=("conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
-    Layout("prompt", ("prompt",), ("completion", "response", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion", "response")))),
+    Layout("messages", ("messages[].content", "messages[].role"), messages=("messages", "role", "content")),
+    Layout("parts", ("messages[].content[].text", "messages[].role"), ("messages[].content[].type",), messages=("messages", "role", "content[].text")),
+    Layout("turns", ("turns[].role", "turns[].text"), messages=("turns", "role", "text")),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), ("system",), messages=("conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
     Layout("instruction", ("instruction", "output"), ("input", "system"), fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("nested", ("data", "data.prompt", "data.response"), fields=(("user", ("data.prompt",)), ("assistant", ("data.response",)))),
+    Layout("prompt", ("prompt", "completion"), ("system",), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Layout("response", ("prompt", "response"), ("system",), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("asked", ("prompt",), ("system",), fields=(("system", ("system",)), ("user", ("prompt",)))),
+    Layout("nested", ("data.prompt", "data.response"), fields=(("user", ("data.prompt",)), ("assistant", ("data.response",)))),
 ]
 
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PARTS = rf"({_TEXT}\s*+:|[\[\]{{}},]|[^\s\"\[\]{{}},:]++)|{_TEXT}"
+_NAMES = r"`(?:[^`]|``)*+`:|[^\s<>,:`]++:|[^\s<>,:`]++<|>|[^\s<>,:`]++"
+LONG_TEXTS = {"maxStringLen": str(2**31 - 1)}  # the parser's own limit is 20 million characters
 
-def field_paths(record: Column) -> Column:
-    """Sorted distinct paths of a JSON object's fields, down to the third level; a list element is written []."""
 
-    def under(value: Column, prefix: Column) -> Column:
-        return F.transform(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), lambda k: F.struct(F.concat(prefix, k).alias("path"), _member(value, k).alias("value")))
+def skeleton(record: Column) -> Column:
+    """The record's JSON with every text replaced by an empty one."""
+    return F.array_join(F.transform(F.regexp_extract_all(record, F.lit(_PARTS), 1), lambda t: F.when(t == "", '""').otherwise(t)), "")
 
-    def children(one: Column) -> Column:
-        value, path = one["value"], one["path"]
-        items = F.coalesce(F.from_json(F.when(value.startswith("["), value), "array<string>"), F.array().cast("array<string>"))
-        inner = F.array_distinct(F.flatten(F.transform(items, lambda v: F.transform(under(v, F.concat(path, F.lit("[]."))), lambda x: x["path"]))))
-        return F.concat(F.transform(F.when(value.startswith("{"), under(value, F.concat(path, F.lit(".")))).otherwise(F.array().cast("array<struct<path:string,value:string>>")), lambda x: x["path"]), inner)
 
-    top = under(record, F.lit(""))
-    return F.array_sort(F.array_distinct(F.concat(F.transform(top, lambda x: x["path"]), F.flatten(F.transform(top, children)))))
+def schema_of(record: Column) -> Column:
+    """The nested fields and their types, lists merged; null for null, for what is no JSON object, and for fields that come twice."""
+    parsed = F.schema_of_variant(F.try_parse_json(skeleton(record)))
+    return F.when(parsed.startswith("OBJECT<"), parsed)
 
 
-def _member(value: Column, key: Column) -> Column:
-    """The raw JSON of a member: its key may hold any character, so it is looked up in a map."""
-    return F.element_at(F.from_json(value, "map<string,string>"), key)
+def field_paths(schema: Column) -> Column:
+    """Sorted paths of a schema's innermost fields, at any depth, as path:TYPE; a list element is written [], an empty object OBJECT."""
+    joined = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("."), b))
+    top = lambda s: F.element_at(s["open"], -1)
+    at = lambda s: F.when(s["key"].isNull(), top(s)).otherwise(joined(top(s), s["key"]))
+    state = lambda s, opened, key, paths: F.struct(opened.alias("open"), key.cast("string").alias("key"), paths.alias("paths"), F.size(paths).alias("n"))
+
+    def step(s: Column, t: Column) -> Column:
+        name = F.when(t.startswith("`"), F.replace(F.substr(t, F.lit(2), F.length(t) - 3), F.lit("``"), F.lit("`"))).otherwise(F.substr(t, F.lit(1), F.length(t) - 1))
+        none = F.lit(None).cast("string")
+        return (
+            F.when(t.endswith(":"), state(s, s["open"], name, s["paths"]))
+            .when(t == "OBJECT<", state(s, F.array_append(s["open"], at(s)), none, s["paths"]))
+            .when(t == "ARRAY<", state(s, F.array_append(s["open"], F.concat(at(s), F.lit("[]"))), none, s["paths"]))
+            .when((t == ">") & s["paths"].isNotNull(), state(s, F.slice(s["open"], 1, F.size(s["open"]) - 1), none, s["paths"]))
+            .otherwise(state(s, s["open"], none, F.array_append(s["paths"], F.concat(at(s), F.lit(":"), t))))
+        )
+
+    # An empty object has no field of its own; it gets one.
+    filled = F.regexp_replace(F.replace(schema, F.lit("OBJECT<>"), F.lit("OBJECT")), r"DECIMAL\([0-9]+,[0-9]+\)", "DECIMAL")
+    empty = state(None, F.array(F.lit("")), F.lit(None), F.array().cast("array<string>"))
+    found = F.aggregate(F.regexp_extract_all(filled, F.lit(_NAMES), 0), empty, step, lambda s: s["paths"])
+    return F.array_sort(F.array_distinct(found))
 
 
 def fingerprint(paths: Column) -> Column:
-    """Hash of the sorted paths."""
+    """Hash of the sorted paths and types."""
     return F.sha2(F.array_join(paths, "\n"), 256)
 
 
-def _prints(layout: Layout) -> list[list[str]]:
-    """Every set of paths that the layout covers: its own with each choice of optional ones."""
-    sets = [list(layout.paths)]
-    for extra in layout.optional:
-        sets += [s + [extra] for s in sets]
-    return [sorted(s) for s in sets]
+def _typed(path: str) -> list[str]:
+    return [f"{path}:STRING", f"{path}:VOID"]
+
+
+def _prints(layout: Layout) -> list[str]:
+    """Fingerprints that the layout covers: its own paths with each choice of optional ones and of nulls, and an empty list."""
+    sets: list[list[str]] = [[]]
+    for path in layout.paths:
+        sets = [[*s, t] for s in sets for t in _typed(path)]
+    for path in layout.optional:
+        sets += [[*s, t] for s in sets for t in _typed(path)]
+    if layout.messages:
+        sets += [[f"{layout.messages[0]}[]:VOID"]] + [[f"{layout.messages[0]}[]:VOID", t] for p in layout.optional if "[" not in p for t in _typed(p)]
+    return [hashlib.sha256("\n".join(sorted(s)).encode()).hexdigest() for s in sets]
+
+
+def layout_of(paths: Column, printed: Column, layouts: list[Layout]) -> Column:
+    """The name of the layout whose fingerprint it is; else of the first whose paths are all among these, as texts or nulls."""
+    exact = [F.when(printed.isin(_prints(lay)), F.lit(lay.name)) for lay in layouts]
+    has = lambda p: F.arrays_overlap(paths, F.array(*map(F.lit, _typed(p))))
+    more = [F.when(reduce(lambda a, b: a & b, map(has, lay.paths)), F.lit(lay.name)) for lay in layouts]
+    return F.coalesce(*exact, *more)
 
 
 def _turns(record: Column, layout: Layout) -> Column:
@@ -85,13 +128,21 @@ def _turns(record: Column, layout: Layout) -> Column:
     named = lambda r: F.coalesce(role_of[r], r) if role_of is not None else r
     if layout.messages:
         path, role, text = layout.messages
-        parsed = F.from_json(record, f"struct<`{path}`:array<struct<`{role}`:string,`{text}`:string>>,system:string>")
-        body = F.transform(parsed[path], lambda m: F.struct(F.coalesce(named(m[role]), F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+        inner, _, part = text.partition("[].")
+        kind = f"array<struct<`{part}`:string>>" if part else "string"
+        parsed = F.from_json(record, f"`{path}` array<struct<`{role}`:string,`{inner}`:{kind}>>, `system` string", LONG_TEXTS)
+        said = lambda m: F.array_join(F.transform(m[inner], lambda p: p[part]), "") if part else m[inner]
+        body = F.transform(parsed[path], lambda m: F.struct(F.coalesce(named(m[role]), F.lit("")).alias("role"), F.coalesce(said(m), F.lit("")).alias("text")))
         if "system" not in layout.optional:
             return body
         system = F.array(F.struct(F.lit("system").alias("role"), parsed["system"].alias("text")))
         return F.concat(F.when(parsed["system"].isNotNull(), system).otherwise(F.array().cast(TURNS)), body)
-    turn = lambda role, paths: F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[F.get_json_object(record, "$." + p) for p in paths]), lambda t: t.isNotNull() & (t != "")), "\n\n").alias("text"))
+    tops: dict[str, list[str]] = {}
+    for path in (p for _, paths in layout.fields for p in paths):
+        head, _, rest = path.partition(".")
+        tops.setdefault(head, []).append(rest)
+    parsed = F.from_json(record, ", ".join(f"`{h}` struct<{','.join(f'`{r}`:string' for r in rest)}>" if rest[0] else f"`{h}` string" for h, rest in tops.items()), LONG_TEXTS)
+    turn = lambda role, paths: F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[reduce(lambda c, k: c[k], p.split("."), parsed) for p in paths]), lambda t: t.isNotNull() & (t != "")), "\n\n").alias("text"))
     listed = F.array(*[turn(role, paths) for role, paths in layout.fields])
     return F.filter(listed, lambda t: (t["role"] != "system") | (t["text"] != ""))
 
@@ -139,27 +190,39 @@ def parse(formatted: Column) -> Column:
 def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", layouts: list[Layout] = LAYOUTS, trained: str = "assistant") -> DataFrame:
     """(id_col, fingerprint, layout, turns, formatted, loss_spans), a row for each record.
 
-    A record whose fingerprint no layout covers, a null or one that is no JSON object keeps its row, with null layout,
-    turns, formatted and loss_spans. A message with null role or text has an empty one. Repeated rows are formatted each;
-    other input columns are not carried.
+    A record that no layout covers, a null or one that is no JSON object keeps its row, with null layout, turns, formatted and
+    loss_spans (and null fingerprint, if it has no schema). Fields beyond a layout's are left out, empty lists give no turns,
+    a message with null role or text has an empty one, texts may have any length. Repeated rows are formatted each; an empty
+    table gives an empty one; other input columns are not carried.
     """
     df = records.select(F.col(id_col).alias(id_col), F.col(record_col).alias("_record"))
-    df = df.withColumn("fingerprint", fingerprint(field_paths(F.col("_record"))))
-    known = [(F.sha2(F.lit("\n".join(paths)), 256), lay) for lay in layouts for paths in _prints(lay)]
-    layout = F.coalesce(*[F.when(F.col("fingerprint") == p, F.lit(lay.name)) for p, lay in known])
-    df = df.withColumn("layout", layout)
+    df = df.withColumn("_schema", schema_of(F.col("_record"))).withColumn("_paths", field_paths(F.col("_schema")))
+    df = df.withColumn("fingerprint", fingerprint(F.col("_paths")))
+    df = df.withColumn("layout", layout_of(F.col("_paths"), F.col("fingerprint"), layouts))
     turns = F.coalesce(*[F.when(F.col("layout") == lay.name, _turns(F.col("_record"), lay)) for lay in layouts])
     df = df.withColumn("turns", turns)
     return df.select(id_col, "fingerprint", "layout", "turns", render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns"), trained).alias("loss_spans"))
 
 
 def records_of_turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id_col, record): a JSON object in the messages layout for each conversation, from rows by turn.
+    """(id_col, record): a JSON object for each conversation, from rows by turn.
 
-    Order: turn, nulls first, then role and text, so that ties give the same result each time. Null roles and texts are
-    empty. A conversation is one row of output and so is gathered whole, as any format of it must be.
+    One turn of a user and one of an assistant are a prompt with its response; a system turn before turns of users and
+    assistants is a field of its own; all else is a list of messages. Order: turn, nulls first, then role and text, so that
+    ties give the same result each time. Null roles and texts are empty, a null id is one conversation. A conversation is one
+    row of output and so is gathered whole, as any format of it must be; an empty table gives an empty one; other columns,
+    whatever their names, are not carried.
     """
-    message = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    listed = conversations.groupBy(F.col(id_col).alias(id_col)).agg(F.sort_array(F.collect_list(message)).alias("rows"))
-    body = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return listed.select(id_col, F.to_json(F.struct(body.alias("messages"))).alias("record"))
+    rows = conversations.select(F.col(id_col).alias(id_col), F.col(turn_col).alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text"))
+    message = F.struct(F.col("_turn").alias("turn"), F.coalesce("_role", F.lit("")).alias("role"), F.coalesce("_text", F.lit("")).alias("content"))
+    listed = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(message)).alias("_rows"))
+    said = F.transform("_rows", lambda r: r["role"])
+    text = lambda i: F.get("_rows", F.lit(i))["content"]
+    pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")))
+    spoken = lambda r: F.struct(F.when(r["role"] == "user", "human").otherwise("gpt").alias("from"), r["content"].alias("value"))
+    rest = F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0)))
+    with_system = F.to_json(F.struct(text(0).alias("system"), F.transform(rest, spoken).alias("conversations")))
+    has_system = (F.size("_rows") > 1) & (F.get(said, F.lit(0)) == "system") & F.forall(rest, lambda r: r["role"].isin("user", "assistant"))
+    body = F.transform("_rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
+    record = F.when(said == F.array(F.lit("user"), F.lit("assistant")), pair).when(has_system, with_system).otherwise(F.to_json(F.struct(body.alias("messages"))))
+    return listed.select(id_col, record.alias("record"))

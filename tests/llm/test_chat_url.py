@@ -18,7 +18,7 @@ def test_round_trip_and_loss(spark):
     for c in range(3):
         want = [(r, x) for cc, _, r, x in rows if cc == c]
         assert [(t.role, t.text) for t in by[c].back] == want
-        assert by[c].layout == "messages"
+        assert by[c].layout == "messages"  # more than a pair of turns
         loss = [by[c].formatted[s.start : s.end] for s in by[c].loss_spans]
         back = [x.replace("\\|", "\0").replace("\\\\", "\\").replace("\0", "|") for x in loss if "\\\\|" not in x]
         assert [x for x in back] == [x for r, x in want if r == "assistant" and "\\\\|" not in x.replace("\\", "\\\\").replace("<|", "<\\|")]
@@ -35,10 +35,17 @@ def test_layouts(spark):
         (5, {"instruction": "hi", "input": "", "output": "yo"}, "instruction"),
         (6, {"data": {"prompt": "hi", "response": "yo"}}, "nested"),
         (7, {"what": 1}, None),
+        (11, {"messages": [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}]}, "parts"),
+        # Further fields, at any depth.
+        (12, {"id": 5, "meta": {"a b": [{"c": [1]}]}, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "assistant", "content": "yo"}]}, "messages"),
+        (13, {"prompt": "hi", "response": "yo", "source": None}, "response"),
+        # What isn't text where a layout has text is another layout.
+        (14, {"messages": [{"role": "user", "content": {"other": "hi"}}]}, None),
+        (15, {"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": {"other": "hi"}}]}, None),
     ]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x, _ in cases] + [(8, None), (9, "not json"), (10, "[1]")], "conv_id int, record string")
     out = {r.conv_id: r for r in C.format_chats(df).collect()}
-    assert len(out) == 10
+    assert len(out) == 15 and len({out[i].fingerprint for i in (1, 11, 12, 14, 15)}) == 5
     for i, _, name in cases:
         assert out[i].layout == name
         if name:
@@ -104,3 +111,33 @@ def test_rare_label_and_rare_hosts_count(spark):
     assert model.pipeline is not None and abs(model.prior - 2 / 3002) < 1e-12
     rates = {r.suffix3: r.suffix3_rate for r in model.rates["suffix3"].collect()}
     assert len(rates) == 3001 and max(rates, key=rates.get) == "x-buy.example.net"
+
+
+def test_paths_of_any_depth(spark):
+    deep = {"a": {"b.c": [{"d`e": [[{"f": 1}]], "g": {}}, {"h": None}]}, "t": "x:{\"y\"} \\", "l": [], "m": ["a", 1]}
+    deeper = '{"k":' * 300 + "true" + "}" * 300
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, deeper), (3, '{"a":1,"a":2}'), (4, '{"a" : "x", "b":[1.5]}'), (5, "{}")], "i int, r string")
+    out = {r.i: r.p for r in df.select("i", C.field_paths(C.schema_of(F.col("r"))).alias("p")).collect()}
+    assert out[1] == sorted(["a.b.c[].d`e[][].f:BIGINT", "a.b.c[].g:OBJECT", "a.b.c[].h:VOID", "t:STRING", "l[]:VOID", "m[]:VARIANT"])
+    assert out[2] == [".".join("k" * 300) + ":BOOLEAN"] and out[3] is None
+    assert [p.split("(")[0] for p in out[4]] == ["a:STRING", "b[]:DECIMAL"] and out[5] == [":OBJECT"]
+
+
+def test_texts_of_any_length_and_empty_lists(spark):
+    long = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit('a<|"'), 5_300_000).alias("text"))
+    pair = long.withColumn("conv_id", F.lit(2)).withColumn("role", F.lit("user")).unionByName(long.withColumns({"conv_id": F.lit(2), "turn": F.lit(1), "text": F.lit("ok")}))
+    done = C.format_chats(C.records_of_turns(long.unionByName(pair))).select("conv_id", "layout", C.parse(F.col("formatted")).alias("back"))
+    out = {r.conv_id: r for r in done.select("conv_id", "layout", F.size("back").alias("n"), F.length(F.col("back")[0]["text"]).alias("size"), F.xxhash64(F.col("back")[0]["text"]).alias("h")).collect()}
+    want = long.select(F.xxhash64("text")).first()[0]
+    assert all((out[i].size, out[i].h) == (21_200_000, want) for i in (1, 2)) and (out[1].layout, out[2].layout, out[2].n) == ("messages", "response", 2)
+    none = spark.createDataFrame([(1, '{"messages": []}'), (2, '{"conversations": [], "system": "s"}')], "conv_id int, record string")
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in C.format_chats(none).collect()} == {1: [], 2: [("system", "s")]}
+
+
+def test_layouts_of_rows_and_clashing_names(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", "u"), (2, 1, "assistant", ""), (3, 0, "tool", "x"), (4, 0, "system", "s"), (4, 1, "gpt", "u"), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], "conv_id long, turn long, role string, text string, _rows string, record int")
+    out = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in C.format_chats(C.records_of_turns(df)).collect()}
+    assert out[1] == ("conversations", [("system", "s"), ("user", "u"), ("assistant", "a")]) and out[2] == ("response", [("user", "u"), ("assistant", "")])
+    assert out[3] == ("messages", [("tool", "x")]) and out[4] == ("messages", [("system", "s"), ("gpt", "u")]) and out[None] == ("messages", [("", "")])
+    assert C.records_of_turns(df.limit(0)).count() == 0
