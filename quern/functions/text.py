@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Words that don't count in titles, and prefixes of place names.
-STOPWORDS = ["the", "and", "for", "with", "from", "that", "this", "are", "was", "were", "been", "over", "under", "into", "onto", "using", "via", "its", "their", "our"]
-PREFIXES = ["city of", "town of", "province of", "region of"]
+#: Words that don't count in titles, what stands before place names, and texts that mean a missing value.
+STOPWORDS = ["a", "an", "and", "the", "of", "for", "in", "on", "to", "with", "using", "from", "its", "at", "by", "or", "as", "is", "are", "be"]
+PREFIXES = ["US Diplomatic Post:", "US Embassy", "US Consulate", "StateAir"]
+MISSING = ["n/a", "na", "n.a.", "none", "null", "nil", "unknown", "-", "--", "?"]
 
 
 def title_tokens(text: Column) -> Column:
@@ -19,6 +20,21 @@ def recall(query: Column, title: Column) -> Column:
     return F.size(F.array_intersect(query, title)) / F.nullif(F.size(query), F.lit(0))
 
 
+def recall_join(queries: DataFrame, titles: DataFrame, query_id: str, title_id: str, share: float) -> DataFrame:
+    """(query_id, title_id, share) of all pairs where the query has share or more of the title's tokens; both have `tokens`.
+
+    An inverted index: a query with share of n tokens has one of any n - ceil(share * n) + 1 of them, so a title is filed
+    under so many of its rarest tokens only, and each pair is verified once. Rows without tokens match nothing.
+    """
+    counts = titles.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    ranked = titles.select(title_id, F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(counts, "t")
+    by = Window.partitionBy(title_id).orderBy("n", "t")
+    prefix = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1)
+    pairs = queries.select(query_id, F.explode("tokens").alias("t")).join(prefix.select(title_id, "t"), "t").select(query_id, title_id).distinct()
+    both = pairs.join(queries.select(query_id, F.col("tokens").alias("q")), query_id).join(titles.select(title_id, F.col("tokens").alias("d")), title_id)
+    return both.select(query_id, title_id, recall(F.col("d"), F.col("q")).alias("share")).where(F.col("share") >= share)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
 
@@ -28,12 +44,13 @@ def strip_tags(text: Column) -> Column:
 
 
 def city_of(locality: Column, name: Column) -> Column:
-    """The locality, or the name without known prefixes."""
-    out = name
+    """The locality, or the name without known prefixes (whatever their case); null if what is left means a missing value."""
+    out = F.trim(name)
     for p in PREFIXES:
-        out = F.regexp_replace(out, f"(?i)^{p}[: ]*", "")
-    return F.coalesce(F.nullif(F.trim(locality), F.lit("")), F.trim(out))
+        out = F.when(F.startswith(F.lower(out), F.lit(p.lower())), F.trim(F.ltrim(F.substring(out, len(p) + 1, 2**30), F.lit(": ")))).otherwise(out)
+    label = F.when(~is_missing(name) & ~is_missing(out), out)
+    return F.when(is_missing(locality), label).otherwise(F.trim(locality))
 
 
 def is_missing(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "") | F.lower(F.trim(text)).isin("n/a", "na", "n.a.", "none", "null", "nil", "unknown", "-", "--", "?")
+    return text.isNull() | (F.trim(text) == "") | F.lower(F.trim(text)).isin(MISSING)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -28,13 +30,25 @@ def ridge(rows: DataFrame, penalty: float = 1.0) -> DataFrame:
     return model.transform(rows.where("block = 'test'"))
 
 
-def boosted(rows: DataFrame, held_out: str, trees: int = 20, depth: int = 4, seed: int = 0) -> DataFrame:
+def boosted(rows: DataFrame, held_out: str, trees: int = 20, depth: int = 4, seed: int = 0, share: float = 0.8) -> DataFrame:
     """Trained without the held-out city's rows, scored on its test block."""
     train = rows.where((F.col("block") == "train") & (F.col("city") != held_out))
-    model = GBTRegressor(featuresCol="x", labelCol="target", predictionCol="pred", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed).fit(train)
+    model = GBTRegressor(featuresCol="x", labelCol="target", predictionCol="pred", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, subsamplingRate=share).fit(train)
     return model.transform(rows.where((F.col("block") == "test") & (F.col("city") == held_out)))
 
 
+def leave_city_out(rows: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), **how) -> DataFrame:
+    """boosted() for each city held out and each seed, with columns seed and pred. Cities are a small dimension."""
+    cities = [r.city for r in rows.select("city").distinct().orderBy("city").collect()]
+    parts = [boosted(rows, c, seed=s, **how).withColumn("seed", F.lit(s)) for c in cities for s in seeds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ensemble(rows: DataFrame) -> DataFrame:
+    """The seeds' mean prediction for each station and date."""
+    return rows.groupBy("station_id", "city", "date").agg(F.first("target").alias("target"), F.avg("pred").alias("pred"), F.count("*").alias("n_seeds"))
+
+
 def score(rows: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.regression(rows, keys, "target", "pred")
 

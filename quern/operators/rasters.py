@@ -27,6 +27,12 @@ def year_blocks(months: DataFrame, size: int) -> DataFrame:
     return months.select(F.year("m").alias("year"), F.floor((rn - 1) / size).cast("long").alias("block")).groupBy("year", "block").agg(F.count("*").alias("n"))
 
 
+def nearest_on(axis: list[float], value: Column) -> Column:
+    """The axis's value that is nearest, the first of equals. An axis is a parameter of a grid's file."""
+    each = F.array(*[F.struct(F.abs(F.lit(float(x)) - value).alias("gap"), F.lit(i).alias("i"), F.lit(float(x)).alias("x")) for i, x in enumerate(axis)])
+    return F.array_min(each)["x"]
+
+
 def daily_composite(slices: DataFrame, keys: list[str], cell: str, value: str) -> DataFrame:
     """(*keys, value, valid_cells): the mean of a day's slices for each cell first, then the mean over cells.
 

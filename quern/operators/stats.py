@@ -10,13 +10,17 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
-def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d", order: str = "ts") -> DataFrame:
-    """(*keys, n, mean, lrv): Bartlett weights, autocovariances over n; lags count rows with a value."""
+def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d", order: str = "ts", own: str | None = None) -> DataFrame:
+    """(*keys, n, mean, lrv): Bartlett weights, autocovariances over n; lags count rows with a value.
+
+    own: a column with each key's own number of lags, of which lags is the most.
+    """
+    span = F.col(own) if own else F.lit(lags)
     w = Window.partitionBy(*keys).orderBy(order)
     x = d.where(F.col(value).isNotNull()).withColumns({"_rn": F.row_number().over(w), "_c": F.col(value) - F.avg(value).over(Window.partitionBy(*keys)), "_m": F.avg(value).over(Window.partitionBy(*keys))})
     terms = F.col("_c") * F.col("_c")
     for lag in range(1, lags + 1):
-        terms = terms + 2 * (1 - lag / (lags + 1)) * F.col("_c") * F.coalesce(F.lag("_c", lag).over(w), F.lit(0.0))
+        terms = terms + 2 * F.greatest(F.lit(0.0), 1 - lag / (span + 1)) * F.col("_c") * F.coalesce(F.lag("_c", lag).over(w), F.lit(0.0))
     return x.withColumn("_t", terms).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_m").alias("mean"), (F.sum("_t") / F.count("*")).alias("lrv"))
 
 
@@ -25,20 +29,38 @@ def bandwidth(n):
     return F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
 
 
-def diebold_mariano(losses: DataFrame, keys: list[str], lags: int, least: int = 10, order: str = "ts") -> DataFrame:
+def diebold_mariano(losses: DataFrame, keys: list[str], lags: int, least: int = 10, order: str = "ts", own: str | None = None) -> DataFrame:
     """(*keys, n, mean_diff, lrv, dm) from columns la, lb: the statistic with the small-sample factor for h = lags + 1.
 
     Null under `least` rows or without variance; 0 if no two losses differ by more than 1e-8.
     """
     d = losses.where(F.col("la").isNotNull() & F.col("lb").isNotNull()).withColumn("d", F.col("la") - F.col("lb"))
-    out = long_run_variance(d, keys, lags, order=order)
+    out = long_run_variance(d, keys, lags, order=order, own=own)
     tie = d.groupBy(*keys).agg(F.max(F.abs("d")).alias("_top"))
-    h, n = lags + 1, F.col("n")
+    h, n = (F.col(own) if own else F.lit(lags)) + 1, F.col("n")
     factor = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(0.0)))
     dm = F.when(n < least, None).when(F.col("_top") <= 1e-8, F.lit(0.0)).when(F.col("lrv") <= 0, None).otherwise(F.col("mean") / F.sqrt(F.col("lrv") / n) * factor)
     return out.join(tie, keys).select(*keys, "n", F.col("mean").alias("mean_diff"), "lrv", dm.alias("dm"))
 
 
+def pairwise(scored: DataFrame, keys: list[str], least_lags: int = 0, absolute: bool = False, order: str = "ts", least: int = 10) -> DataFrame:
+    """(*keys, model_a, model_b, n, lags, mean_diff, dm) for every pair of model names in order, from obs `value` and `pred`.
+
+    Losses are squared or absolute errors; rows where one of the two has no prediction don't count. lags is the automatic
+    bandwidth, at least least_lags. The rows of one time are gathered: there are as many as models.
+    """
+    e = F.col("pred") - F.col("value")
+    told = scored.where("value is not null and pred is not null").groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("model", (F.abs(e) if absolute else e * e).alias("l")))).alias("_m"))
+    pairs = F.flatten(F.transform("_m", lambda a: F.transform(F.filter("_m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a["model"].alias("model_a"), b["model"].alias("model_b"), a["l"].alias("la"), b["l"].alias("lb")))))
+    rows = told.select(*keys, order, F.explode(pairs).alias("p")).select(*keys, order, "p.*")
+    by = [*keys, "model_a", "model_b"]
+    n = F.count("*").over(Window.partitionBy(*by))
+    rows = rows.withColumn("lags", F.greatest(bandwidth(n), F.lit(least_lags)).cast("int"))
+    most = rows.agg(F.max("lags")).first()[0] or 0
+    out = diebold_mariano(rows, [*by, "lags"], most, least, order, own="lags")
+    return out.select(*by, "n", "lags", "mean_diff", "dm")
+
+
 def _betacf(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, by Lentz's method."""
     c, d = 1.0, 1 - (a + b) * x / (a + 1)

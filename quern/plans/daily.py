@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import text as tx
 from quern.functions.geo import haversine
-from quern.operators import features as ft, learned, metrics, splits, stats
+from quern.operators import features as ft, learned, metrics, rasters, splits, stats
 from quern.plans.hourly import HAVERSINE, REGRESSION, ROUNDED, r
 from quern.plans.registry import DAILY, PANEL, query
 from quern.sources import tables as src
@@ -157,7 +157,7 @@ def daily_block_assignment(spark: SparkSession, sf: str) -> DataFrame:
 # --- geography and calendars ---
 
 #: Reference points (degrees).
-POINTS = [("p0", 45.0, 59.0), ("p1", 44.5, 60.5), ("p2", 43.8, 59.3), ("p3", 46.2, 61.0), ("p4", 45.6, 58.2), ("p5", 44.1, 61.4)]
+POINTS = [("p0", 45.20, 59.00), ("p1", 44.60, 58.80), ("p2", 44.30, 59.60), ("p3", 44.90, 60.20), ("p4", 43.90, 59.20), ("p5", 45.60, 60.50)]
 SQL_POINTS = "points AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in POINTS) + ") v(point, latitude, longitude))"
 
 
@@ -167,13 +167,21 @@ def distance_to_reference_points(spark: SparkSession, sf: str) -> DataFrame:
     return src.stations(spark).withColumn("p", F.array_min(each)).select("station_id", F.round("p.km", 2).alias("km"), F.col("p.point").alias("nearest"))
 
 
-CELL = "cell AS (SELECT station_id, round(latitude / 0.4) * 0.4 AS cell_lat, round(longitude / 0.4) * 0.4 AS cell_lon, latitude, longitude FROM stations)"
+#: A grid's axes, latitudes from the north on, as such files have them.
+LATITUDES = [round(54.8 - 0.4 * i, 4) for i in range(60)]
+LONGITUDES = [round(52.2 + 0.4 * i, 4) for i in range(80)]
+
+
+def _nearest_sql(axis: list[float], value: str) -> str:
+    return f"(SELECT arg_min(x, (abs(x - {value}), i)) FROM (SELECT unnest({axis}) AS x, unnest(range({len(axis)})) AS i))"
+
+
+CELL = f"cell AS (SELECT station_id, {_nearest_sql(LATITUDES, 'latitude')} AS cell_lat, {_nearest_sql(LONGITUDES, 'longitude')} AS cell_lon, latitude, longitude FROM stations)"
 
 
 def cells(spark: SparkSession) -> DataFrame:
-    """Each station's nearest cell of a regular grid."""
-    near = lambda c: F.round(F.col(c) / 0.4) * 0.4
-    return src.stations(spark).withColumns({"cell_lat": near("latitude"), "cell_lon": near("longitude")})
+    """Each station's nearest cell, on each axis for itself."""
+    return src.stations(spark).withColumns({"cell_lat": rasters.nearest_on(LATITUDES, F.col("latitude")), "cell_lon": rasters.nearest_on(LONGITUDES, F.col("longitude"))})
 
 
 @query(f"WITH {PANEL}, {CELL} SELECT station_id, round(cell_lat, 4) AS cell_lat, round(cell_lon, 4) AS cell_lon, round(111 * sqrt(pow(latitude - cell_lat, 2) + pow((longitude - cell_lon) * cos(radians(latitude)), 2)), 4) AS offset_km FROM cell")
@@ -211,13 +219,12 @@ def tokens_sql(text: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP})))"
 
 
-@query(f"WITH q AS (SELECT item_id, {tokens_sql('text')} AS q FROM benchmark), d AS (SELECT item_id % 40 AS k, item_id AS id2, {tokens_sql('left(text, 120)')} AS t FROM benchmark) SELECT q.item_id, id2, round(len(list_intersect(t, q)) / nullif(CAST(len(t) AS DOUBLE), 0), 5) AS share, coalesce(len(list_intersect(t, q)) / nullif(CAST(len(t) AS DOUBLE), 0) >= 0.62, false) AS matches FROM q JOIN d ON q.item_id % 40 = d.k")
+@query(f"WITH q AS (SELECT item_id, {tokens_sql('text')} AS q FROM benchmark), m AS (SELECT q.item_id, d.item_id AS id2, len(list_intersect(d.q, q.q)) / nullif(CAST(len(d.q) AS DOUBLE), 0) AS share FROM q JOIN q d ON true) SELECT item_id, id2, round(share, 5) AS share, true AS matches FROM m WHERE share >= 0.62")
 def token_recall_match(spark: SparkSession, sf: str) -> DataFrame:
-    b = src.table(spark, sf, "benchmark")
-    q = b.select("item_id", (F.col("item_id") % 40).alias("k"), tx.title_tokens(F.col("text")).alias("q"))
-    d = b.select(F.col("item_id").alias("id2"), (F.col("item_id") % 40).alias("k"), tx.title_tokens(F.substring("text", 1, 120)).alias("t"))
-    share = tx.recall(F.col("t"), F.col("q"))
-    return q.join(d, "k").select("item_id", "id2", F.round(share, 5).alias("share"), F.coalesce(share >= 0.62, F.lit(False)).alias("matches"))
+    """Pairs of items where the one's whole text has 62 % or more of the other's tokens."""
+    t = src.table(spark, sf, "benchmark").select("item_id", tx.title_tokens(F.col("text")).alias("tokens"))
+    found = tx.recall_join(t, t.select(F.col("item_id").alias("id2"), "tokens"), "item_id", "id2", 0.62)
+    return found.select("item_id", "id2", F.round("share", 5).alias("share"), F.lit(True).alias("matches"))
 
 
 @query(f"WITH a AS (SELECT page_id, {tokens_sql("regexp_extract(html, '<title>([^<]*)', 1)")} AS a, {tokens_sql("regexp_extract(html, '<h1>([^<]*)', 1)")} AS b FROM pages) SELECT page_id, round(len(list_intersect(a, b)) / nullif(CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 0), 5) AS jaccard, coalesce(len(list_intersect(a, b)) / nullif(CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 0) >= 0.85, false) AS same FROM a")
@@ -228,17 +235,29 @@ def jaccard_identity(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", F.round(j, 5).alias("jaccard"), F.coalesce(j >= 0.85, F.lit(False)).alias("same"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>.*?</h1>', 0), '<[^>]+>', '', 'g')) AS title FROM pages")
+@query("SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS title FROM pages")
 def strip_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return src.table(spark, sf, "pages").select("page_id", tx.strip_tags(F.regexp_extract("html", "<h1>.*?</h1>", 0)).alias("title"))
+    return src.table(spark, sf, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("title"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE s_name END AS city FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def city_from_name(spark: SparkSession, sf: str) -> DataFrame:
+MISSING = "(" + ", ".join(f"'{m}'" for m in tx.MISSING) + ")"
+NAMED = """l AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'N/A' WHEN 2 THEN '  ' WHEN 3 THEN ' -- ' END AS loc,
+ CASE s_suppkey % 7 WHEN 0 THEN 'US Diplomatic Post: ' || s_name WHEN 1 THEN 'us embassy ' || s_name WHEN 2 THEN 'US Consulate' WHEN 3 THEN 'StateAir: : ' || s_name WHEN 4 THEN 'unknown' WHEN 5 THEN ' ' || s_name || ' ' END AS nm FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(nm), '^us diplomatic post:[: ]*', '', 'i'), '^us embassy[: ]*', '', 'i'), '^us consulate[: ]*', '', 'i'), '^stateair[: ]*', '', 'i')) AS lab FROM l)"""
+
+
+def named_places(spark: SparkSession, sf: str) -> DataFrame:
+    """(s_suppkey, loc, nm): localities and names, many of which mean a missing value."""
     s, n = src.table(spark, sf, "supplier"), src.table(spark, sf, "nation")
-    locality = F.when(F.col("s_suppkey") % 3 == 0, F.col("n_name")).otherwise(F.lit("  "))
-    name = F.concat(F.element_at(F.array(*map(F.lit, ["City of ", "TOWN OF: ", ""])), (F.col("s_suppkey") % 3 + 1).cast("int")), F.col("s_name"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", tx.city_of(locality, name).alias("city"))
+    pick = lambda m, *values: F.get(F.array(*[v if v is not None else F.lit(None).cast("string") for v in values]), (F.col("s_suppkey") % m).cast("int"))
+    name = F.col("s_name")
+    names = [F.concat(F.lit("US Diplomatic Post: "), name), F.concat(F.lit("us embassy "), name), F.lit("US Consulate"), F.concat(F.lit("StateAir: : "), name), F.lit("unknown"), F.concat(F.lit(" "), name, F.lit(" ")), None]
+    return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", pick(5, F.col("n_name"), F.lit("N/A"), F.lit("  "), F.lit(" -- "), None).alias("loc"), pick(7, *names).alias("nm"))
+
+
+@query(f"WITH {NAMED} SELECT s_suppkey, CASE WHEN loc IS NOT NULL AND trim(loc) <> '' AND lower(trim(loc)) NOT IN {MISSING} THEN trim(loc) WHEN nm IS NULL OR trim(nm) = '' OR lower(trim(nm)) IN {MISSING} OR lab = '' OR lower(lab) IN {MISSING} THEN NULL ELSE lab END AS city FROM p")
+def city_from_name(spark: SparkSession, sf: str) -> DataFrame:
+    return named_places(spark, sf).select("s_suppkey", tx.city_of(F.col("loc"), F.col("nm")).alias("city"))
 
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (WHERE trim(lang) = '' OR lower(trim(lang)) IN ('n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'unknown', '-', '--', '?') OR lang IS NULL) AS n_missing FROM documents GROUP BY 1")
@@ -256,8 +275,8 @@ def ridge_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gbt_loco(spark: SparkSession, sf: str) -> DataFrame:
-    """One held-out region; the loop over regions is the caller's."""
-    return learned.score(learned.boosted(learned.design(target(spark, sf)), "r0"), ["city"])
+    """Every region held out in turn, with two seeds; the seeds' predictions are averaged."""
+    return learned.score(learned.ensemble(learned.leave_city_out(learned.design(target(spark, sf)), seeds=(0, 1))), ["city"])
 
 
 @query()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import text as tx
-from quern.operators import qc, rasters, stats
+from quern.operators import qc, rasters
 from quern.plans.daily import daily, tokens_sql
-from quern.plans.hourly import COMPOSITE, DISTANCES, HAVERSINE, LADDER, PANEL, PLACES, composites, dm, hour, ladder, lrv, places, r, LOSSES, losses
+from quern.plans.hourly import COMPOSITE, DISTANCES, HAVERSINE, LADDER, PANEL, PLACES, composites, hour, ladder, places, r
 from quern.plans.registry import DAILY, query
 from quern.sources import tables as src
 
@@ -29,9 +29,9 @@ def month_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return rasters.year_blocks(span.select(F.explode(F.sequence("a", "z", F.expr("interval 1 month"))).alias("m")), 5)
 
 
-@query("WITH c AS (SELECT 's' || (user_id % 8) AS station_id, CAST(ts AS DATE) AS d, event_type, avg(value) FILTER (WHERE value < 100) AS v FROM events GROUP BY ALL) SELECT station_id, strftime(d, '%Y-%m-%d') AS date, round(avg(v), 5) AS value, count(v) AS valid_cells FROM c GROUP BY station_id, d")
+@query("WITH c AS (SELECT 's' || (user_id % 8) AS station_id, CAST(ts AS DATE) AS d, event_type, avg(value) AS v FROM events GROUP BY ALL) SELECT station_id, strftime(d, '%Y-%m-%d') AS date, round(avg(v), 5) AS value, count(v) AS valid_cells FROM c GROUP BY station_id, d")
 def daily_composite(spark: SparkSession, sf: str) -> DataFrame:
-    e = src.table(spark, sf, "events").select(F.concat(F.lit("s"), F.col("user_id") % 8).alias("station_id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_type").alias("cell"), F.when(F.col("value") < 100, F.col("value")).alias("v"))
+    e = src.table(spark, sf, "events").select(F.concat(F.lit("s"), F.col("user_id") % 8).alias("station_id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_type").alias("cell"), F.col("value").alias("v"))
     return rasters.daily_composite(e, ["station_id", "date"], "cell", "v").select("station_id", "date", r("value"), "valid_cells")
 
 
@@ -79,25 +79,12 @@ def daily_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return long.groupBy("station_id", "name").agg(F.count("value").alias("n"), F.round(F.avg("value"), 5).alias("mean"))
 
 
-@query("SELECT l_returnflag, o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate GROUP BY ALL")
-def late_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A fact join with a residual condition, aggregated."""
-    l, o = src.table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate"), src.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    return l.join(o, (l.l_orderkey == o.o_orderkey) & (l.l_shipdate > o.o_orderdate)).groupBy("l_returnflag", "o_orderpriority").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH t AS (SELECT item_id, {tokens_sql('text')} AS t FROM benchmark) SELECT item_id, len(list_filter(['erer', 'thea'], lambda x: NOT list_contains(t, x))) = 0 AS passes FROM t")
 def required_token_gate(spark: SparkSession, sf: str) -> DataFrame:
     need = F.array(F.lit("erer"), F.lit("thea"))
     return src.table(spark, sf, "benchmark").select("item_id", (F.size(F.array_except(need, tx.title_tokens(F.col("text")))) == 0).alias("passes"))
 
 
-@query(f"WITH {LOSSES}, {lrv(6)}, s AS (SELECT {dm(6)} AS dm FROM lv6) SELECT count(*) AS n, count(*) FILTER (WHERE abs(dm) > 1.96) AS n_large, round(median(abs(dm)), 5) AS median_abs FROM s")
-def dm_pair_summary(spark: SparkSession, sf: str) -> DataFrame:
-    d = stats.diebold_mariano(losses(spark, sf), ["station_id"], 6)
-    return d.agg(F.count("*").alias("n"), F.count_if(F.abs("dm") > 1.96).alias("n_large"), F.round(F.median(F.abs("dm")), 5).alias("median_abs"))
-
-
 @query(f"WITH {LADDER} SELECT station_id, model, horizon_h, count(*) AS n, count(*) >= 100 AS enough FROM scored WHERE value IS NOT NULL AND pred IS NOT NULL GROUP BY ALL")
 def minimum_support(spark: SparkSession, sf: str) -> DataFrame:
     return ladder(spark, sf).where("value is not null and pred is not null").groupBy("station_id", "model", "horizon_h").agg(F.count("*").alias("n"), (F.count("*") >= 100).alias("enough"))

@@ -200,15 +200,13 @@ def q6_verdict(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {COMPOSITE}, cc AS (SELECT station_id, city, hour, z FROM comp JOIN stations USING (station_id)), cref AS (SELECT city, hour, median(z) AS ref FROM cc WHERE z IS NOT NULL GROUP BY ALL),
 ccor AS (SELECT station_id, cc.city, lag, CASE WHEN count(z) = 24 THEN corr(z, ref) END AS r FROM cc CROSS JOIN (SELECT CAST(unnest(range(24)) AS INT) AS lag) JOIN cref ON cref.city = cc.city AND cref.hour = (cc.hour - lag + 24) % 24 GROUP BY ALL),
 cb AS (SELECT station_id, city, CASE WHEN lag > 12 THEN lag - 24 ELSE lag END AS lag_hours FROM ccor WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY round(r, 10) DESC, lag) = 1),
-cn AS (SELECT city, count(*) AS n FROM stations GROUP BY 1)
-SELECT station_id, city, CASE WHEN n < 2 THEN 'pass' WHEN lag_hours IS NULL THEN 'flag' WHEN abs(lag_hours) <= 1 THEN 'pass' ELSE 'reject' END AS verdict FROM stations JOIN cn USING (city) LEFT JOIN cb USING (station_id, city)""")
+cn AS (SELECT city, count(*) AS n FROM stations GROUP BY 1),
+cpk AS (SELECT city, arg_min(hour, (round(ref, 10), hour)) AS rl, arg_max(hour, (round(ref, 10), -hour)) AS rh FROM cref GROUP BY 1)
+SELECT station_id, city, CASE WHEN n < 2 THEN 'pass' WHEN lag_hours IS NULL THEN 'flag' WHEN abs(lag_hours) <= 1 AND abs({WRAP.format('low_hour - rl')}) <= 1 AND abs({WRAP.format('high_hour - rh')}) <= 1 THEN 'pass' ELSE 'reject' END AS verdict
+FROM stations JOIN cn USING (city) LEFT JOIN cb USING (station_id, city) LEFT JOIN pk USING (station_id) LEFT JOIN cpk USING (city)""")
 def q6a_within_city(spark: SparkSession, sf: str) -> DataFrame:
-    st = src.stations(spark)
-    c = composites(spark, sf).join(F.broadcast(st.select("station_id", "city")), "station_id")
-    best = qc.best_lag(qc.lag_correlations(c, qc.median_composite(c, ["city"]), ["station_id"], ["city"]), ["station_id"])
-    n = F.count("*").over(Window.partitionBy("city"))
-    verdict = F.when(F.col("n") < 2, "pass").when(F.col("lag_hours").isNull(), "flag").when(F.abs("lag_hours") <= 1, "pass").otherwise("reject")
-    return st.withColumn("n", n).join(best, "station_id", "left").select("station_id", "city", verdict.alias("verdict"))
+    st = src.stations(spark).select("station_id", "city")
+    return qc.within_city(composites(spark, sf).join(st, "station_id"), st).select("station_id", "city", "verdict")
 
 
 @query(f"WITH {COMPOSITE} SELECT station_id, low_hour, CASE WHEN low_hour BETWEEN 11 AND 18 THEN 'afternoon-minimum' WHEN low_hour <= 8 THEN 'pre-dawn' ELSE 'other' END AS regime FROM pk")

@@ -36,9 +36,13 @@ def no_nans(df: DataFrame) -> DataFrame:
 
 def locations(spark: SparkSession, path: str) -> DataFrame:
     """Census rows from documents that hold records under `results`."""
-    records = spark.read.schema(f"results array<struct<{LOCATION}>>").option("multiLine", True).json(path).select(F.explode("results").alias("r"))
+    return location_rows(spark.read.schema(f"results array<struct<{LOCATION}>>").option("multiLine", True).json(path).select(F.explode("results").alias("r")))
+
+
+def location_rows(records: DataFrame) -> DataFrame:
+    """Census rows from location records, a struct r of LOCATION each."""
     pm = F.filter("r.sensors", lambda s: s["parameter"]["name"] == "pm25")
-    first, last = F.to_timestamp("r.datetimeFirst.utc"), F.to_timestamp("r.datetimeLast.utc")
+    first, last = F.try_to_timestamp(F.col("r.datetimeFirst.utc")), F.try_to_timestamp(F.col("r.datetimeLast.utc"))
     days = (F.unix_timestamp(last) - F.unix_timestamp(first)) / 86400
     return records.select(
         F.col("r.id").cast("string").alias("location_id"), "r.name", "r.locality", F.col("r.country.code").alias("country"), "r.coordinates.latitude", "r.coordinates.longitude",
