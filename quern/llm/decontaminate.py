@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quern.llm.store import written
-from quern.llm.tokens import TERMS, WordClass, slices, small_batches, words_of
+from quern.llm.tokens import BATCH, TERMS, WordClass, slices, small_batches, words_of
 
 BLOCK_CHARS = 1_000_000  # of test texts that go to a task at once
 
@@ -32,7 +32,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH):
                 words = words_of(part.column("text"), kind)
                 order = np.argsort(words.hashes, kind="stable")
                 terms = words.hashes[order]

@@ -25,7 +25,7 @@ from quern.llm.tokens import slices, small_batches
 
 MARK = "▁"
 PENALTY = 10.0
-REMEMBERED = 150_000  # units of at most LONG characters
+REMEMBERED = 100_000  # units of at most LONG characters
 LONG = 48
 
 
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(sent.value)
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col):
                 packed = [None if t is None else codec.encode(t) for t in part.column(text_col).to_pylist()]
                 ends = np.r_[0, np.cumsum([len(p or b"") // 4 for p in packed])].astype(np.int32)
                 nulls = pa.array([p is None for p in packed])

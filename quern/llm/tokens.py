@@ -7,17 +7,19 @@ longer than a slice is a slice of its own and is hashed piece by piece.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE = 2 << 20  # bytes of text that are held as words at once
+SLICE = 1 << 20  # bytes of text that are held as words at once
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH = 4 << 20  # bytes of a batch that goes to a Python worker, a longer row alone
+BATCH = 2 << 20  # bytes of a batch that goes to a Python worker, a longer row alone
 PIECE = 1 << 18  # bytes that are held as 64-bit values at once
 
 _ROOT = 0x9E3779B97F4A7C15  # odd
@@ -94,6 +96,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
         to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as workers are kept for later tasks; where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,6 @@ from quern.llm.tokens import ALNUM, Words, mix, slices, small_batches, words_of,
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes
 SEGMENT = 48  # words of a training sequence
-SCORED = 2 << 20  # bytes of text that are scored at once
 
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
@@ -349,7 +348,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
         kind = to_arrow_type(schema["spans"].dataType) if with_spans else None
         own: ToxicityModel = sent.value
         for batch in batches:
-            for part in slices(batch, "_text", SCORED):
+            for part in slices(batch, "_text"):
                 words = words_of(part.column("_text"), ALNUM)
                 at, p = np.zeros(0, np.int64), np.zeros(0)
                 if own.field is not None:
