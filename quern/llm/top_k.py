@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 8192  # vectors of a block
-QUERY_BLOCK = 1024  # queries that meet a block in one task
+QUERY_BLOCK = 16_384  # queries that meet a block in one task
 SEEDS = 2048  # longest vectors that give the floors
 SEED_VALUES = 1 << 20  # and their components in all
 STEPS = 4  # length groups for each doubling
@@ -84,7 +84,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
 
     All, if there are fewer; ties go to the smaller id. Rows with a null id, a null vector, or a null or non-finite component
     take no part. Vectors meet only those of their own number of components. Of several query rows with one id the one with
-    the smallest vector counts; repeated candidate rows count each.
+    the smallest vector counts; repeated candidate rows count each. An empty table, or none of queries, gives no rows; columns
+    besides the two and what is_query needs are not read.
     """
     spark = vectors.sparkSession
     marked = vectors.select(F.col(id_col).alias("id_"), F.col(vector_col).alias("v_"), is_query.alias("q_"))
@@ -113,8 +114,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     reach = F.col("floor").isNull() | (F.col("floor") <= 0) | (F.col("norm") * F.col("longest") * SLACK >= F.col("floor"))
     asked = queries.join(small(groups), "dim").where(reach).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
     asked = asked.select(F.col("dim").alias("a1"), F.col("bucket").alias("a2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a3"), F.col("part").alias("a4"), "qid", "v", "norm", "floor")
-    dealt = rows.join(small(groups.select("dim", "bucket", "blocks")), ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("blocks")).cast("int"))
-    dealt = dealt.select(F.col("dim").alias("b1"), F.col("bucket").alias("b2"), F.col("block").alias("b3"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b4"), "id", "v", "norm")
+    # Vectors go to the query blocks that ask for their group, and to no others.
+    wanted = asked.select(F.col("a1").alias("dim"), F.col("a2").alias("bucket"), F.col("a4").alias("part")).distinct().groupBy("dim", "bucket").agg(F.collect_list("part").alias("parts"))
+    dealt = rows.join(small(groups.select("dim", "bucket", "blocks").join(wanted, ["dim", "bucket"])), ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("blocks")).cast("int"))
+    dealt = dealt.select(F.col("dim").alias("b1"), F.col("bucket").alias("b2"), F.col("block").alias("b3"), F.explode("parts").alias("b4"), "id", "v", "norm")
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
