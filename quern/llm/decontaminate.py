@@ -56,7 +56,7 @@ class Windows:
             own = numbers[words.first[i] : words.first[i + 1]].tolist()
             for a in range(max(1, len(own) - window + 1)) if own else ():
                 found.setdefault(tuple(own[a : a + window]), set()).add(item)
-        self.sequences, self.items = [np.array(x) for x in found], [sorted(x) for x in found.values()]
+        self.sequences, self.items = [np.array(x) for x in found], [sorted(y for y in x if y is not None) for x in found.values()]
         self.lengths = np.array([len(x) for x in found], np.int64)
         self.flat = np.concatenate(self.sequences) if found else np.zeros(0, np.int64)
 
@@ -116,11 +116,12 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
 
     spans: disjoint ranges of words that lie in an occurrence of a window; item_ids: sorted, of items with such windows. With
     slop, a term may stand up to so many words from its place (proximity). An item with fewer words than window is one
-    window; one without words, without text or without id has none. Test texts go to the tasks in blocks of about
-    block_chars, each against all shards; the blocks' results are merged by document.
+    window; one without words or text has none; the windows of one without id count, but give no id. Test texts go to the
+    tasks in blocks of about block_chars, each against all shards; the blocks' results are merged by document. An empty index
+    gives no rows, an empty benchmark no spans; other columns are not carried; texts may have any length.
     """
     spark = index.sparkSession
-    tests = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0))
+    tests = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     item_type = tests.schema["item"].dataType
@@ -131,7 +132,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int =
     keyed = index.withColumn("shard", F.monotonically_increasing_id())  # the index is stored, so each block sees the same numbers
 
     def one(block: int) -> DataFrame:
-        own = Windows([tuple(r) for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()], window, kind)
+        own = Windows([tuple(r) for r in tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()], window, kind)
         sent = spark.sparkContext.broadcast(own)  # at most about block_chars of text
 
         def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ def contamination(docs, items, n=13):
             for i in range(len(w) - size + 1):
                 if (key := tuple(w[i : i + size])) in windows:
                     hit.update(range(i, i + size))
-                    found |= windows[key]
+                    found |= windows[key] - {None}
         ids = sorted(map(str, found))
         out.append((doc, len(w), len(hit), len(ids), sha(",".join(ids)), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out

@@ -27,7 +27,7 @@ def cases(seed=3):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghij")
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 5, 13, 14, 30])))) for i in range(20)]
-    items += [(20, items[4][1]), (21, None), (22, "...")]
+    items += [(20, items[4][1]), (21, None), (22, "..."), (None, items[5][1]), (None, items[2][1])]
     docs = [(i, t) for i, t in enumerate(ODD)]
     for i in range(60):
         w = [word() for _ in range(rng.choice([3, 40, 300]))]
