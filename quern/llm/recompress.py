@@ -27,6 +27,7 @@ ROUNDS = 4
 LONGEST = 64  # windows of a segment
 MOST_BITS = 1 << 26  # of the filter of repeated anchors: 8 MB at most
 OUTSIDE = np.int32(1 << 30)
+PACKED = np.dtype([("win", "<u8"), ("win2", "<u4")])
 
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _HALVES = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -93,12 +94,14 @@ def _highest(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, hash) of the window that starts at each word; meaningless where it would reach beyond its text."""
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, hash, 32 further bits) of the window that starts at each word; meaningless where it would reach beyond its text."""
     n = len(words.hashes)
     hashes = np.zeros(n, np.uint64)
     own = rolling(words.hashes, window)
     hashes[: len(own)] = own
+    others = np.zeros(n, np.uint32)
+    others[: len(own)] = rolling(mix(words.hashes ^ _SECOND), window) >> np.uint64(32)
     symbols = Symbols(words)
     symbols.runs()
     for turn in range(ROUNDS):
@@ -116,27 +119,27 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
             at = np.zeros(n, np.uint64)
             np.maximum.at(at, symbols.low[mine], value[mine])
             np.maximum(found, _highest(at, window - size + 1), out=found)
-    return np.where(found == 0, hashes >> np.uint64(8), found), hashes
+    return np.where(found == 0, hashes >> np.uint64(8), found), hashes, others
 
 
 def segments(words: Words, window: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor, hash, 2 if a window repeats inside else 1) by segment, and the windows' hashes."""
-    anchor, hashes = anchors(words, window)
+    """(text, first window, windows, anchor, hash, 2 if a window repeats inside else 1) by segment, and the windows' hashes, of 96 bits."""
+    anchor, hashes, others = anchors(words, window)
     n = len(hashes)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     real = np.arange(n) + window <= words.first[1:][text] if n else np.zeros(0, bool)
     at = np.flatnonzero(real)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 6 + (hashes,)
+        return (np.zeros(0, np.int64),) * 6 + (hashes, others)
     new = np.r_[True, (anchor[at[1:]] != anchor[at[:-1]]) | (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])]
     place = np.arange(len(at))
     since = place - np.maximum.accumulate(np.where(new, place, 0))
     first = np.flatnonzero(since % LONGEST == 0)
     size = np.diff(np.r_[first, len(at)])
-    weight = hashes[at] * (_FIRST + (since % LONGEST).astype(np.uint64) * _SECOND * np.uint64(2))
+    weight = (hashes[at] ^ others[at].astype(np.uint64)) * (_FIRST + (since % LONGEST).astype(np.uint64) * _SECOND * np.uint64(2))
     whole = mix(np.add.reduceat(weight, first) + size.astype(np.uint64))
     start = at[first]
-    return text[start], start - words.first[text[start]], size, anchor[start], whole, np.where(_inner(hashes[at], first, size), 2, 1), hashes
+    return text[start], start - words.first[text[start]], size, anchor[start], whole, np.where(_inner(hashes[at], first, size), 2, 1), hashes, others
 
 
 def _inner(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -152,31 +155,32 @@ def _inner(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarra
 def _segments(texts: DataFrame, window: int, bitmap: np.ndarray | None, hashes: bool) -> DataFrame:
     """(anchor, seg, weight, tkey, pos, n[, hashes]) of all segments, or of those whose anchor is in the bitmap.
 
-    hashes: each segment's windows as packed 64-bit integers. Without the bitmap, anchors and weights only.
+    hashes: each segment's windows as packed integers of 64 and 32 bits. Without the bitmap, anchors and weights only.
     """
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
-    fields = "anchor long, weight int" if bitmap is None else "anchor long, seg long, tkey long, pos int, n int" + ", hashes binary" * hashes
+    fields = "anchor long, weight int" if bitmap is None else "anchor long, seg long, tkey binary, pos int, n int" + ", hashes binary" * hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                text, pos, size, anchor, whole, weight, all_hashes = segments(words := words_of(part.column("text"), RAW), window)
+                text, pos, size, anchor, whole, weight, all_hashes, all_others = segments(words := words_of(part.column("text"), RAW), window)
                 if filled is None:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(weight.astype(np.int32))], names=["anchor", "weight"])
                     continue
                 bit = anchor.astype(np.int64) & (len(filled) * 64 - 1)
                 kept = np.flatnonzero(filled[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
-                keys = part.column("tkey").to_numpy()[text[kept]]
-                out = [anchor[kept].astype(np.int64), whole[kept].astype(np.int64), keys, pos[kept].astype(np.int32), size[kept].astype(np.int32)]
+                keys = part.column("tkey").take(pa.array(text[kept]))
                 names = ["anchor", "seg", "tkey", "pos", "n"]
-                cols = [pa.array(x) for x in out]
+                cols = [pa.array(anchor[kept].astype(np.int64)), pa.array(whole[kept].astype(np.int64)), keys, pa.array(pos[kept].astype(np.int32)), pa.array(size[kept].astype(np.int32))]
                 if hashes:
                     begin = words.first[text[kept]] + pos[kept]
                     sizes = size[kept]
                     index = np.repeat(begin - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(kept) else np.zeros(0, np.int64)
-                    ends = np.r_[0, np.cumsum(sizes) * 8].astype(np.int32)
-                    cols.append(pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(all_hashes[index].tobytes())]))
+                    ends = np.r_[0, np.cumsum(sizes) * PACKED.itemsize].astype(np.int32)
+                    packed = np.empty(len(index), PACKED)
+                    packed["win"], packed["win2"] = all_hashes[index], all_others[index]
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())]))
                     names.append("hashes")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -184,20 +188,20 @@ def _segments(texts: DataFrame, window: int, bitmap: np.ndarray | None, hashes:
 
 
 def _windows(segs: DataFrame) -> DataFrame:
-    """(anchor, seg, c, i, win): a row for each window of each distinct segment."""
+    """(anchor, seg, c, i, win, win2): a row for each window of each distinct segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 packed = [x.as_buffer() for x in part.column("hashes")]
-                sizes = np.array([x.size // 8 for x in packed])
-                win = np.frombuffer(b"".join(packed), np.int64)
+                sizes = np.array([x.size // PACKED.itemsize for x in packed])
+                win = np.frombuffer(b"".join(packed), PACKED)
                 i = np.arange(len(win)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 cols = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("anchor", "seg", "c")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(i.astype(np.int32)), pa.array(win)], names=["anchor", "seg", "c", "i", "win"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(i.astype(np.int32)), pa.array(win["win"].astype(np.int64)), pa.array(win["win2"].astype(np.int32))], names=["anchor", "seg", "c", "i", "win", "win2"])
 
-    return segs.select("anchor", "seg", "c", "hashes").mapInArrow(run, "anchor long, seg long, c long, i int, win long")
+    return segs.select("anchor", "seg", "c", "hashes").mapInArrow(run, "anchor long, seg long, c long, i int, win long, win2 int")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -217,8 +221,8 @@ def repeated(texts: DataFrame, window: int) -> DataFrame:
     segs = _segments(texts, window, bitmap, True).groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.first("hashes").alias("hashes"))
     segs = written(segs, "segments")
     windows = _windows(segs)
-    twice = windows.groupBy("win").agg(F.sum(F.least("c", F.lit(2))).alias("c")).where("c > 1").select("win")
-    edges = windows.where("c = 1").join(twice, "win").select("anchor", "seg", F.col("i").alias("pos0"), F.lit(1).alias("n0"))
+    twice = windows.groupBy("win", "win2").agg(F.sum(F.least("c", F.lit(2))).alias("c")).where("c > 1").select("win", "win2")
+    edges = windows.where("c = 1").join(twice, ["win", "win2"]).select("anchor", "seg", F.col("i").alias("pos0"), F.lit(1).alias("n0"))
     parts = edges.groupBy("anchor", "seg").agg(F.sort_array(F.collect_list(F.struct("pos0", "n0"))).alias("parts"))  # at most LONGEST
     whole = segs.where("c > 1").select("anchor", "seg", F.lit(None).cast("array<struct<pos0:int,n0:int>>").alias("parts"))
     flagged = written(whole.unionByName(parts), "flagged")
@@ -233,9 +237,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     A word (a run of other characters than white space) is removed if a window of so many consecutive words that covers it
     also starts anywhere else, in the same text too. kept: the words that stay, joined by single spaces. Null and empty
     texts, and texts of fewer words than the window, keep all they have. Copies remove each other, repeated rows too; null
-    ids stay. Other columns are not carried.
+    ids stay; an empty table gives an empty one. Other columns are not carried. Windows are compared by 96 bits, texts by 128.
     """
-    df = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"), F.xxhash64(text_col, F.length(text_col)).alias("tkey"))
+    df = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("tkey"))  # 128 bits
     found = written(repeated(df.select("tkey", "text"), window), "repeats")
     schema = T.StructType([df.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * keep_text)
 
