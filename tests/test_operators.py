@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import geo, text as tx
-from quern.operators import features, forecast, grid, merge, metrics, nowcast, qc, splits, stats
+from quern.operators import features, forecast, grid, ingest, merge, metrics, nowcast, qc, rasters, specs, splits, stats, works
 from quern.sources import tables as src
 from quern.streaming import hourly as streams
 
@@ -176,3 +176,75 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r.ts.hour: (r.value, r.n) for r in spark.table("means").groupBy("ts").agg(F.max_by("value", "n").alias("value"), F.max("n").alias("n")).collect()}
     assert got == {h: (float(h), 3) for h in range(6)}
+
+
+def test_city_of_literal_cases(spark):
+    rows = [("N/A", "US Diplomatic Post: Bishkek", "Bishkek"), (" Osh ", "x", "Osh"), (None, "us embassy  Dushanbe ", "Dushanbe"), ("  ", "StateAir", None), (None, None, None), ("--", "n.a.", None), ("unknown", "US Consulate : Almaty", "Almaty"), (None, "Town", "Town")]
+    df = spark.createDataFrame(rows, "loc string, name string, want string")
+    assert all(r.got == r.want for r in df.select("want", tx.city_of(F.col("loc"), F.col("name")).alias("got")).collect())
+
+
+def test_title_words(spark):
+    df = spark.createDataFrame([("That was over THE top, via our own using-of 2x",)], "t string")
+    assert df.select(tx.title_tokens(F.col("t")).alias("w")).first().w == ["that", "was", "over", "top", "via", "our", "own"]
+
+
+def test_nearest_on_an_axis_takes_the_first_of_equals(spark):
+    df = spark.createDataFrame([(0.5,), (1.2,), (-9.0,)], "x double")
+    assert [r.y for r in df.select(rasters.nearest_on([1.0, 0.0, 2.0], F.col("x")).alias("y")).collect()] == [1.0, 1.0, 0.0]
+
+
+def test_within_city_needs_lag_minimum_and_maximum(spark):
+    base = [math.sin(2 * math.pi * h / 24) for h in range(24)]
+    moved = list(base)
+    moved[6], moved[9] = base[6] - 0.3, 1.2  # the maximum three hours later, the lag as it was
+    st = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "y")], "station_id string, city string")
+    rows = [(s, c, h, float(z[h])) for s, c, z in (("a", "x", base), ("b", "x", base), ("c", "x", moved), ("d", "y", base[5:] + base[:5])) for h in range(24)]
+    out = {r.station_id: (r.lag_hours, r.verdict) for r in qc.within_city(spark.createDataFrame(rows, "station_id string, city string, hour int, z double"), st).collect()}
+    assert out == {"a": (0, "pass"), "b": (0, "pass"), "c": (0, "reject"), "d": (0, "pass")}
+
+
+def test_kriging_weights_on_a_fixed_pattern(spark):
+    st = spark.createDataFrame([("t", "x", 0.0, 0.0), ("a", "y", 0.0, 1.0), ("b", "y", 0.0, -1.0)], "station_id string, city string, latitude double, longitude double")
+    rows = [(s, START, v) for s, v in (("a", 10.0), ("b", 30.0))]
+    panel = spark.createDataFrame(rows, "station_id string, ts timestamp_ntz, value double")
+    out = {r.station_id: (round(r.pred, 6), r.fallback) for r in nowcast.kriging(panel, st, (0.0, 1.0, 50.0)).collect()}
+    assert out["t"] == (20.0, False)  # two donors as far on either side weigh the same
+
+
+def test_pairwise_uses_the_automatic_bandwidth(spark):
+    rows = [("s", START + dt.timedelta(hours=i), m, float(i % 7), float((i * k) % 11)) for i in range(150) for k, m in ((3, "b"), (5, "a"), (7, "c"))]
+    df = spark.createDataFrame(rows, "station_id string, ts timestamp_ntz, model string, value double, pred double")
+    out = {(r.model_a, r.model_b): r.lags for r in stats.pairwise(df, ["station_id"]).collect()}
+    assert out == dict.fromkeys([("a", "b"), ("a", "c"), ("b", "c")], 4)
+    assert {r.lags for r in stats.pairwise(df, ["station_id"], 24).collect()} == {24}
+
+
+def test_records_and_windows(spark):
+    rows = [("1", 1, "2020-01-01T00:00:00Z", 5.0, 90.0), ("1", 0, "2020-01-01T00:00:00Z", None, 80.0), ("1", 2, "bad", 1.0, 1.0), ("1", 3, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sensor string, position int, period_start string, value double, percent_complete double")
+    assert [(str(r.ts), r.value, r.percent_complete) for r in ingest.records_to_series(df, ["sensor"]).collect()] == [("2020-01-01 00:00:00", None, 80.0)]
+    lo = dt.datetime(2020, 1, 1)
+    windows = spark.createDataFrame([("1", lo, lo + dt.timedelta(minutes=30)), ("2", lo, lo)], "sensor string, lo timestamp, hi timestamp")
+    found = ingest.impossible_windows(df, windows, ["sensor"])
+    assert {r.sensor: r.impossible for r in found.collect()} == {"1": True, "2": False}
+    with pytest.raises(ValueError):
+        ingest.complete_or_raise(found)
+
+
+def test_tiers():
+    columns = ["aod_055", "aod_055_valid_px", "absorbing_aerosol_index", "absorbing_aerosol_index_valid_px", "cams_pm25_forecast", "elevation", "other"]
+    calendar = ["doy_sin", "doy_cos", "month", "dow", "is_heating_season"]
+    assert specs.tier_columns(columns, "static_only") == ["elevation", *calendar]
+    assert specs.tier_columns(columns, "deployable") == ["absorbing_aerosol_index", "absorbing_aerosol_index_valid_px", "cams_pm25_forecast", "elevation", *calendar]
+    assert specs.tier_columns(columns, "retrospective") == ["aod_055", "absorbing_aerosol_index", "aod_055_valid_px", "absorbing_aerosol_index_valid_px", "cams_pm25_forecast", "elevation", *calendar]
+    with pytest.raises(ValueError):
+        specs.tier_columns(columns, "all")
+
+
+def test_merging_keeps_different_works_apart(spark):
+    rows = [(1, 0, "a", "Fast boosting of trees", "10.1/X", None), (1, 1, "b", "Fast boosting of trees", "10.2/Y", "no"), (1, 2, "c", "FAST boosting trees", None, "yes"), (1, 3, "d", "Other title", "10.1/x", "late"), (1, 4, "e", None, None, "never")]
+    df = spark.createDataFrame(rows, "k int, n int, source_api string, title string, doi string, abstract string").withColumns({c: F.lit(None).cast("string") for c in ("year", "venue", "pmcid", "arxiv", "oa_pdf")})
+    r = works.merge_records(df, "k", "n").first()
+    assert (r.doi, r.abstract, r.apis, r.merge_conflicts) == ("10.1/X", "yes", "a,c,d", "b:Fast boosting of trees; e:?")
+    assert works.depth_counts(works.merge_records(df, "k", "n").withColumn("doi", F.col("doi"))).first().depth == "ABSTRACT"
