@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -36,7 +37,8 @@ def test_stages_against_brute_force(spark):
     by = {r.doc_id: r for r in private.collect()}
     assert len(by) == len(now)
     for doc, text, lang, source, n in now:
-        spans = brute.personal(text)
+        keys = [(m.start(1), 4, m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text or "")]
+        spans = sorted(brute.personal(text) + keys)
         out, at = "", 0
         for a, kind, b in spans:
             if a >= at:
@@ -53,7 +55,7 @@ def test_stages_against_brute_force(spark):
 def test_odd_rows(spark):
     text = "one two three four five six seven"
     rows = [(None, text, "en", "s", 1), (None, text, "en", "s", 1), (5, text, None, None, None), (5, text, None, None, None), (7, None, "en", "s", 0), (8, "", "en", "s", 0), (None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _k string, spans string")
     for rows, n in ((docs, 4), (docs.limit(0), 0)):
         at = rows
         for name, stage in P.STAGES:
@@ -68,3 +70,13 @@ def test_different_texts_under_one_id(spark):
     got = [(r.doc_id, r.text) for r in dict(P.STAGES)["near_duplicates"](spark, docs, SF).collect()]
     want = [rows[0], *rows[2:5], *rows[6:]]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_long_texts_and_names(spark):
+    long = " ".join(f"w{i % 3000}" for i in range(300_000)) + " "
+    rows = [(1, long, "en", "s", 1), (2, long + "x", "en", "s", 1), (3, "mail a@b.org", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key int")
+    for name, stage in P.STAGES:
+        docs = P.written(stage(spark, docs, SF), name)
+    got = {r.doc_id: (r.n_chars, r.round_trip) for r in docs.collect()}
+    assert got == {1: (1, True), 3: (len("mail [EMAIL]"), True)}
