@@ -63,19 +63,25 @@ class Codec:
         return cls._built[vocabulary]
 
     def __init__(self, vocabulary: Vocabulary):
-        import ahocorasick
-
         self.v = vocabulary
-        self.automaton = ahocorasick.Automaton()
         kept = [(t, i) for i, t in enumerate(vocabulary.texts) if t]
-        for text, i in kept:
-            self.automaton.add_word(text, (i, len(text), vocabulary.scores[i]))
-        self.automaton.make_automaton()
         self.single = {t for t, _ in kept if len(t) == 1}
         self.unknown = min(vocabulary.scores[i] for _, i in kept) - PENALTY
         self.units = None if any(" " in t.lstrip(" ") for t, _ in kept) else re.compile(" +[^ ]*|[^ ]+")
         self.memory: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self):
+        """Over the pieces; decoding needs none."""
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for i, text in enumerate(self.v.texts):
+            if text:
+                out.add_word(text, (i, len(text), self.v.scores[i]))
+        out.make_automaton()
+        return out
+
     def split(self, text: str) -> bytes:
         """The best split's ids, as packed 32-bit integers."""
         n = len(text)
@@ -140,26 +146,36 @@ def _added(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(column, kind)])
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), checked: bool = False) -> DataFrame:
     """(id_col, text_col, *others, ids array<int>, ids_sha256): ids of every whole text.
 
+    checked: instead of the text, round_trip says whether the ids, decoded in the same pass, give the text (true for null).
+
     ids_sha256 is the hex digest of the ids as little-endian 32-bit integers. A null text has null ids and digest, an empty
-    one no ids. Repeated rows are encoded each; columns that others doesn't list are not carried.
+    one no ids. Repeated rows are encoded each; an empty table gives an empty one; columns that others doesn't list are not
+    carried.
     """
     df = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), *others)
-    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType())])
+    kept = [f for f in df.schema.fields if not checked or f.name != text_col or f.name == id_col]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType())])
+    if checked:
+        schema = schema.add("round_trip", T.BooleanType())
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(sent.value)
         for batch in batches:
             for part in slices(batch, text_col):
-                packed = [None if t is None else codec.encode(t) for t in part.column(text_col).to_pylist()]
+                texts = part.column(text_col).to_pylist()
+                packed = [None if t is None else codec.encode(t) for t in texts]
                 ends = np.r_[0, np.cumsum([len(p or b"") // 4 for p in packed])].astype(np.int32)
                 nulls = pa.array([p is None for p in packed])
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32)), mask=nulls)
                 digests = pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in packed], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, digests], names=[*part.schema.names, "ids", "ids_sha256"])
+                out = [*[part.column(f.name) for f in kept], ids, digests]
+                if checked:
+                    out.append(pa.array([p is None or codec.decode(np.frombuffer(p, np.int32).tolist()) == t for t, p in zip(texts, packed, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return small_batches(df).mapInArrow(run, schema)
 

@@ -28,6 +28,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SECRET = r"^(?:(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+|A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+)$"  # seeds only
+ENDS = 512  # matches of a block
 SENT = 100_000  # patterns that are broadcast
 WORD_CHARS = 40  # of a context's word; longer ones make no context
 
@@ -38,13 +39,15 @@ MARKS = "array<struct<start:int,end:int,contexts:array<string>,value:string>>"
 def located(values: Column, gaps: Column) -> Column:
     """array of (start, end, value, gap) of a pattern's matches, from their texts and the texts between them."""
     sizes = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(
-        sizes,
-        begin,
-        lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"), F.array_append(s["ends"], s["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("ends")),
-        lambda s: s["ends"],
-    )
+    # Ends are added up block by block: to append to one array copies all of it, which is quadratic in a text's matches.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("ends"))
+
+    def step(s: Column, x: Column) -> Column:
+        to, full = s["at"] + F.length(x["gap"]) + F.length(x["value"]), F.size(s["ends"]) >= ENDS
+        done = F.when(full, F.array_append(s["done"], s["ends"])).otherwise(s["done"])
+        return F.struct(to.alias("at"), done.alias("done"), F.when(full, F.array(to)).otherwise(F.array_append(s["ends"], to)).alias("ends"))
+
+    ends = F.flatten(F.aggregate(sizes, begin, step, lambda s: F.array_append(s["done"], s["ends"])))
     return F.zip_with(sizes, ends, lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value"), x["gap"].alias("gap")))
 
 
