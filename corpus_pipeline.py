@@ -85,8 +85,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, checked by decoding them. A null text has null ids, an empty one none."""
     vocabulary = pieces.Vocabulary.load(PIECES)
-    done = pieces.decode(pieces.encode(docs, vocabulary, others=("lang", "source", "n_chars")), vocabulary)
-    return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    done = pieces.encode(docs, vocabulary, others=("lang", "source", "n_chars"), checked=True)
+    return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
