@@ -27,7 +27,10 @@ def run_length(df: DataFrame, value: Column, keys: list[str], order: str) -> Dat
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFrame:
-    """(id, component): the least id reachable over edges (a, b), by the least label of neighbours, then of the label itself."""
+    """(id, component): the least id reachable over edges (a, b), by the least label of neighbours, then of the label itself.
+
+    If so many rounds aren't enough, that is an error, not a partial answer.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("id", F.col("id").alias("component"))
     before = None
@@ -39,16 +42,16 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFra
         labels = checkpointed(labels)
         state = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return labels
         before = state
-    return labels
+    raise RuntimeError(f"components aren't settled after {rounds} rounds")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut an iteration's lineage in the folder that the session names."""
-    import tempfile
+    from quern.sources.sinks import shared_dir
 
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

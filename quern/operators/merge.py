@@ -32,6 +32,11 @@ def agreement_by(merged: DataFrame, period, tolerance: float) -> DataFrame:
     return both.groupBy(period.alias("period")).agg(F.count("*").alias("n"), (100 * F.avg((F.abs(F.col("p") - F.col("s")) <= tolerance).cast("int"))).alias("pct_agree"))
 
 
+def clean_duplicate(report: DataFrame, least: float = 95.0) -> DataFrame:
+    """A merge report with whether the feeds agree on so many per cent of their overlap: then they are one instrument."""
+    return report.withColumn("clean_duplicate", F.coalesce(F.col("pct_agree") >= least, F.lit(False)))
+
+
 def choose_primary(panel: DataFrame, group: str = "city") -> DataFrame:
     """In each group the station with more observations; of equals the smaller id."""
     counts = panel.groupBy(group, "station_id").agg(F.count("value").alias("n"))

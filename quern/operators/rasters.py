@@ -33,6 +33,19 @@ def nearest_on(axis: list[float], value: Column) -> Column:
     return F.array_min(each)["x"]
 
 
+def extract_points(grid: DataFrame, stations: DataFrame, value: str, factor: float = 1.0) -> DataFrame:
+    """(station_id, time, value): each station's own cell of a grid (time, cell_lat, cell_lon, value), times a factor of units.
+
+    stations has station_id, cell_lat and cell_lon, as nearest_on gives them. A cell without a value stays null.
+    """
+    return stations.select("station_id", "cell_lat", "cell_lon").join(grid, ["cell_lat", "cell_lon"], "left").select("station_id", "time", (F.col(value) * factor).alias(value))
+
+
+def over_limit(n_stations: int, n_days: int, n_variables: int, limit: int) -> bool:
+    """Whether a request asks for more elements than a service allows."""
+    return n_stations * n_days * n_variables > limit
+
+
 def daily_composite(slices: DataFrame, keys: list[str], cell: str, value: str) -> DataFrame:
     """(*keys, value, valid_cells): the mean of a day's slices for each cell first, then the mean over cells.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.operators import ingest, metrics, nowcast as nc, qc, specs, splits, stats, works
-from quern.plans.daily import DAILY, MISSING, NAMED, day, named_places, target, tokens_sql
-from quern.plans.hourly import COMPOSITE, LADDER, MASKS, NOWCASTS, WRAP, hour, ladder, level, nowcasts, r, test_block, train_block
+from quern.operators import ingest, merge, metrics, nowcast as nc, qc, rasters, specs, splits, stats, works
+from quern.plans.daily import CELL, DAILY, LATITUDES, LONGITUDES, MISSING, NAMED, cells, day, named_places, target, tokens_sql
+from quern.plans.hourly import COMPOSITE, LADDER, MASKS, MERGED, NOWCASTS, WRAP, composites, hour, ladder, level, nowcasts, r, test_block, train_block
 from quern.plans.registry import PANEL, query
-from quern.sources import tables as src
+from quern.sources import sinks, tables as src
 
 # --- ingestion ---
 
@@ -313,3 +313,53 @@ def drop_rejected(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH b AS (SELECT * FROM (VALUES ('train','2024-01-01 00:00','2024-01-12 23:00'),('val','2024-01-17 00:00','2024-01-19 23:00'),('test','2024-01-24 00:00','2024-01-30 23:00')) v(block, x, y)) SELECT block, CAST(date_diff('hour', CAST(x AS TIMESTAMP), CAST(y AS TIMESTAMP)) AS BIGINT) AS hours FROM b")
 def block_hours(spark: SparkSession, sf: str) -> DataFrame:
     return splits.blocks(spark).select("block", ((F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("begin").cast("timestamp"))) / 3600).cast("long").alias("hours"))
+
+
+# --- sinks and grids ---
+
+OBS = "obs AS (SELECT 's' || (user_id % 8) AS station_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL)"
+
+
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly means, some of them missing, written and read by the queries below."""
+    o = src.hourly_obs(src.table(spark, sf, "events"))
+    return o.select("station_id", hour(), F.when(F.hour("ts") % 5 != 0, F.round("value", 5)).alias("value"), (F.hour("ts") % 2 == 0).alias("even"))
+
+
+WRITTEN = f"WITH {OBS} SELECT station_id, strftime(ts, '%Y-%m-%d %H:%M') AS ts, CASE WHEN extract(hour FROM ts) % 5 <> 0 THEN round(value, 5) END AS value, extract(hour FROM ts) % 2 = 0 AS even FROM obs"
+
+
+@query(WRITTEN)
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = sinks.new_path(spark, "csv")
+    sinks.write(_observed(spark, sf), path, "csv")
+    return src.csv(spark, path, "station_id string, ts string, value double, even boolean")
+
+
+@query(WRITTEN)
+def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = sinks.new_path(spark, "json")
+    sinks.write(_observed(spark, sf), path, "json")
+    return spark.read.schema("station_id string, ts string, value double, even boolean").json(path)
+
+
+@query(f"WITH {COMPOSITE} SELECT pk.station_id, low_hour, high_hour, round(max(z) - min(z), 5) AS amplitude FROM pk JOIN comp USING (station_id) GROUP BY ALL")
+def regime_summary(spark: SparkSession, sf: str) -> DataFrame:
+    c = composites(spark, sf)
+    spread = c.groupBy("station_id").agg((F.max("z") - F.min("z")).alias("amplitude"))
+    return qc.peaks(c, ["station_id"]).join(spread, "station_id").select("station_id", "low_hour", "high_hour", r("amplitude"))
+
+
+@query(f"WITH {MERGED}, d AS (SELECT abs(p - s) AS d FROM merged WHERE p IS NOT NULL AND s IS NOT NULL) SELECT round(100 * avg(CAST(d < 30 AS INT)), 5) AS pct_agree, coalesce(100 * avg(CAST(d < 30 AS INT)) >= 95, false) AS clean_duplicate FROM d")
+def clean_duplicate_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    report = merge.merge_report(merge.merge_feeds(src.hourly_panel(spark, sf), "s3", "s4"), 30.0)
+    return merge.clean_duplicate(report).select(r("pct_agree"), "clean_duplicate")
+
+
+@query(f"WITH {PANEL}, {CELL} SELECT station_id, h AS time, round((cell_lat * 100 + cell_lon + h) * 1e-9 * 1e9, 4) AS value FROM cell CROSS JOIN (SELECT CAST(unnest(range(3)) AS INT) AS h)")
+def point_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations' cells of a gridded field in kg per m³, in µg."""
+    lat, lon, times = (F.explode(F.array(*[F.lit(x) for x in axis])) for axis in (LATITUDES, LONGITUDES, range(3)))
+    grid = spark.range(1).select(lat.alias("cell_lat")).select("cell_lat", lon.alias("cell_lon")).select("cell_lat", "cell_lon", times.alias("time"))
+    grid = grid.withColumn("value", (F.col("cell_lat") * 100 + F.col("cell_lon") + F.col("time")) * 1e-9)
+    return rasters.extract_points(grid, cells(spark), "value", 1e9).select("station_id", "time", F.round("value", 4).alias("value"))

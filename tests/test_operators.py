@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import geo, text as tx
 from quern.operators import features, forecast, grid, ingest, merge, metrics, nowcast, qc, rasters, specs, splits, stats, works
-from quern.sources import tables as src
+from quern.sources import sinks, tables as src
 from quern.streaming import hourly as streams
 
 START = dt.datetime(2024, 1, 1)
@@ -248,3 +248,30 @@ def test_merging_keeps_different_works_apart(spark):
     r = works.merge_records(df, "k", "n").first()
     assert (r.doi, r.abstract, r.apis, r.merge_conflicts) == ("10.1/X", "yes", "a,c,d", "b:Fast boosting of trees; e:?")
     assert works.depth_counts(works.merge_records(df, "k", "n").withColumn("doi", F.col("doi"))).first().depth == "ABSTRACT"
+
+
+def test_frozen_documents_keep_their_time(spark, tmp_path):
+    path = f"file://{tmp_path}/splits.json"
+    doc = {"blocks": {"train": {"begin": "2024-01-01 00:00", "end": "2024-01-02 00:00"}}, "é": [1, None]}
+    first = sinks.freeze(spark, doc, path, "t1")
+    assert sinks.freeze(spark, dict(reversed(doc.items())), path, "t2") == first == sinks.frozen(spark, path) and first["frozen_at"] == "t1"
+    assert sinks.freeze(spark, {**doc, "x": 1}, path, "t3")["frozen_at"] == "t3" and sinks.frozen(spark, f"{path}.none") is None
+    assert sinks.read_blocks(first) == [("train", "2024-01-01 00:00", "2024-01-02 00:00")]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1.5, None), ("", None, 2)], "s string, x double, n int")
+    sinks.write(df, f"file://{tmp_path}/c", "csv")
+    assert sorted(map(tuple, src.csv(spark, f"file://{tmp_path}/c", "s string, x double, n int").collect()), key=str) == sorted([("a|b", 1.5, None), (None, None, 2)], key=str)  # the source reads blanks as null
+    assert sinks.markdown(df, 1).splitlines() == ["| s | x | n |", "| --- | --- | --- |", "| a\\|b | 1.5 |  |", "|  |  | 2 |"]
+    with pytest.raises(ValueError):
+        sinks.write(df, "x", "other")
+    s = sinks.synthetic_series(spark, ["a", "b"], "2024-01-01", 48)
+    assert s.count() == 96 and s.where("value <= 0").count() == 0
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a int, b int")
+    nodes = spark.range(31).selectExpr("cast(id as int) as id")
+    with pytest.raises(RuntimeError):
+        grid.components(edges, nodes, rounds=2)
