@@ -80,6 +80,8 @@ def test_round_trip(spark):
     for i, t, _ in rows:
         assert out[i].decoded == t and (out[i].ids is None) == (t is None)
     assert out[0].ids == []
+    checked = {r.doc_id: r for r in P.encode(df, v, others=("decoded",), checked=True).collect()}
+    assert all(checked[i].ids == out[i].ids and checked[i].round_trip and checked[i].decoded == i for i, _, _ in rows) and "text" not in P.encode(df, v, checked=True).columns
     assert P.decode(P.encode(df.limit(0), v), v).count() == 0
 
 
