@@ -41,19 +41,22 @@ def same_hour_last(panel: DataFrame, hours: int, n: int) -> DataFrame:
     """pred: mean of the last n values there are at the target's hour of day, up to the origin."""
     at_hour = Window.partitionBy("station_id", F.hour("ts")).orderBy("ts")
     days = math.ceil(hours / 24)
-    lists = panel.withColumn("_l", F.collect_list("value").over(at_hour.rowsBetween(Window.unboundedPreceding, -days)))  # a calendar of days
-    last = F.slice("_l", F.greatest(F.size("_l") - n + 1, F.lit(1)), n)
-    return lists.withColumn("pred", F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(last), F.lit(0))).drop("_l")
+    # Each known row has its last n; a row then takes over the list of the last known row, so no row holds its whole history.
+    lists = F.array_compact(F.array(*[F.lag("value", k).over(at_hour) for k in range(n)]))
+    known = panel.where("value is not null").select("station_id", "ts", lists.alias("_l"))
+    rows = panel.join(known, ["station_id", "ts"], "left")
+    rows = rows.withColumn("_last", F.last("_l", True).over(at_hour.rowsBetween(Window.unboundedPreceding, -days)))
+    return rows.withColumn("pred", F.aggregate("_last", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_last"), F.lit(0))).drop("_l", "_last")
 
 
 def climatology_cells(train: DataFrame, least: int = 1) -> DataFrame:
     """(station_id, level, month, hour, mean, median, n) of month and hour, hour, month and all, in one scan. UTC cells."""
     t = train.where("value is not null").select("station_id", F.month("ts").alias("month"), F.hour("ts").alias("hour"), "value")
-    t.createOrReplaceTempView("_climatology")
     return t.sparkSession.sql(
         "SELECT station_id, CASE grouping_id(station_id, month, hour) WHEN 0 THEN 'month_hour' WHEN 2 THEN 'hour' WHEN 1 THEN 'month' ELSE 'global' END AS level, month, hour,"
-        " avg(value) AS mean, median(value) AS median, count(*) AS n FROM _climatology"
-        " GROUP BY GROUPING SETS ((station_id, month, hour), (station_id, hour), (station_id, month), (station_id))"
+        " avg(value) AS mean, median(value) AS median, count(*) AS n FROM {t}"
+        " GROUP BY GROUPING SETS ((station_id, month, hour), (station_id, hour), (station_id, month), (station_id))",
+        t=t,
     )
 
 
