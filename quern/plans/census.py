@@ -87,8 +87,8 @@ def request_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 SPECS = [
     # Made-up descriptions, right and wrong ones, in two sets.
-    ("served", "a", "derived", True, 0.0, False, False, True, ""), ("served", "b", "ads", True, 6.0, True, False, True, "ADS_API_KEY"), ("served", "c", "gee", False, None, True, False, False, "EE_PROJECT_ID"),
-    ("studied", "d", "gee", False, 5.0, True, False, True, "EE_PROJECT_ID"), ("studied", "e", "lance", True, None, False, True, False, "EARTHDATA_USERNAME"), ("studied", "f", "cds", False, None, False, False, True, "CDS_API_KEY"),
+    ("served", "a", "derived", True, 0.0, False, False, True, ""), ("served", "b", "ads", True, 6.0, True, False, True, "KEY_A"), ("served", "c", "gee", False, None, True, False, False, "KEY_B"),
+    ("studied", "d", "gee", False, 5.0, True, False, True, "KEY_B"), ("studied", "e", "lance", True, None, False, True, False, "KEY_C"), ("studied", "f", "cds", False, None, False, False, True, "KEY_D"),
 ]
 _sql = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
 SQL_SPECS = "specs AS (SELECT *, set_name = 'served' AS deployable FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, s)) + ")" for s in SPECS) + ") v(set_name, name, source, available_at_runtime, latency_hours, has_reduction, requires_raster, verified, credential))"
