@@ -28,27 +28,62 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SECRET = r"^(?:(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+|A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+)$"  # seeds only
-ENDS = 512  # matches of a block
+BLOCK = 256  # matches of a block
+CHUNK = 1024  # code points
 SENT = 100_000  # patterns that are broadcast
 WORD_CHARS = 40  # of a context's word; longer ones make no context
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
+FOUND = "array<struct<start:int,rank:int,end:int,value:string>>"
 MARKS = "array<struct<start:int,end:int,contexts:array<string>,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, op) -> Column:
+    """array<int>: op over each value and all before it; op is a sum or a maximum of numbers from 0.
+
+    Block by block, then over the blocks: an aggregate copies its state at each step, which is quadratic in a text's matches.
+    """
+
+    def scan(xs: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.array_append(s["out"], op(s["at"], x)).alias("out"))
+        return F.aggregate(xs, begin, step, lambda s: s["out"])
+
+    def over(blocks: Column) -> Column:
+        lasts = F.transform(blocks, lambda b: F.element_at(b, -1))
+        before = F.concat(F.array(F.lit(0)), F.slice(scan(lasts), 1, F.size(blocks) - 1))
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b, lambda x: op(at, x))))
+
+    def cut(v: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return F.transform(at, lambda i: scan(F.slice(v, i * BLOCK + 1, BLOCK)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(cut(v), over)).otherwise(F.array().cast("array<int>")))
+
+
 def located(values: Column, gaps: Column) -> Column:
     """array of (start, end, value, gap) of a pattern's matches, from their texts and the texts between them."""
     sizes = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    # Ends are added up block by block: to append to one array copies all of it, which is quadratic in a text's matches.
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("ends"))
+    ends = running(F.transform(sizes, lambda x: F.length(x["gap"]) + F.length(x["value"])), lambda a, b: a + b)
+    return F.zip_with(sizes, ends, lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value"), x["gap"].alias("gap")))
 
-    def step(s: Column, x: Column) -> Column:
-        to, full = s["at"] + F.length(x["gap"]) + F.length(x["value"]), F.size(s["ends"]) >= ENDS
-        done = F.when(full, F.array_append(s["done"], s["ends"])).otherwise(s["done"])
-        return F.struct(to.alias("at"), done.alias("done"), F.when(full, F.array(to)).otherwise(F.array_append(s["ends"], to)).alias("ends"))
 
-    ends = F.flatten(F.aggregate(sizes, begin, step, lambda s: F.array_append(s["done"], s["ends"])))
-    return F.zip_with(sizes, ends, lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value"), x["gap"].alias("gap")))
+def first_after(spans: Column, at: Column) -> Column:
+    """The first of spans (sorted, without overlaps) that ends after a place, by halving; null if there is none."""
+    half = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    begin = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def turn(s: Column, _: Column) -> Column:
+        beyond, some = F.get(spans, half(s))["end"] > at, s["lo"] < s["hi"]
+        return F.struct(F.when(some & ~beyond, half(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(some & beyond, half(s)).otherwise(s["hi"]).alias("hi"))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.when(F.size(spans) > 0, F.aggregate(turns, begin, turn, lambda s: F.get(spans, s["lo"])))
 
 
 def matches(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -61,11 +96,15 @@ def _on_value(test):
 
 
 def _ranked(rank: int):
-    return lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"))
+    return lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), m["value"].alias("value"))
 
 
-def base_spans(text: Column) -> Column:
-    """SPANS of the fixed patterns, by start, then kind; a null text has none. rank is the kind's place in KINDS."""
+def _of_rank(rank: int):
+    return lambda m: m["rank"] == rank
+
+
+def base_found(text: Column) -> list[Column]:
+    """For each fixed pattern its matches, as arrays of (start, rank, end, value) by start; a null text has none."""
     digits = lambda v: F.regexp_replace(v, r"[^0-9]", "")
     sound = {
         "email": lambda v: F.lit(True),
@@ -79,8 +118,14 @@ def base_spans(text: Column) -> Column:
     for rank, (kind, pattern) in enumerate(zip(KINDS[:4], (EMAIL, IP, CARD, PHONE), strict=True)):
         good = F.filter(located(*matches(text, pattern)), _on_value(sound[kind]))
         spans = F.transform(good, _ranked(rank))
-        found.append(F.when(worth[kind], spans).otherwise(F.array().cast(SPANS)))
-    return F.array_sort(F.coalesce(F.concat(*found), F.array().cast(SPANS)))
+        found.append(F.when(worth[kind], spans).otherwise(F.array().cast(FOUND)))
+    return found
+
+
+def base_spans(text: Column) -> Column:
+    """SPANS of the fixed patterns, by start, then kind; a null text has none. rank is the kind's place in KINDS."""
+    spans = [F.transform(f, lambda m: F.struct(m["start"].alias("start"), m["rank"].alias("rank"), m["end"].alias("end"))) for f in base_found(text)]
+    return F.array_sort(F.coalesce(F.concat(*spans), F.array().cast(SPANS)))
 
 
 HEAD, TAIL = r"^[^\p{L}\p{N}+@]++", r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
@@ -155,26 +200,38 @@ def patterns(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap
     """
     text = F.col("text")
     df = docs.select(F.col(text_col).alias("text")).where(text.rlike("[0-9@]"))
-    marks = with_candidates(df.withColumn("base", base_spans(text)), "text").select("text", "base", F.explode("_marks").alias("m"))
-    over = F.filter("base", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
-    own = marks.select("m", "text", F.try_element_at(over, F.lit(1)).alias("s"), F.col("m.value").rlike(SECRET).alias("secret"))
-    # A token inside of an entity that began earlier has no context of its own.
-    own = own.where(F.col("secret") | F.col("s").isNull() & (F.length("m.value") >= how.least_chars) | (F.col("s.start") >= F.col("m.start") - 1))
-    whole = F.substr(text, F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    value = F.when(F.col("secret") | F.col("s").isNull(), F.col("m.value")).otherwise(whole)
-    rank = F.when(F.col("secret"), len(KINDS) - 1).otherwise(F.col("s.rank"))
-    seen = own.select(value.alias("value"), rank.alias("rank"), F.explode("m.contexts").alias("context"))
+    bases = [f"_base{i}" for i in range(4)]
+    df = with_candidates(df.withColumns(dict(zip(bases, base_found(text), strict=True))), "text").select("_marks", *bases)
+
+    def first_over(m: Column) -> Column:
+        """The first entity that a token touches."""
+        near = [first_after(F.col(b), m["start"]) for b in bases]
+        return F.array_min(F.array(*[F.when(s["start"] < m["end"], s) for s in near]))
+
+    seeds = F.transform("_marks", lambda m: F.struct(m.alias("m"), first_over(m).alias("s"), m["value"].rlike(SECRET).alias("secret")))
+    # A token inside of an entity that began earlier has no context of its own. Only contexts and values leave the text's row.
+    sound = F.filter(seeds, lambda x: x["secret"] | x["s"].isNull() & (F.length(x["m"]["value"]) >= how.least_chars) | (x["s"]["start"] >= x["m"]["start"] - 1))
+    own = lambda x: x["secret"] | x["s"].isNull()
+    said = F.transform(sound, lambda x: F.struct(F.when(own(x), x["m"]["value"]).otherwise(x["s"]["value"]).alias("value"), F.when(x["secret"], len(KINDS) - 1).otherwise(x["s"]["rank"]).alias("rank"), x["m"]["contexts"].alias("contexts")))
+    seen = df.select(F.explode(said).alias("x")).select("x.value", "x.rank", F.explode("x.contexts").alias("context"))
     graph = written(seen.groupBy("context", "value").agg(F.min("rank").alias("rank"), F.count("*").alias("times")), "pii-graph")
     by = graph.groupBy("context").agg(F.sum("times").alias("times"), F.count("*").alias("values")).where(F.col("values") >= how.least_known)
     # A pattern's words: those before the value, and one after it; a shape has the one word before.
     before = F.substring_index("context", " _", 1)
     sided = F.contains("context", F.lit(" _ "))
     likely = written(by.select("context", "times", F.when(sided, F.col("context")).otherwise(before).alias("words"), F.substring_index(before, " ", -1).alias("one")), "pii-contexts")
-    few = F.broadcast if likely.count() <= SENT else (lambda df: df)  # beyond it, joined by shuffle
+    n_likely = likely.count()
+    few = F.broadcast if n_likely <= SENT else (lambda df: df)  # beyond it, joined by shuffle
     words = F.filter(F.split(_normal(F.col("text")), r"\s+"), lambda w: w != "")
     listed = docs.select(F.col(text_col).alias("text")).select(words.alias("w"))
-    triples = F.transform("w", lambda w, i: F.struct(w.alias("one"), F.get("w", i - 1).alias("two"), F.get("w", i - 2).alias("three"), F.get("w", i + 2).alias("next")))
-    near = listed.select(F.explode(triples).alias("t")).select("t.*").join(few(likely.select("one").distinct()), "one", "left_semi")
+    around = lambda i: F.struct(F.get("w", i).alias("one"), F.get("w", i - 1).alias("two"), F.get("w", i - 2).alias("three"), F.get("w", i + 2).alias("next"))
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+    ones = likely.select("one").distinct()
+    if n_likely <= LITERALS:  # a set of checked size: words outside of it make no rows
+        among = [r["one"] for r in ones.collect()]
+        places = F.filter(places, lambda i: F.get("w", i).isin(among))
+    near = listed.where(F.size("w") > 0).select(F.explode(F.transform(places, around)).alias("t")).select("t.*")
+    near = near if n_likely <= LITERALS else near.join(few(ones), "one", "left_semi")
     grams = F.array(F.col("one"), F.concat("two", F.lit(" "), "one"), F.concat("three", F.lit(" "), "two", F.lit(" "), "one"), F.concat("one", F.lit(" _ "), "next"))
     counted = near.select(F.explode(grams).alias("words")).join(few(likely.select("words").distinct()), "words", "left_semi")
     counts = counted.groupBy("words").agg(F.count("*").alias("corpus"))
@@ -214,12 +271,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", truste
     secret = len(KINDS) - 1
 
     def clear(rank, start, end):
-        touches = F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
-        covered = F.exists("base", lambda s: (s["start"] <= start) & (s["end"] >= end))
+        near = [first_after(F.col(f"_base{i}"), start) for i in range(4)]
+        touches = F.greatest(*[F.coalesce(s["start"] < end, F.lit(False)) for s in near])
+        covered = F.greatest(*[F.coalesce((s["start"] <= start) & (s["end"] >= end), F.lit(False)) for s in near])
         return F.when(rank == secret, ~covered).otherwise(~touches)
 
     columns = df.columns
-    df = with_candidates(df, text_col)
+    df = with_candidates(df, text_col).withColumns({f"_base{i}": F.filter("base", _of_rank(i)) for i in range(4)})
     marks = F.filter("_marks", lambda m: F.length(m["value"]) >= least_chars)
     if n <= LITERALS:  # sets of checked size
         among = lambda own: lambda c: c.isin(own)
@@ -232,9 +290,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", truste
         return df.select(*columns, F.array_sort(F.concat("base", more)).alias("spans"))
     # Equal texts have equal spans: join by a digest of the text.
     digest = F.sha2(F.col(text_col), 256)
-    rows = df.select(digest.alias("_digest"), "base", F.explode(marks).alias("m")).select("_digest", "base", "m.start", "m.end", F.explode("m.contexts").alias("context"))
-    met = rows.join(trusted.select("context", "rank"), "context").groupBy("_digest", "start", "end").agg(F.min("rank").alias("rank"), F.first("base").alias("base"))
-    added = met.where(clear(F.col("rank"), F.col("start"), F.col("end"))).groupBy("_digest").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_more"))
+    free = F.transform(marks, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["contexts"].alias("contexts"), clear(F.lit(0), m["start"], m["end"]).alias("other"), clear(F.lit(secret), m["start"], m["end"]).alias("secret")))
+    rows = df.select(digest.alias("_digest"), F.explode(free).alias("m")).select("_digest", "m.*").withColumn("context", F.explode("contexts"))
+    met = rows.join(trusted.select("context", "rank"), "context").groupBy("_digest", "start", "end").agg(F.min("rank").alias("rank"), F.first("other").alias("other"), F.first("secret").alias("secret"))
+    added = met.where(F.when(F.col("rank") == secret, F.col("secret")).otherwise(F.col("other"))).groupBy("_digest").agg(F.collect_list(F.struct("start", "rank", "end")).alias("_more"))
     joined = df.withColumn("_digest", digest).join(added, "_digest", "left")
     return joined.select(*columns, F.array_sort(F.concat("base", F.coalesce("_more", F.array().cast(SPANS)))).alias("spans"))
 
@@ -250,8 +309,23 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans one mark, of the first."""
+    """The text with each span replaced by its kind in brackets; of overlapping spans one mark, of the first.
+
+    The text is cut into chunks once, as a place in a long string is found by counting from its begin.
+    """
     kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.get(kind, x["rank"])).alias("out"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text)))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+    ends = F.coalesce(F.array_max(F.transform(spans, lambda x: x["end"])), F.lit(0))
+    reached = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+    before = F.concat(F.array(F.lit(0)), F.slice(reached, 1, F.size(spans) - 1))
+
+    def part(c: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CHUNK).cast("int")
+        held = F.array_join(F.slice(c, first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substr(held, a - first * CHUNK + 1, b - a)).otherwise("")
+
+    def joined(c: Column) -> Column:
+        pieces = F.zip_with(spans, before, lambda x, at: F.when(x["start"] >= at, F.concat(part(c, at, x["start"]), F.get(kind, x["rank"]))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(c, ends, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(chunks, joined))
