@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import chat_format, decontaminate, html_extract, jaccard, pieces, pii, recompress, top_k, toxicity, url_filter
+from quern.llm import chat_format, decontaminate, hard_negatives, html_extract, jaccard, language, merkle, pieces, pii, recompress, top_k, toxicity, url_filter
 from quern.llm.oracles import ORACLES  # noqa: F401
 
 # Rules of the URL query, and host words that label URLs for its trees.
@@ -101,6 +101,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "round_trip")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    done = merkle.manifest(docs, "doc_id", "source", docs.columns, {"text": F.when(held_out(), lowered)})
+    return done.withColumnRenamed("id", "doc_id")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.fit(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_formatting": op2_chat_formatting,
@@ -112,4 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
+    "op13_hard_negatives": op13_hard_negatives,
 }
