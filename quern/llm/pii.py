@@ -230,7 +230,8 @@ def patterns(docs: DataFrame, text_col: str = "text", how: Bootstrap = Bootstrap
     if n_likely <= LITERALS:  # a set of checked size: words outside of it make no rows
         among = [r["one"] for r in ones.collect()]
         places = F.filter(places, lambda i: F.get("w", i).isin(among))
-    near = listed.where(F.size("w") > 0).select(F.explode(F.transform(places, around)).alias("t")).select("t.*")
+    # No filter on w: it would be pushed down, and the text cut into words twice.
+    near = listed.select(F.explode(F.when(F.size("w") > 0, F.transform(places, around))).alias("t")).select("t.*")
     near = near if n_likely <= LITERALS else near.join(few(ones), "one", "left_semi")
     grams = F.array(F.col("one"), F.concat("two", F.lit(" "), "one"), F.concat("three", F.lit(" "), "two", F.lit(" "), "one"), F.concat("one", F.lit(" _ "), "next"))
     counted = near.select(F.explode(grams).alias("words")).join(few(likely.select("words").distinct()), "words", "left_semi")
