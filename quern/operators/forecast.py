@@ -62,7 +62,10 @@ def climatology_cells(train: DataFrame, least: int = 1) -> DataFrame:
 
 def climatology(panel: DataFrame, train: DataFrame) -> DataFrame:
     """pred and cell_source: the finest cell that the training block has for a target's month and hour."""
-    cells = climatology_cells(train)
+    return climatology_of(panel, climatology_cells(train))
+
+
+def climatology_of(panel: DataFrame, cells: DataFrame) -> DataFrame:
     out = panel.withColumns({"_m": F.month("ts"), "_h": F.hour("ts")})
     for level, keys in (("month_hour", ["month", "hour"]), ("hour", ["hour"]), ("month", ["month"]), ("global", [])):
         c = cells.where(F.col("level") == level).select("station_id", *[F.col(k).alias(f"_{k[0]}") for k in keys], F.col("mean").alias(f"_{level}"))

@@ -5,37 +5,56 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from quern.operators.grid import mid_ranks, positions
 
-def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d", order: str = "ts", own: str | None = None) -> DataFrame:
+
+def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d", order: str = "ts", own: str | None = None, chunk: int | None = None) -> DataFrame:
     """(*keys, n, mean, lrv): Bartlett weights, autocovariances over n; lags count rows with a value.
 
-    own: a column with each key's own number of lags, of which lags is the most.
+    own: a column with each key's own number of lags, of which lags is the most. chunk: rows of a key that are handled together,
+    for keys of any number of rows; each chunk has the last `lags` rows of the one before it as context.
     """
     span = F.col(own) if own else F.lit(lags)
+    d = d.where(F.col(value).isNotNull())
+    if chunk:
+        return _chunked_variance(d, keys, lags, value, order, span, max(chunk, lags))
     w = Window.partitionBy(*keys).orderBy(order)
-    x = d.where(F.col(value).isNotNull()).withColumns({"_rn": F.row_number().over(w), "_c": F.col(value) - F.avg(value).over(Window.partitionBy(*keys)), "_m": F.avg(value).over(Window.partitionBy(*keys))})
+    x = d.withColumns({"_rn": F.row_number().over(w), "_c": F.col(value) - F.avg(value).over(Window.partitionBy(*keys)), "_m": F.avg(value).over(Window.partitionBy(*keys))})
     terms = F.col("_c") * F.col("_c")
     for lag in range(1, lags + 1):
         terms = terms + 2 * F.greatest(F.lit(0.0), 1 - lag / (span + 1)) * F.col("_c") * F.coalesce(F.lag("_c", lag).over(w), F.lit(0.0))
     return x.withColumn("_t", terms).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_m").alias("mean"), (F.sum("_t") / F.count("*")).alias("lrv"))
 
 
+def _chunked_variance(d: DataFrame, keys: list[str], lags: int, value: str, order: str, span: Column, chunk: int) -> DataFrame:
+    at = positions(d, keys, [order]).join(d.groupBy(*keys).agg(F.avg(value).alias("_m")), keys)
+    at = at.withColumns({"_c": F.col(value) - F.col("_m"), "_chunk": F.floor(F.col("pos") / chunk)})
+    # A chunk's last rows are the next one's context.
+    part = F.when(F.col("pos") % chunk >= chunk - lags, F.array(F.struct(F.col("_chunk").alias("k"), F.lit(True).alias("own")), F.struct((F.col("_chunk") + 1).alias("k"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("_chunk").alias("k"), F.lit(True).alias("own"))))
+    x = at.withColumn("_part", F.explode(part)).withColumns({"_k": F.col("_part.k"), "_own": F.col("_part.own")})
+    w = Window.partitionBy(*keys, "_k").orderBy("pos")
+    terms = F.col("_c") * F.col("_c")
+    for lag in range(1, lags + 1):
+        terms = terms + 2 * F.greatest(F.lit(0.0), 1 - lag / (span + 1)) * F.col("_c") * F.coalesce(F.lag("_c", lag).over(w), F.lit(0.0))
+    return x.withColumn("_t", terms).where("_own").groupBy(*keys).agg(F.count("*").alias("n"), F.first("_m").alias("mean"), (F.sum("_t") / F.count("*")).alias("lrv"))
+
+
 def bandwidth(n):
     """The automatic lag, floor(4 (n / 100)^(2/9))."""
     return F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
 
 
-def diebold_mariano(losses: DataFrame, keys: list[str], lags: int, least: int = 10, order: str = "ts", own: str | None = None) -> DataFrame:
+def diebold_mariano(losses: DataFrame, keys: list[str], lags: int, least: int = 10, order: str = "ts", own: str | None = None, chunk: int | None = None) -> DataFrame:
     """(*keys, n, mean_diff, lrv, dm) from columns la, lb: the statistic with the small-sample factor for h = lags + 1.
 
     Null under `least` rows or without variance; 0 if no two losses differ by more than 1e-8.
     """
     d = losses.where(F.col("la").isNotNull() & F.col("lb").isNotNull()).withColumn("d", F.col("la") - F.col("lb"))
-    out = long_run_variance(d, keys, lags, order=order, own=own)
+    out = long_run_variance(d, keys, lags, order=order, own=own, chunk=chunk)
     tie = d.groupBy(*keys).agg(F.max(F.abs("d")).alias("_top"))
     h, n = (F.col(own) if own else F.lit(lags)) + 1, F.col("n")
     factor = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(0.0)))
@@ -98,11 +117,15 @@ def normal_pvalue(z: pd.Series) -> pd.Series:
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
-    """(*keys, n1, n2, u, z): group is a boolean column; mid-ranks, tie correction, continuity correction."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    """(*keys, n1, n2, u, z): group is a boolean column; mid-ranks, tie correction, continuity correction.
+
+    Equal values are counted first, and the different ones ranked by range over all partitions: no task holds a key's rows.
+    """
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    x = x.withColumn("_same", F.count("*").over(Window.partitionBy(*keys, value))).withColumn("_r", F.rank().over(w.orderBy(value)) + (F.col("_same") - 1) / 2)
-    s = x.groupBy(*keys).agg(F.count_if(group).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("_r"))).alias("r1"), F.sum(F.pow("_same", F.lit(2.0)) - 1).alias("ties"))
+    counts = x.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.count_if(group).alias("_n1"))
+    ranked = positions(counts, keys, [value], "_n").withColumn("_r", F.col("pos") + (F.col("_n") + 1) / 2)
+    size = F.col("_n").cast("double")
+    s = ranked.groupBy(*keys).agg(F.sum("_n1").alias("n1"), F.sum(F.col("_n") - F.col("_n1")).alias("n2"), F.sum(F.when(F.col("_n1") > 0, F.col("_r") * F.col("_n1"))).alias("r1"), F.sum(size * (size * size - 1)).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)), F.lit(0.0))))
@@ -111,12 +134,11 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(*keys, n, rho) of mid-ranks."""
-    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    for c in (a, b):
-        same = F.count("*").over(Window.partitionBy(*keys, c))
-        x = x.withColumn(f"_r{c}", F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (same - 1) / 2)
-    return x.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(f"_r{a}", f"_r{b}").alias("rho"))
+    """(*keys, n, rho) of mid-ranks, ranked as in mann_whitney(). Keys with a null drop out."""
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    for c in ("_a", "_b"):
+        x = x.join(mid_ranks(x, keys, c).select(*keys, c, F.col("rank").alias(f"_r{c}")), [*keys, c])
+    return x.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_r_a", "_r_b").alias("rho"))
 
 
 def autocorrelation(d: DataFrame, keys: list[str], lags: list[int], value: str = "d", order: str = "ts") -> DataFrame:

@@ -273,12 +273,6 @@ def ridge_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return learned.score(learned.ridge(learned.design(target(spark, sf))), ["station_id"])
 
 
-@query()
-def gbt_loco(spark: SparkSession, sf: str) -> DataFrame:
-    """Every region held out in turn, with two seeds; the seeds' predictions are averaged."""
-    return learned.score(learned.ensemble(learned.leave_city_out(learned.design(target(spark, sf)), seeds=(0, 1))), ["city"])
-
-
 @query()
 def feature_importance_by_family(spark: SparkSession, sf: str) -> DataFrame:
     return learned.importance(learned.design(target(spark, sf)))

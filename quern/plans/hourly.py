@@ -406,6 +406,11 @@ def test_donors(spark: SparkSession, sf: str) -> DataFrame:
     return nc.donors(test_block(src.hourly_panel(spark, sf)), src.stations(spark))
 
 
+def near_donors(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    st = src.stations(spark)
+    return nc.nearest_usable(test_block(src.hourly_panel(spark, sf)), st, st, k)
+
+
 @query(f"WITH {DISTANCES} SELECT station_id, donor, round(km, 4) AS km FROM dist")
 def pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
     return nc.distances(src.stations(spark)).select("station_id", "donor", r("km", 4))
@@ -419,12 +424,12 @@ def pool_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DONORS} SELECT station_id, {SQL_T}, round(v, 5) AS pred FROM donors WHERE rank = 1")
 def nearest_monitor(spark: SparkSession, sf: str) -> DataFrame:
-    return nc.nearest(test_donors(spark, sf)).select("station_id", hour(), r("pred"))
+    return nc.nearest(near_donors(spark, sf, 1)).select("station_id", hour(), r("pred"))
 
 
 @query(f"WITH {DONORS} SELECT station_id, {SQL_T}, round(sum(v / km ** 2) / sum(1 / km ** 2), 5) AS pred FROM donors WHERE rank <= 5 GROUP BY station_id, donors.ts")
 def idw_k5_p2(spark: SparkSession, sf: str) -> DataFrame:
-    return nc.idw(test_donors(spark, sf)).select("station_id", hour(), r("pred"))
+    return nc.idw(near_donors(spark, sf, 5)).select("station_id", hour(), r("pred"))
 
 
 @query(f"WITH {DISTANCES} SELECT a.station_id AS a, b.station_id AS b, round(any_value(km), 4) AS km, round(0.5 * avg((a.value - b.value) ** 2), 4) AS gamma, count(*) AS n FROM train a JOIN train b ON a.ts = b.ts AND a.station_id < b.station_id JOIN dist ON dist.station_id = a.station_id AND donor = b.station_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10")
@@ -460,7 +465,8 @@ NOWCASTS = f"{DONORS}, pool AS (SELECT c.station_id, avg(value) AS mean FROM sta
 def nowcasts(spark: SparkSession, sf: str) -> DataFrame:
     """(station_id, ts, city, value, model, pred) of the test block, each city held out in turn."""
     panel, st = src.hourly_panel(spark, sf), src.stations(spark)
-    test, ranked = test_block(panel), nc.donors(test_block(panel), st)
+    test = test_block(panel)
+    ranked = nc.nearest_usable(test, st, st, 5)
     pool = nc.pool_mean(train_block(panel), splits.leave_city_out(st)).select(F.col("held_out_city").alias("city"), F.col("mean").alias("pred"))
     constant = test.join(st, "station_id").join(F.broadcast(pool), "city").select("station_id", "ts", "pred")
     preds = nc.nearest(ranked).withColumn("model", F.lit("nearest_monitor")).unionByName(nc.idw(ranked).withColumn("model", F.lit("idw_k5_p2"))).unionByName(constant.withColumn("model", F.lit("training_pool_mean")))

@@ -24,6 +24,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once into the shared folder and read again: cuts lineage, works nothing out twice, survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
     """Write df as parquet, csv (with a header; null and the empty text are empty fields) or json (nulls are written)."""
     writer = df.write.mode(mode)

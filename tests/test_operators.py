@@ -44,7 +44,7 @@ def test_clusters_are_single_link(spark):
 
 
 def test_moved_ids(spark):
-    df = spark.createDataFrame([("x", 41.36, 69.289), ("x", 42.0, 70.0), ("y", 41.0, 69.0)], "location_id string, latitude double, longitude double")
+    df = spark.createDataFrame([("x", -12.5, 30.25), ("x", -13.0, 31.0), ("y", 41.0, 69.0)], "location_id string, latitude double, longitude double")
     assert {r.location_id: r.verdict for r in qc.moved_ids(df).collect()} == {"x": "reject", "y": "pass"}
 
 
@@ -152,7 +152,7 @@ def test_locations_source(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"meta": {}, "results": [record]}, indent=1))
     r = src.locations(spark, str(tmp_path / "x.json")).first()
     assert (r.location_id, r.n_pm25_sensors, r.pm25_sensor_ids, r.country, r.span_days) == ("7", 1, "70", "UZ", 731.0)
-    assert spark.range(1).select(tx.city_of(F.lit(" "), F.lit("City of: X"))).first()[0] == "X"
+    assert spark.range(1).select(tx.city_of(F.lit(" "), F.lit("US Embassy: X"))).first()[0] == "X"
 
 
 def test_csv_has_no_nans(spark, tmp_path):
