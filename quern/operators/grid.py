@@ -14,6 +14,12 @@ def regrid_hourly(obs: DataFrame) -> DataFrame:
     return grid.join(obs, ["station_id", "ts"], "left")
 
 
+def regrid_own(obs: DataFrame) -> DataFrame:
+    """Every station at every hour from its own first to its own last; (station_id, ts, value)."""
+    hours = obs.groupBy("station_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("station_id", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("ts"))
+    return hours.join(obs, ["station_id", "ts"], "left")
+
+
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in the order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -1,4 +1,4 @@
 """Registered queries of the station operators."""
 
-from quern.plans import census, daily, extras, hourly, learning  # noqa: F401
+from quern.plans import census, daily, extras, hourly, ingestion, learning  # noqa: F401
 from quern.plans.registry import ORACLES, QUERIES  # noqa: F401
