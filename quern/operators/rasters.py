@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.geo import haversine
 
+RADIUS_KM = 6371.0088
+
 
 def bounding_box(places: DataFrame, pad: float = 0.5) -> DataFrame:
     """north, west, south, east."""
@@ -55,13 +57,55 @@ def daily_composite(slices: DataFrame, keys: list[str], cell: str, value: str) -
     return by_cell.groupBy(*keys).agg(F.avg("_v").alias("value"), F.count("_v").alias("valid_cells"))
 
 
+def near_cells(stations: DataFrame, cells: DataFrame, most_km: float) -> DataFrame:
+    """cells with station_id and km, for each station within most_km of a cell.
+
+    The globe is cut into cubes with edges of most_km; a station is filed under the 27 around it and a cell under its own, so
+    only neighbours meet. Arcs are never shorter than chords, so no cell within reach is missed.
+    """
+    edge = lambda x: F.floor(RADIUS_KM * x / most_km).cast("long")
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    x, y, z = edge(F.cos(lat) * F.cos(lon)), edge(F.cos(lat) * F.sin(lon)), edge(F.sin(lat))
+    around = F.array(*[F.struct((x + i).alias("_x"), (y + j).alias("_y"), (z + k).alias("_z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    own = stations.select("station_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.explode(around).alias("_c")).select("station_id", "_lat", "_lon", "_c.*")
+    km = haversine(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
+    met = cells.withColumns({"_x": x, "_y": y, "_z": z}).join(own, ["_x", "_y", "_z"]).withColumn("km", km).where(F.col("km") <= most_km)
+    return met.drop("_x", "_y", "_z", "_lat", "_lon")
+
+
+def rings(stations: DataFrame, cells: DataFrame, value: str, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """(station_id, <name>, n_<name>, ...): mean and count of the cells in each ring (inner, outer] of km; an inner bound below 0
+    makes a disc. All rings come from one scan of the cells; stations without a cell in a ring have a null mean and 0.
+    """
+    met = near_cells(stations, cells, max(outer for _, outer in bounds.values()))
+    inside = {name: F.when((F.col("km") > inner) & (F.col("km") <= outer), F.col(value)) for name, (inner, outer) in bounds.items()}
+    found = met.groupBy("station_id").agg(*[a for name, v in inside.items() for a in (F.avg(v).alias(name), F.count(v).alias(f"n_{name}"))])
+    return stations.select("station_id").join(found, "station_id", "left").fillna(0, [f"n_{name}" for name in bounds])
+
+
 def ring_mean(stations: DataFrame, cells: DataFrame, inner_km: float, outer_km: float, value: str) -> DataFrame:
-    """(station_id, mean, n) of the cells in a ring; stations are a small dimension, so they go to the cells."""
-    c = cells.select(F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), F.col(value).alias("_v"))
-    km = haversine(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
-    near = c.crossJoin(F.broadcast(stations)).where((km > inner_km) & (km <= outer_km))
-    found = near.groupBy("station_id").agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
-    return stations.select("station_id").join(found, "station_id", "left").fillna(0, ["n"])
+    """(station_id, mean, n) of the cells in one ring."""
+    return rings(stations, cells, value, {"mean": (inner_km, outer_km)}).withColumnRenamed("n_mean", "n")
+
+
+def static_features(stations: DataFrame, terrain: DataFrame, people: DataFrame, lights: DataFrame, epoch: int, train: tuple[str, str], disc_km: float, inner_km: float, outer_km: list[float], density: float = 100.0) -> DataFrame:
+    """(station_id, elevation, for each radius annulus_<km> and basin_<km>, population, lights): what doesn't change at a place.
+
+    terrain (latitude, longitude, value); people also epoch: one epoch is chosen, counts become a density; lights also date: only
+    the training window counts, so nothing of the test is in them. basin is the elevation less the ring's: below 0 in a basin.
+    A station without a cell of terrain, of the epoch or of the window drops out; a window without any lights is an error.
+    """
+    lit = lights.where(F.col("date").between(*[F.lit(t).cast("date") for t in train]))
+    if lit.isEmpty():
+        raise ValueError(f"no lights in {train}")
+    names = {r: f"{r:g}km" for r in outer_km}
+    ground = rings(stations, terrain, "value", {"elevation": (-1.0, disc_km), **{f"annulus_{n}": (inner_km, r) for r, n in names.items()}})
+    ground = ground.where(" and ".join(f"n_{c} > 0" for c in ["elevation", *[f"annulus_{n}" for n in names.values()]]))
+    ground = ground.withColumns({f"basin_{n}": F.col("elevation") - F.col(f"annulus_{n}") for n in names.values()})
+    own = rings(stations, people.where(F.col("epoch") == epoch), "value", {"population": (-1.0, disc_km)}).where("n_population > 0")
+    bright = rings(stations, lit, "value", {"lights": (-1.0, disc_km)}).where("n_lights > 0")
+    out = ground.join(own.select("station_id", (F.col("population") * density).alias("population")), "station_id").join(bright.select("station_id", "lights"), "station_id")
+    return out.select("station_id", "elevation", *[f"{kind}_{n}" for kind in ("annulus", "basin") for n in names.values()], "population", "lights")
 
 
 def collapse(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:

@@ -38,3 +38,26 @@ def leave_station_out(stations: DataFrame) -> DataFrame:
     """(city, station_id, n_in_city, eligible): a station can be left out if its city has another."""
     n = F.count("*").over(Window.partitionBy("city"))
     return stations.select("city", "station_id", n.alias("n_in_city"), (n >= 2).alias("eligible"))
+
+
+def document(panel: DataFrame, stations: DataFrame, rows=HOURLY_BLOCKS, max_lag_h: int = 72, horizon_h: int = 24) -> dict:
+    """The splits as one document: what the panel spans, its blocks with the hours and values they hold, folds and the purge.
+
+    A few rows for each station and block; a block that the panel doesn't reach into is an error.
+    """
+    spark = panel.sparkSession
+    span = block_bounds(panel, max_lag_h, horizon_h).first()
+    held = {r["block"]: r for r in panel.join(F.broadcast(blocks(spark, rows)), F.col("ts").between(F.col("begin"), F.col("end"))).groupBy("block").agg(F.countDistinct("ts").alias("hours"), F.count("value").alias("n")).collect()}
+    for name, _, _ in rows:
+        if name not in held or not held[name]["n"]:
+            raise ValueError(f"the panel has no value in block {name}")
+    folds: dict[str, list[str]] = {}
+    for r in leave_city_out(stations).where("role = 'test'").orderBy("held_out_city", "station_id").collect():
+        folds.setdefault(r["held_out_city"], []).append(r["station_id"])
+    alone = sorted(r["station_id"] for r in leave_station_out(stations).where("not eligible").collect())
+    return {
+        "span": [str(span["first_ts"]), str(span["last_ts"])], "purge_hours": span["purge_hours"],
+        "blocks": {name: {"begin": begin, "end": end, "hours": held[name]["hours"], "n": held[name]["n"]} for name, begin, end in rows},
+        "leave_city_out": [{"fold": i, "held_out_city": c, "test": ids} for i, (c, ids) in enumerate(folds.items())],
+        "leave_station_out": {"ineligible": alone},
+    }

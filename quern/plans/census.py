@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.operators import ingest, merge, metrics, nowcast as nc, qc, rasters, specs, splits, stats, works
-from quern.plans.daily import CELL, DAILY, LATITUDES, LONGITUDES, MISSING, NAMED, cells, day, named_places, target, tokens_sql
+from quern.operators import ingest, merge, metrics, nowcast as nc, qc, specs, stats, works
+from quern.plans.daily import DAILY, MISSING, NAMED, day, named_places, target, tokens_sql
 from quern.plans.hourly import COMPOSITE, LADDER, MASKS, MERGED, NOWCASTS, WRAP, composites, hour, ladder, level, nowcasts, r, test_block, train_block
 from quern.plans.registry import PANEL, query
 from quern.sources import sinks, tables as src
@@ -85,38 +85,6 @@ def request_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- features ---
 
-SPECS = [
-    # Made-up descriptions, right and wrong ones, in two sets.
-    ("served", "a", "derived", True, 0.0, False, False, True, ""), ("served", "b", "ads", True, 6.0, True, False, True, "KEY_A"), ("served", "c", "gee", False, None, True, False, False, "KEY_B"),
-    ("studied", "d", "gee", False, 5.0, True, False, True, "KEY_B"), ("studied", "e", "lance", True, None, False, True, False, "KEY_C"), ("studied", "f", "cds", False, None, False, False, True, "KEY_D"),
-]
-_sql = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
-SQL_SPECS = "specs AS (SELECT *, set_name = 'served' AS deployable FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, s)) + ")" for s in SPECS) + ") v(set_name, name, source, available_at_runtime, latency_hours, has_reduction, requires_raster, verified, credential))"
-
-
-def feature_specs(spark: SparkSession) -> DataFrame:
-    kind = "set_name string, name string, source string, available_at_runtime boolean, latency_hours double, has_reduction boolean, requires_raster boolean, verified boolean, credential string"
-    return spark.createDataFrame(SPECS, kind).withColumn("deployable", F.col("set_name") == "served")
-
-
-@query(f"WITH {SQL_SPECS} SELECT name, concat_ws('; ', CASE WHEN available_at_runtime AND latency_hours IS NULL THEN 'available without a latency' END, CASE WHEN NOT available_at_runtime AND latency_hours IS NOT NULL THEN 'latency without availability' END, CASE WHEN NOT has_reduction AND source <> 'derived' AND NOT requires_raster THEN 'gridded without a reduction' END) AS problems FROM specs")
-def feature_spec_problems(spark: SparkSession, sf: str) -> DataFrame:
-    return specs.spec_problems(feature_specs(spark)).select("name", F.array_join("problems", "; ").alias("problems"))
-
-
-@query(f"WITH {SQL_SPECS} SELECT set_name, count(*) AS n, bool_or(deployable) AS deployable, coalesce(max(latency_hours), 0.0)::DOUBLE AS max_latency_hours, coalesce(string_agg(DISTINCT nullif(credential, ''), ',' ORDER BY nullif(credential, '')), '') AS credentials, count(*) FILTER (WHERE requires_raster) AS n_raster, count(*) FILTER (WHERE NOT verified) AS n_unverified, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT available_at_runtime), '') AS oracle_features, NOT bool_or(deployable) OR count(*) FILTER (WHERE NOT available_at_runtime) = 0 AS valid FROM specs GROUP BY 1")
-def feature_set_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return specs.set_summary(feature_specs(spark))
-
-
-RESOLUTIONS = ["1 km", "~1KM grid", "500 m", "375 m at nadir", "100 m", "30 m", "~7 km", "0.4 degrees", None]
-
-
-@query("WITH v AS (SELECT unnest([" + ", ".join("NULL" if x is None else f"'{x}'" for x in RESOLUTIONS) + "]) AS said) SELECT said, CASE WHEN lower(said) LIKE '%1 km%' OR lower(said) LIKE '%1km%' THEN 1000 WHEN lower(said) LIKE '%500 m%' THEN 500 WHEN lower(said) LIKE '%375 m%' THEN 375 WHEN lower(said) LIKE '%100 m%' THEN 100 WHEN lower(said) LIKE '%30 m%' THEN 30 WHEN lower(said) LIKE '%km%' THEN 7000 ELSE 1000 END AS metres FROM v")
-def native_scale(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in RESOLUTIONS], "said string").select("said", specs.native_scale_m(F.col("said")).alias("metres"))
-
-
 def wide_features(spark: SparkSession, sf: str) -> DataFrame:
     """The daily table with columns of all tiers: the stored AOD scaled, an index with a sign, a forecast, a static column."""
     t, c = target(spark, sf), F.col
@@ -310,11 +278,6 @@ def drop_rejected(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.drop_rejected(panel, verdicts).groupBy("station_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH b AS (SELECT * FROM (VALUES ('train','2024-01-01 00:00','2024-01-12 23:00'),('val','2024-01-17 00:00','2024-01-19 23:00'),('test','2024-01-24 00:00','2024-01-30 23:00')) v(block, x, y)) SELECT block, CAST(date_diff('hour', CAST(x AS TIMESTAMP), CAST(y AS TIMESTAMP)) AS BIGINT) AS hours FROM b")
-def block_hours(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.blocks(spark).select("block", ((F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("begin").cast("timestamp"))) / 3600).cast("long").alias("hours"))
-
-
 # --- sinks and grids ---
 
 OBS = "obs AS (SELECT 's' || (user_id % 8) AS station_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL)"
@@ -356,10 +319,3 @@ def clean_duplicate_feeds(spark: SparkSession, sf: str) -> DataFrame:
     return merge.clean_duplicate(report).select(r("pct_agree"), "clean_duplicate")
 
 
-@query(f"WITH {PANEL}, {CELL} SELECT station_id, h AS time, round((cell_lat * 100 + cell_lon + h) * 1e-9 * 1e9, 4) AS value FROM cell CROSS JOIN (SELECT CAST(unnest(range(3)) AS INT) AS h)")
-def point_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    """Stations' cells of a gridded field in kg per m³, in µg."""
-    lat, lon, times = (F.explode(F.array(*[F.lit(x) for x in axis])) for axis in (LATITUDES, LONGITUDES, range(3)))
-    grid = spark.range(1).select(lat.alias("cell_lat")).select("cell_lat", lon.alias("cell_lon")).select("cell_lat", "cell_lon", times.alias("time"))
-    grid = grid.withColumn("value", (F.col("cell_lat") * 100 + F.col("cell_lon") + F.col("time")) * 1e-9)
-    return rasters.extract_points(grid, cells(spark), "value", 1e9).select("station_id", "time", F.round("value", 4).alias("value"))

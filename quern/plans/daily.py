@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import text as tx
-from quern.functions.geo import haversine
-from quern.operators import features as ft, learned, metrics, rasters, splits, stats
-from quern.plans.hourly import HAVERSINE, REGRESSION, ROUNDED, r
-from quern.plans.registry import DAILY, PANEL, query
+from quern.operators import features as ft, learned, metrics, splits, stats
+from quern.plans.hourly import REGRESSION, ROUNDED, r
+from quern.plans.registry import DAILY, query
 from quern.sources import tables as src
 
 SQL_D = "strftime(date, '%Y-%m-%d') AS date"
@@ -156,46 +155,6 @@ def daily_block_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- geography and calendars ---
 
-#: Reference points (degrees).
-POINTS = [("p0", 45.20, 59.00), ("p1", 44.60, 58.80), ("p2", 44.30, 59.60), ("p3", 44.90, 60.20), ("p4", 43.90, 59.20), ("p5", 45.60, 60.50)]
-SQL_POINTS = "points AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in POINTS) + ") v(point, latitude, longitude))"
-
-
-@query(f"WITH {PANEL}, {SQL_POINTS} SELECT s.station_id, round(min({HAVERSINE.format(r=6371.0088, a='s', b='p')}), 2) AS km, arg_min(point, {HAVERSINE.format(r=6371.0088, a='s', b='p')}) AS nearest FROM stations s CROSS JOIN points p GROUP BY 1")
-def distance_to_reference_points(spark: SparkSession, sf: str) -> DataFrame:
-    each = F.array(*[F.struct(haversine(F.col("latitude"), F.col("longitude"), F.lit(a), F.lit(b)).alias("km"), F.lit(n).alias("point")) for n, a, b in POINTS])
-    return src.stations(spark).withColumn("p", F.array_min(each)).select("station_id", F.round("p.km", 2).alias("km"), F.col("p.point").alias("nearest"))
-
-
-#: A grid's axes, latitudes from the north on, as such files have them.
-LATITUDES = [round(54.8 - 0.4 * i, 4) for i in range(60)]
-LONGITUDES = [round(52.2 + 0.4 * i, 4) for i in range(80)]
-
-
-def _nearest_sql(axis: list[float], value: str) -> str:
-    return f"(SELECT arg_min(x, (abs(x - {value}), i)) FROM (SELECT unnest({axis}) AS x, unnest(range({len(axis)})) AS i))"
-
-
-CELL = f"cell AS (SELECT station_id, {_nearest_sql(LATITUDES, 'latitude')} AS cell_lat, {_nearest_sql(LONGITUDES, 'longitude')} AS cell_lon, latitude, longitude FROM stations)"
-
-
-def cells(spark: SparkSession) -> DataFrame:
-    """Each station's nearest cell, on each axis for itself."""
-    return src.stations(spark).withColumns({"cell_lat": rasters.nearest_on(LATITUDES, F.col("latitude")), "cell_lon": rasters.nearest_on(LONGITUDES, F.col("longitude"))})
-
-
-@query(f"WITH {PANEL}, {CELL} SELECT station_id, round(cell_lat, 4) AS cell_lat, round(cell_lon, 4) AS cell_lon, round(111 * sqrt(pow(latitude - cell_lat, 2) + pow((longitude - cell_lon) * cos(radians(latitude)), 2)), 4) AS offset_km FROM cell")
-def nearest_grid_cell(spark: SparkSession, sf: str) -> DataFrame:
-    off = 111 * F.sqrt(F.pow(F.col("latitude") - F.col("cell_lat"), 2) + F.pow((F.col("longitude") - F.col("cell_lon")) * F.cos(F.radians("latitude")), 2))
-    return cells(spark).select("station_id", r("cell_lat", 4), r("cell_lon", 4), F.round(off, 4).alias("offset_km"))
-
-
-@query(f"WITH {PANEL}, {CELL} SELECT round(cell_lat, 4) AS cell_lat, round(cell_lon, 4) AS cell_lon, count(*) AS n, string_agg(station_id, ',' ORDER BY station_id) AS stations FROM cell GROUP BY 1, 2 HAVING count(*) > 1")
-def cell_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    by = cells(spark).groupBy(r("cell_lat", 4), r("cell_lon", 4)).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("station_id")), ",").alias("stations"))
-    return by.where("n > 1")
-
-
 @query("WITH b AS (SELECT date_trunc('month', min(ts)) AS a, date_trunc('month', max(ts)) AS z FROM events), m AS (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS m FROM b) SELECT strftime(m, '%Y-%m-%d') AS date_from, strftime(m + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS date_to FROM m")
 def month_chunks(spark: SparkSession, sf: str) -> DataFrame:
     span = src.table(spark, sf, "events").agg(F.trunc(F.min("ts"), "month").alias("a"), F.trunc(F.max("ts"), "month").alias("z"))

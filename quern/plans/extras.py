@@ -7,16 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quern.functions import text as tx
 from quern.operators import qc, rasters
 from quern.plans.daily import daily, tokens_sql
-from quern.plans.hourly import COMPOSITE, DISTANCES, HAVERSINE, LADDER, PANEL, PLACES, composites, hour, ladder, places, r
+from quern.plans.hourly import COMPOSITE, LADDER, PANEL, composites, hour, ladder, r
 from quern.plans.registry import DAILY, query
 from quern.sources import tables as src
 
 
-@query(f"WITH {PANEL} SELECT max(latitude) + 0.5 AS north, min(longitude) - 0.5 AS west, min(latitude) - 0.5 AS south, max(longitude) + 0.5 AS east FROM stations")
-def station_bbox(spark: SparkSession, sf: str) -> DataFrame:
-    return rasters.bounding_box(src.stations(spark))
-
-
 @query(f"WITH {DAILY}, s AS (SELECT min(date) AS a, max(date) AS z FROM daily), c AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 200 DAY)) AS DATE) AS f, z FROM s) SELECT strftime(f, '%Y-%m-%d') AS date_from, strftime(least(f + 199, z), '%Y-%m-%d') AS date_to FROM c")
 def chunk_date_range(spark: SparkSession, sf: str) -> DataFrame:
     span = daily(spark, sf).agg(F.min("date").alias("a"), F.max("date").alias("z"))
@@ -35,11 +30,6 @@ def daily_composite(spark: SparkSession, sf: str) -> DataFrame:
     return rasters.daily_composite(e, ["station_id", "date"], "cell", "v").select("station_id", "date", r("value"), "valid_cells")
 
 
-@query(f"WITH {DISTANCES}, {PLACES} SELECT s.station_id, round(avg(p.id) FILTER (WHERE {HAVERSINE.format(r=6371.0088, a='s', b='p')} > 100 AND {HAVERSINE.format(r=6371.0088, a='s', b='p')} <= 500), 5) AS mean, count(*) FILTER (WHERE {HAVERSINE.format(r=6371.0088, a='s', b='p')} > 100 AND {HAVERSINE.format(r=6371.0088, a='s', b='p')} <= 500) AS n FROM stations s CROSS JOIN places p GROUP BY 1")
-def annulus_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rasters.ring_mean(src.stations(spark), places(spark, sf), 100, 500, "id").select("station_id", r("mean"), "n")
-
-
 @query("SELECT 's' || (user_id % 8) AS station_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS ts, round(max(CASE WHEN event_id % 2 = 0 THEN value END), 5) AS instant, round(max(CASE WHEN event_id % 2 = 1 THEN value END), 5) AS accum FROM events GROUP BY 1, 2")
 def instant_accum_collapse(spark: SparkSession, sf: str) -> DataFrame:
     e = src.table(spark, sf, "events").select(F.concat(F.lit("s"), F.col("user_id") % 8).alias("station_id"), F.date_trunc("hour", "ts").alias("ts"), "event_id", "value")
@@ -90,7 +80,6 @@ def minimum_support(spark: SparkSession, sf: str) -> DataFrame:
     return ladder(spark, sf).where("value is not null and pred is not null").groupBy("station_id", "model", "horizon_h").agg(F.count("*").alias("n"), (F.count("*") >= 100).alias("enough"))
 
 
-
 @query(
     f"""WITH {COMPOSITE}, pb AS (SELECT station_id, CASE WHEN extract(day FROM ts) <= 15 THEN 1 ELSE 2 END AS period, CAST(extract(hour FROM ts + INTERVAL 5 HOUR) AS INT) AS hour, CASE WHEN count(value) >= 5 THEN avg(value) END AS m FROM panel GROUP BY ALL),
 pz AS (SELECT station_id, period, hour, m FROM pb), full24 AS (SELECT station_id, period FROM pz GROUP BY ALL HAVING count(m) = 24),
@@ -109,15 +98,6 @@ def offset_change_by_period(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(*keys, "lag_hours", change.alias("change")).withColumn("suspected", F.abs("change") > 1)
 
 
-@query()
-def splits_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """SHA-256 of the folds as canonical JSON: sorted rows, one text."""
-    from quern.operators.splits import leave_city_out
-
-    rows = leave_city_out(src.stations(spark)).select(F.to_json(F.struct("fold", "held_out_city", "role", "station_id")).alias("j"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("j")), ","), 256).alias("sha256"))  # a few rows for each station
-
-
 @query(f"WITH {PANEL}, f AS (SELECT station_id, min(ts) FILTER (WHERE value IS NOT NULL) AS a, max(ts) FILTER (WHERE value IS NOT NULL) AS z, count(value) AS n FROM panel GROUP BY 1) SELECT station_id, strftime(a, '%Y-%m-%d %H:%M') AS first_valid, strftime(z, '%Y-%m-%d %H:%M') AS last_valid, n FROM f")
 def panel_summary(spark: SparkSession, sf: str) -> DataFrame:
     seen = F.when(F.col("value").isNotNull(), F.col("ts"))

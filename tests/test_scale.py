@@ -137,3 +137,50 @@ def test_nowcasters_use_only_fitted_stations(spark, tmp_path):
         assert told(other.select("station_id", "ts", "pred")) == told(out.select("station_id", "ts", "pred"))
     with pytest.raises(ValueError):
         contracts.Nowcaster(k=0)
+
+
+def test_rings_are_those_of_all_pairs(spark):
+    from quern.operators import rasters
+
+    draw = random.Random(11)
+    st = spark.createDataFrame([(f"s{i}", draw.uniform(-89, 89), draw.uniform(-180, 180)) for i in range(8)] + [("pole", 89.9, 10.0), ("line", 1.0, 179.99)], "station_id string, latitude double, longitude double")
+    spots = [(draw.uniform(-90, 90), draw.uniform(-180, 180), draw.gauss(0, 1)) for _ in range(3000)] + [(89.5, -170.0, 1.0), (1.2, -179.9, 2.0), (1.0, 179.99, None)]
+    cells = spark.createDataFrame(spots, "latitude double, longitude double, value double")
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    bounds = {"disc": (-1.0, 400.0), "near": (100.0, 900.0), "far": (900.0, 1500.0)}
+    got = {r.station_id: r for r in rasters.rings(st, cells, "value", bounds).collect()}
+    for s in st.collect():
+        for name, (inner, outer) in bounds.items():
+            own = [v for lat, lon, v in spots if inner < km(s.latitude, s.longitude, lat, lon) <= outer and v is not None]
+            r = got[s.station_id]
+            assert r[f"n_{name}"] == len(own) and (r[name] == pytest.approx(sum(own) / len(own)) if own else r[name] is None)
+
+
+def test_static_features_know_one_epoch_and_the_training_window(spark):
+    from quern.operators import rasters
+
+    st = spark.createDataFrame([("a", 10.0, 10.0), ("b", 50.0, 50.0)], "station_id string, latitude double, longitude double")
+    ground = spark.createDataFrame([(10.0, 10.0, 100.0), (10.5, 10.0, 300.0), (11.5, 10.0, 500.0)], "latitude double, longitude double, value double")
+    people = spark.createDataFrame([(10.0, 10.0, 2.0, 2020), (10.0, 10.0, 90.0, 2030)], "latitude double, longitude double, value double, epoch int")
+    lights = spark.createDataFrame([(10.0, 10.0, 5.0, "2020-01-15"), (10.0, 10.0, 99.0, "2024-01-15")], "latitude double, longitude double, value double, date string").withColumn("date", F.col("date").cast("date"))
+    r = rasters.static_features(st, ground, people, lights, 2020, ("2020-01-01", "2021-01-01"), 1.0, 5.0, [60.0, 200.0]).collect()
+    assert [tuple(x) for x in r] == [("a", 100.0, 300.0, 400.0, -200.0, -300.0, 200.0, 5.0)]
+    with pytest.raises(ValueError):
+        rasters.static_features(st, ground, people, lights, 2020, ("1990-01-01", "1991-01-01"), 1.0, 5.0, [60.0])
+
+
+def test_splits_document(spark):
+    from quern.operators import splits
+
+    rows = [("s", "2024-01-05 00:00", 1.0), ("s", "2024-01-18 00:00", 2.0), ("t", "2024-01-25 05:00", 3.0), ("t", "2024-01-15 00:00", 9.0)]
+    panel = spark.createDataFrame(rows, "station_id string, t string, value double").select("station_id", F.col("t").cast("timestamp_ntz").alias("ts"), "value")
+    st = spark.createDataFrame([("s", "x"), ("t", "y"), ("u", "y")], "station_id string, city string")
+    d = splits.document(panel, st)
+    assert d["blocks"]["test"]["n"] == 1 and d["purge_hours"] == 96 and d["leave_station_out"] == {"ineligible": ["s"]}
+    assert d["leave_city_out"] == [{"fold": 0, "held_out_city": "x", "test": ["s"]}, {"fold": 1, "held_out_city": "y", "test": ["t", "u"]}]
+    with pytest.raises(ValueError):
+        splits.document(panel.where("value < 3"), st)
