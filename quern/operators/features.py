@@ -57,3 +57,13 @@ def missingness(df: DataFrame, column: str, keys: list[str], target: str = "targ
     """How often a column has a value, and how the target differs where it has none."""
     has = F.col(column).isNotNull()
     return df.groupBy(*keys).agg(F.count("*").alias("n"), (100 * F.avg(has.cast("int"))).alias("pct"), (F.median(F.when(~has, F.col(target))) - F.median(F.when(has, F.col(target)))).alias("d_median"))
+
+
+def forecast_at(rows: DataFrame, lead_h: int = 24) -> DataFrame:
+    """The forecasts of one lead, by the time they hold for: rows (issued, lead_h, ...) with valid = issued + lead_h.
+
+    A lead of 0 is no forecast: it holds what was observed.
+    """
+    if lead_h <= 0:
+        raise ValueError("a lead of 0 looks ahead")
+    return rows.where(F.col("lead_h") == lead_h).withColumn("valid", F.col("issued") + F.make_dt_interval(hours=F.col("lead_h")))

@@ -80,10 +80,6 @@ def payload_hash(payload: object) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def months_of(first: Column, last: Column) -> Column:
-    return F.months_between(last, first)
-
-
 def best_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The best row for each key; equal scores keep the order that the last columns give."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -43,9 +43,10 @@ def extract_points(grid: DataFrame, stations: DataFrame, value: str, factor: flo
     return stations.select("station_id", "cell_lat", "cell_lon").join(grid, ["cell_lat", "cell_lon"], "left").select("station_id", "time", (F.col(value) * factor).alias(value))
 
 
-def over_limit(n_stations: int, n_days: int, n_variables: int, limit: int) -> bool:
-    """Whether a request asks for more elements than a service allows."""
-    return n_stations * n_days * n_variables > limit
+def request_sizes(requests: DataFrame, limit: int = 5000) -> DataFrame:
+    """requests (n_stations, n_days, n_variables) with n_elements, over_limit, and n_requests that stay within the limit."""
+    n = F.col("n_stations") * F.col("n_days") * F.col("n_variables")
+    return requests.withColumn("n_elements", n).withColumns({"over_limit": n > limit, "n_requests": F.ceil(n / limit)})
 
 
 def daily_composite(slices: DataFrame, keys: list[str], cell: str, value: str) -> DataFrame:
@@ -108,6 +109,7 @@ def static_features(stations: DataFrame, terrain: DataFrame, people: DataFrame,
     return out.select("station_id", "elevation", *[f"{kind}_{n}" for kind in ("annulus", "basin") for n in names.values()], "population", "lights")
 
 
-def collapse(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
-    """One row for each key from rows that hold a part of the columns each."""
-    return rows.groupBy(*keys).agg(*[F.max(c).alias(name) for name, c in columns.items()])
+def collapse(rows: DataFrame, keys: list[str], columns: dict[str, Column], order: str | None = None) -> DataFrame:
+    """One row for each key from rows that hold a part of the columns each: the first value there is by `order`, else the largest."""
+    one = (lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(order)))) if order else F.max
+    return rows.groupBy(*keys).agg(*[one(c).alias(name) for name, c in columns.items()])

@@ -32,7 +32,16 @@ COMPOSITES = [
 STATIC = ["elevation", "ghsl_population_density", "viirs_nighttime_lights", "terrain_basin_index_25km", "terrain_basin_index_50km", "terrain_basin_index_100km", "distance_to_aralkum"]
 CALENDAR = ["doy_sin", "doy_cos", "month", "dow", "is_heating_season"]
 FORECAST = ["cams_pm25_forecast"]
-REDUCERS = ["mean", "median", "max", "min", "count", "stdDev"]
+#: Names of reductions; the deviation is that of the population.
+REDUCERS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "count": F.count, "stdDev": F.stddev_pop}
+
+
+def reduced(rows: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
+    """(*keys, <name>, ...): reductions by their names; an unknown name is an error."""
+    unknown = [n for n in names if n not in REDUCERS]
+    if unknown:
+        raise ValueError(f"unknown reductions {unknown}")
+    return rows.groupBy(*keys).agg(*[REDUCERS[n](value).alias(n) for n in names])
 
 
 def scaled(raw: Column, spec: Composite) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql.types import DoubleType
 from quern.operators.grid import mid_ranks, positions
 
 
+MANY = 48  # lags; more are taken as one list a row instead of a column each
+
+
 def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d", order: str = "ts", own: str | None = None, chunk: int | None = None) -> DataFrame:
     """(*keys, n, mean, lrv): Bartlett weights, autocovariances over n; lags count rows with a value.
 
@@ -23,6 +26,12 @@ def long_run_variance(d: DataFrame, keys: list[str], lags: int, value: str = "d"
     if chunk:
         return _chunked_variance(d, keys, lags, value, order, span, max(chunk, lags))
     w = Window.partitionBy(*keys).orderBy(order)
+    if lags > MANY:
+        before = F.collect_list("_c").over(w.rowsBetween(-lags, -1))  # at most lags values, the nearest last
+        x = d.withColumns({"_m": F.avg(value).over(Window.partitionBy(*keys))}).withColumn("_c", F.col(value) - F.col("_m")).withColumn("_l", F.reverse(before))
+        weighed = F.transform("_l", lambda c, k: F.greatest(F.lit(0.0), 1 - (k + 1) / (span + 1)) * c)
+        terms = F.col("_c") * F.col("_c") + 2 * F.col("_c") * F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)
+        return x.withColumn("_t", terms).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_m").alias("mean"), (F.sum("_t") / F.count("*")).alias("lrv"))
     x = d.withColumns({"_rn": F.row_number().over(w), "_c": F.col(value) - F.avg(value).over(Window.partitionBy(*keys)), "_m": F.avg(value).over(Window.partitionBy(*keys))})
     terms = F.col("_c") * F.col("_c")
     for lag in range(1, lags + 1):
@@ -43,6 +52,18 @@ def _chunked_variance(d: DataFrame, keys: list[str], lags: int, value: str, orde
     return x.withColumn("_t", terms).where("_own").groupBy(*keys).agg(F.count("*").alias("n"), F.first("_m").alias("mean"), (F.sum("_t") / F.count("*")).alias("lrv"))
 
 
+def verdict(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """rows (model_a, model_b, n, dm, p_value) with better and said: which model is better, and a sentence on it.
+
+    A negative statistic means that a's losses are lower. Nothing is better where there is no statistic, or no significance.
+    """
+    better = F.when(F.col("dm").isNull() | F.col("p_value").isNull() | (F.col("p_value") >= alpha), None).when(F.col("dm") < 0, F.col("model_a")).otherwise(F.col("model_b"))
+    worse = F.when(F.col("better") == F.col("model_a"), F.col("model_b")).otherwise(F.col("model_a"))
+    numbers = F.format_string("DM %.2f, p %.4f, n %d", "dm", "p_value", "n")
+    said = F.when(F.col("dm").isNull(), F.concat_ws(" ", "model_a", F.lit("and"), "model_b", F.lit("can't be told apart: too few rows"))).when(F.col("better").isNull(), F.concat(F.col("model_a"), F.lit(" and "), F.col("model_b"), F.lit(" don't differ ("), numbers, F.lit(")")))
+    return rows.withColumn("better", better).withColumn("said", said.otherwise(F.concat(F.col("better"), F.lit(" beats "), worse, F.lit(" ("), numbers, F.lit(")"))))
+
+
 def bandwidth(n):
     """The automatic lag, floor(4 (n / 100)^(2/9))."""
     return F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))

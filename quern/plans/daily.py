@@ -130,12 +130,6 @@ def mann_whitney_u(spark: SparkSession, sf: str) -> DataFrame:
     return stats.mann_whitney(target(spark, sf).withColumn("gone", F.col("aod").isNull()), ["city"], "target", "gone").select("city", "n1", "n2", "u", r("z"))
 
 
-@query()
-def mann_whitney_p(spark: SparkSession, sf: str) -> DataFrame:
-    z = stats.mann_whitney(target(spark, sf).withColumn("gone", F.col("aod").isNull()), ["city"], "target", "gone")
-    return z.select("city", "n1", "n2", "z", stats.normal_pvalue("z").alias("p_value"))
-
-
 @query(f"WITH {TARGET}, x AS (SELECT city, rank() OVER (PARTITION BY city ORDER BY target) + (count(*) OVER (PARTITION BY city, target) - 1) / 2.0 AS a, rank() OVER (PARTITION BY city ORDER BY forecast) + (count(*) OVER (PARTITION BY city, forecast) - 1) / 2.0 AS b FROM (SELECT city, round(target, 6) AS target, round(forecast, 6) AS forecast FROM t)) SELECT city, count(*) AS n, round(corr(a, b), 5) AS rho FROM x GROUP BY 1")
 def spearman_by_city(spark: SparkSession, sf: str) -> DataFrame:
     t = target(spark, sf).select("city", r("target", 6), r("forecast", 6))

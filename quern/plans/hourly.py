@@ -520,12 +520,6 @@ def dm_lag_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query()
-def dm_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    d = stats.diebold_mariano(losses(spark, sf), ["station_id"], 23)
-    return d.select("station_id", "n", "dm", stats.t_pvalue(F.col("dm"), F.col("n") - 1.0).alias("p_value"))
-
-
 @query(f"WITH {LOSSES} SELECT station_id, " + ", ".join(f"round(corr(CASE WHEN l{k} IS NOT NULL THEN d END, l{k}), 5) AS acf_{k}" for k in (1, 2, 24)) + " FROM (SELECT *, " + ", ".join(f"lag(d, {k}) OVER (PARTITION BY station_id ORDER BY rn) AS l{k}" for k in (1, 2, 24)) + " FROM dd) GROUP BY 1")
 def loss_acf(spark: SparkSession, sf: str) -> DataFrame:
     return stats.autocorrelation(losses(spark, sf).withColumn("d", F.col("la") - F.col("lb")), ["station_id"], [1, 2, 24]).select("station_id", r("acf_1"), r("acf_2"), r("acf_24"))

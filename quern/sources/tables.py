@@ -29,6 +29,22 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return no_nans(df)
 
 
+#: Columns of a satellite table that are no measurement.
+NOT_VALUES = ("station_id", "ts", "date", "valid_pixels", "n_pixels", "fixture", "city")
+
+
+def satellite(df: DataFrame) -> DataFrame:
+    """(station_id, date, value, valid_px) from a table whose one measurement has any name: the first column that isn't an id, a
+    time or a count. Ids become text, times dates; NaN is null.
+    """
+    names = [c for c in df.columns if c not in NOT_VALUES]
+    if not names:
+        raise ValueError(f"no column of {df.columns} is a measurement")
+    when = "ts" if "ts" in df.columns else "date"
+    pixels = F.col("valid_pixels").cast("long") if "valid_pixels" in df.columns else F.lit(None).cast("long")
+    return no_nans(df.select(F.col("station_id").cast("string").alias("station_id"), F.to_date(when).alias("date"), F.col(names[0]).cast("double").alias("value"), pixels.alias("valid_px")))
+
+
 def no_nans(df: DataFrame) -> DataFrame:
     """Null is the only mark of a missing value."""
     return df.withColumns({f.name: F.nanvl(f.name, F.lit(None).cast(f.dataType)) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})

@@ -184,3 +184,38 @@ def test_splits_document(spark):
     assert d["leave_city_out"] == [{"fold": 0, "held_out_city": "x", "test": ["s"]}, {"fold": 1, "held_out_city": "y", "test": ["t", "u"]}]
     with pytest.raises(ValueError):
         splits.document(panel.where("value < 3"), st)
+
+
+def test_flatline_policy_and_leads(spark):
+    from quern.operators import features, qc
+
+    masks = spark.createDataFrame([(1.0, True), (2.0, False)], "value double, q2 boolean")
+    assert [r.value for r in qc.flatline_policy(masks).collect()] == [None, 2.0]
+    for policy, error in (("interpolate", NotImplementedError), ("reject_station", NotImplementedError), ("other", ValueError)):
+        with pytest.raises(error):
+            qc.flatline_policy(masks, policy)
+    with pytest.raises(ValueError):
+        features.forecast_at(masks, 0)
+
+
+def test_satellite_tables_and_reductions(spark):
+    from quern.operators import specs
+    from quern.sources import tables as src
+
+    df = spark.createDataFrame([(7, "2024-01-02 00:00:00", 3, float("nan"), 9.0), (8, "2024-01-03 00:00:00", None, 1.5, 9.0)], "station_id int, ts string, valid_pixels int, aod double, qa double").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [(r.station_id, str(r.date), r.value, r.valid_px) for r in src.satellite(df).orderBy("station_id").collect()] == [("7", "2024-01-02", None, 3), ("8", "2024-01-03", 1.5, None)]
+    with pytest.raises(ValueError):
+        src.satellite(df.select("station_id", "ts"))
+    with pytest.raises(ValueError):
+        specs.reduced(df, ["station_id"], "qa", ["mode"])
+
+
+def test_many_lags_as_one_list_are_the_same(spark, monkeypatch):
+    draw = random.Random(12)
+    df = spark.createDataFrame([("k", i, draw.gauss(0, 1), 20 + i % 2) for i in range(80)], "k string, ts int, d double, own int")
+    want = stats.long_run_variance(df, ["k"], 21, own="own").first()
+    monkeypatch.setattr(stats, "MANY", 3)
+    assert stats.long_run_variance(df, ["k"], 21, own="own").first().lrv == pytest.approx(want.lrv)
+    rows = spark.createDataFrame([("a", "b", 50, -3.0, 0.01), ("a", "b", 50, 3.0, 0.01), ("a", "b", 50, 1.0, 0.4), ("a", "b", 3, None, None)], "model_a string, model_b string, n int, dm double, p_value double")
+    told = [(r.better, r.said) for r in stats.verdict(rows).collect()]
+    assert told == [("a", "a beats b (DM -3.00, p 0.0100, n 50)"), ("b", "b beats a (DM 3.00, p 0.0100, n 50)"), (None, "a and b don't differ (DM 1.00, p 0.4000, n 50)"), (None, "a and b can't be told apart: too few rows")]
