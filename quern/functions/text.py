@@ -23,14 +23,22 @@ def recall(query: Column, title: Column) -> Column:
 def recall_join(queries: DataFrame, titles: DataFrame, query_id: str, title_id: str, share: float) -> DataFrame:
     """(query_id, title_id, share) of all pairs where the query has share or more of the title's tokens; both have `tokens`.
 
-    An inverted index: a query with share of n tokens has one of any n - ceil(share * n) + 1 of them, so a title is filed
-    under so many of its rarest tokens only, and each pair is verified once. Rows without tokens match nothing.
+    An inverted index: a query with share of n tokens has one of any n - ceil(share * n) + 1 of them, so a title is filed under so
+    many of its rarest tokens only, with their places in the order from rare to common. The first token that a pair shares in
+    that order leaves no more common ones than follow it on either side: pairs for which that is too few are dropped in the
+    join, and so are queries shorter than a title needs. Each pair left is verified once. Rows without tokens match nothing.
     """
     counts = titles.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    ranked = titles.select(title_id, F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(counts, "t")
-    by = Window.partitionBy(title_id).orderBy("n", "t")
-    prefix = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1)
-    pairs = queries.select(query_id, F.explode("tokens").alias("t")).join(prefix.select(title_id, "t"), "t").select(query_id, title_id).distinct()
+
+    def placed(rows: DataFrame, key: str, size: str, rank: str) -> DataFrame:
+        own = Window.partitionBy(key)
+        flat = rows.select(key, F.explode("tokens").alias("t")).join(counts, "t")
+        return flat.withColumns({size: F.count("*").over(own), rank: F.row_number().over(own.orderBy("n", "t"))}).drop("n")
+
+    need = F.ceil(share * F.col("_size") - 1e-9)
+    prefix = placed(titles, title_id, "_size", "_rank").where(F.col("_rank") <= F.col("_size") - need + 1)
+    follow = F.least(F.col("_size") - F.col("_rank"), F.col("_qsize") - F.col("_qrank")) + 1
+    pairs = placed(queries, query_id, "_qsize", "_qrank").join(prefix, "t").where(follow >= need).select(query_id, title_id).distinct()
     both = pairs.join(queries.select(query_id, F.col("tokens").alias("q")), query_id).join(titles.select(title_id, F.col("tokens").alias("d")), title_id)
     return both.select(query_id, title_id, recall(F.col("d"), F.col("q")).alias("share")).where(F.col("share") >= share)
 

@@ -12,6 +12,7 @@ from quern.functions.geo import haversine
 from quern.sources.sinks import kept
 
 SAME_PLACE_KM = 1e-6
+RADIUS_KM = 6371.0088
 
 
 def distances(stations: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -95,6 +96,13 @@ def exponential(d: np.ndarray, nugget: float, sill: float, reach: float) -> np.n
     return np.where(d == 0, 0.0, nugget + sill * (1 - np.exp(-d / max(reach, 1e-9))))
 
 
+def arcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Kilometres between places (latitude, longitude) of a and of b."""
+    (lat1, lon1), (lat2, lon2) = np.radians(a).T[:, :, None], np.radians(b).T[:, None, :]
+    half = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    return 2 * RADIUS_KM * np.arcsin(np.sqrt(half))
+
+
 def bounded_least_squares(residual, jacobian, start, lower, upper, stride, rounds: int = 2000, tolerance: float = 1e-15) -> np.ndarray:
     """The parameters within bounds that make the sum of squares least, by damped Gauss-Newton steps projected onto the bounds.
 
@@ -167,23 +175,22 @@ def kriging_from(panel: DataFrame, targets: DataFrame, sources: DataFrame, param
     usable = panel.where("value is not null").select(F.col("station_id").alias("donor"), "ts", F.col("value").alias("v"))
     ranked = usable.join(d, "donor").withColumn("rank", F.row_number().over(Window.partitionBy("station_id", "ts").orderBy("km", "donor")))
     sets = ranked.groupBy("station_id", "ts").agg(F.array_join(F.sort_array(F.collect_list("donor")), ",").alias("pattern"))  # at most the stations
-    km = {(r.station_id, r.donor): r.km for r in [*distances(sources).collect(), *distances(targets, sources).collect()]}  # a small dimension
+    spots = {r.station_id: (r.latitude, r.longitude) for r in sources.select("station_id", "latitude", "longitude").unionByName(targets.select("station_id", "latitude", "longitude")).collect()}  # a small dimension
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gamma = (lambda d: 0.0 if d == 0 else params[0] + params[1] * (1 - np.exp(-d / params[2]))) if params else None
         for pdf in batches:
             out = []
             for target, pattern in zip(pdf.station_id, pdf.pattern, strict=True):
                 names = pattern.split(",")
-                if gamma is None or len(names) < 2:
+                if params is None or len(names) < 2:
                     continue
-                n = len(names)
+                n, at = len(names), np.array([spots[x] for x in names])
                 a = np.ones((n + 1, n + 1))
                 a[n, n] = 0
-                a[:n, :n] = [[gamma(km[x, y]) if x != y else 0.0 for y in names] for x in names]
+                a[:n, :n] = exponential(arcs(at, at), *params)
                 if np.linalg.cond(a) > 1e12:
                     continue
-                w = np.linalg.solve(a, np.r_[[gamma(km[target, x]) for x in names], 1.0])[:n]
+                w = np.linalg.solve(a, np.r_[exponential(arcs(np.array([spots[target]]), at)[0], *params), 1.0])[:n]
                 out += [(target, pattern, x, float(v)) for x, v in zip(names, w, strict=True)]
             yield pd.DataFrame(out, columns=["station_id", "pattern", "donor", "w"])
 

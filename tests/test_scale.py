@@ -219,3 +219,16 @@ def test_many_lags_as_one_list_are_the_same(spark, monkeypatch):
     rows = spark.createDataFrame([("a", "b", 50, -3.0, 0.01), ("a", "b", 50, 3.0, 0.01), ("a", "b", 50, 1.0, 0.4), ("a", "b", 3, None, None)], "model_a string, model_b string, n int, dm double, p_value double")
     told = [(r.better, r.said) for r in stats.verdict(rows).collect()]
     assert told == [("a", "a beats b (DM -3.00, p 0.0100, n 50)"), ("b", "b beats a (DM 3.00, p 0.0100, n 50)"), (None, "a and b don't differ (DM 1.00, p 0.4000, n 50)"), (None, "a and b can't be told apart: too few rows")]
+
+
+def test_recall_pairs_are_those_of_all_pairs(spark):
+    from quern.functions import text as tx
+
+    draw = random.Random(13)
+    names = [f"w{i}" for i in range(30)]
+    sets = [(i, sorted({draw.choice(names[: 6 + i % 25]) for _ in range(draw.randrange(0, 9))})) for i in range(60)]
+    df = spark.createDataFrame(sets, "a int, tokens array<string>")
+    for share in (0.3, 0.62, 1.0):
+        want = {(i, j, len(set(q) & set(d)) / len(d)) for i, q in sets for j, d in sets if d and len(set(q) & set(d)) / len(d) >= share}
+        got = {tuple(r) for r in tx.recall_join(df, df.select(F.col("a").alias("b"), "tokens"), "a", "b", share).collect()}
+        assert got == want and (want or share == 1.0)
