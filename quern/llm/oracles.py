@@ -48,6 +48,45 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.c FROM reach JOIN links ON reach.doc_id = links.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY 1, 2"""
 
+_FIELD = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+#: crc32 of a text of ASCII: bytes, each followed by eight steps (-1), are folded into the register.
+_CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({x}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+_FIELDS = " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars")))
+_BESIDE = "coalesce(string_agg(h, '') OVER ({w} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({w} ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, *, {_FIELDS} AS head, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, {_CRC.format(x="CAST(doc_id AS VARCHAR)")} AS crc FROM documents),
+hashed AS (SELECT rid, doc_id, coalesce('=' || source, '') AS g, sha256(head || {_FIELD("text")}) AS leaf, CASE WHEN crc % 5 = 0 THEN sha256(head || {_FIELD("low")}) END AS other FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+up(g, level, idx, h, n) AS (SELECT g, 0, pos, leaf, n FROM leaves UNION ALL SELECT g, level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 15) // 16) FROM up WHERE n > 1 GROUP BY g, level, idx // 16),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(level, idx, h, n) AS (SELECT 0, pos, h, n FROM subroots UNION ALL SELECT level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 15) // 16) FROM top WHERE n > 1 GROUP BY level, idx // 16),
+near AS (SELECT g, level, idx, {_BESIDE.format(w="PARTITION BY g, level, idx // 16")} FROM up WHERE n > 1),
+far AS (SELECT level, idx, {_BESIDE.format(w="PARTITION BY level, idx // 16")} FROM top WHERE n > 1),
+steps AS (SELECT rid, level, l, r FROM leaves JOIN near ON near.g = leaves.g AND near.idx = leaves.pos // CAST(power(16, level) AS BIGINT)
+ UNION ALL SELECT rid, 1000 + level, l, r FROM leaves JOIN subroots ON subroots.g = leaves.g JOIN far ON far.idx = subroots.pos // CAST(power(16, level) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level) AS k FROM steps),
+fold(rid, k, h) AS (SELECT rid, 0, coalesce(other, leaf) FROM leaves UNION ALL SELECT fold.rid, fold.k + 1, sha256(l || h || r) FROM fold JOIN path ON path.rid = fold.rid AND path.k = fold.k + 1),
+folded AS (SELECT rid, arg_max(h, k) AS h FROM fold GROUP BY 1),
+proofs AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY level)) AS p FROM steps GROUP BY 1)
+SELECT doc_id, leaf, subroots.h AS subroot, root.h AS root, coalesce(p, sha256('')) AS proof_sha256, folded.h AS folded_root, folded.h = root.h AS verified
+FROM leaves JOIN subroots USING (g) JOIN folded USING (rid) LEFT JOIN proofs USING (rid) CROSS JOIN (SELECT h FROM top WHERE n = 1) root"""
+
+_PLACE = lambda i: f"CASE WHEN length(t) < {4 - i} THEN 2097151 WHEN substr(t, length(t) - {3 - i}, 1) = ' ' THEN 0 ELSE unicode(substr(t, length(t) - {3 - i}, 1)) END"
+_ORDER = ", ".join(_PLACE(i) for i in (1, 2, 3))
+#: Profiles of all labelled texts: those of the operator as long as no language has more than its 20,000 documents to learn from.
+LANGUAGE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, {_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 5 = 0 AS held_out, trim(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}]+', ' ', 'g'))) AS s FROM documents),
+w AS (SELECT rid, string_split(' ' || s || ' ', '') AS w FROM d WHERE s <> ''),
+g AS (SELECT rid, unnest(w) AS t FROM w UNION ALL SELECT rid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) FROM w UNION ALL SELECT rid, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || w[i + 1] || w[i + 2])) FROM w),
+c AS (SELECT rid, t, count(*) AS n FROM g WHERE trim(t) <> '' AND NOT (length(t) = 3 AND substr(t, 2, 1) = ' ') GROUP BY ALL),
+own AS (SELECT rid, t, row_number() OVER (PARTITION BY rid ORDER BY n DESC, {_ORDER}) - 1 AS r FROM c QUALIFY r < 400),
+learned AS (SELECT lang, t, sum(n) AS n FROM c JOIN d USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+profile AS (SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY n DESC, {_ORDER}) - 1 AS r FROM learned QUALIFY r < 400),
+away AS (SELECT rid, l.lang, sum(coalesce(abs(p.r - own.r), 400)) AS away, count(*) AS n FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.t = own.t GROUP BY ALL),
+best AS (SELECT rid, lang, 1 - CAST(away AS DOUBLE) / (400 * n) AS score FROM away QUALIFY row_number() OVER (PARTITION BY rid ORDER BY away, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM d LEFT JOIN best USING (rid)"""
+
 HARD_NEGATIVES = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -62,5 +101,7 @@ ORACLES = {
     "op6_substring_dedup": SUBSTRINGS,
     "op8_top_k": TOP_K,
     "op9_jaccard_join": JACCARD,
+    "op11_merkle_manifest": MERKLE,
+    "op12_language_id": LANGUAGE,
     "op13_hard_negatives": HARD_NEGATIVES,
 }
