@@ -177,3 +177,19 @@ def test_tuned_study(spark):
     assert scored.where("block <> 'test'").count() == 0
     mean = learned.ensemble(scored).collect()
     assert all(r.n_seeds == 3 for r in mean)
+
+
+def test_ridge_is_the_closed_form(spark):
+    draw = np.random.default_rng(3)
+    n = 120
+    x = draw.normal(size=(n, 3)) * [1.0, 5.0, 0.2] + [0.0, 2.0, -1.0]
+    y = x @ [2.0, -0.3, 4.0] + draw.normal(size=n)
+    data = [(*map(float, r), float(t), "train" if i < 90 else "test", i) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(spark.createDataFrame(data, "a double, b double, c double, target double, block string, i int"))
+    got = [r.pred for r in learned.ridge(df, 0.7).orderBy("i").collect()]
+    # Squares of standardised coefficients, in units of the target's deviation, are added to the mean square.
+    a, t = x[:90], y[:90]
+    s, sy = a.std(axis=0, ddof=1), t.std(ddof=1)
+    centred = a - a.mean(axis=0)
+    beta = np.linalg.solve(centred.T @ centred / 90 + np.diag(0.7 / sy * s**2), centred.T @ (t - t.mean()) / 90)
+    assert got == pytest.approx(list((x[90:] - a.mean(axis=0)) @ beta + t.mean()), rel=2e-2, abs=2e-2)
