@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 8192  # vectors of a block
 QUERY_BLOCK = 16_384  # queries that meet a block in one task
+TOGETHER = 64  # queries whose products with a block are one product of matrices
 SEEDS = 2048  # longest vectors that give the floors
 SEED_VALUES = 1 << 20  # and their components in all
 STEPS = 4  # length groups for each doubling
@@ -85,7 +86,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     All, if there are fewer; ties go to the smaller id. Rows with a null id, a null vector, or a null or non-finite component
     take no part. Vectors meet only those of their own number of components. Of several query rows with one id the one with
     the smallest vector counts; repeated candidate rows count each. An empty table, or none of queries, gives no rows; columns
-    besides the two and what is_query needs are not read.
+    besides the two and what is_query needs are not read. Scores beyond 64 bits are cut to the range of a long.
     """
     spark = vectors.sparkSession
     marked = vectors.select(F.col(id_col).alias("id_"), F.col(vector_col).alias("v_"), is_query.alias("q_"))
@@ -125,13 +126,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             order = np.argsort(-right["norm"].to_numpy(), kind="stable")
             norms, ids, c = right["norm"].to_numpy()[order], right["id"].to_numpy()[order], matrix(right["v"])[order]
             unit = c / np.maximum(norms, 1e-300)[:, None]
-            q = matrix(left["v"])
-            for i, (qid, length, floor) in enumerate(zip(left["qid"].to_pylist(), left["norm"].to_pylist(), left["floor"].to_pylist(), strict=True)):
-                near = candidates(q[i], length, floor if floor is not None else 0.0, unit, norms)
-                near = near[ids[near] != qid]
-                scores = products(q[i : i + 1], c[near])[0]
-                first = best(scores, ids[near], k)
-                out.append((np.full(len(first), qid, np.int64), ids[near][first], scores[first]))
+            for a in range(0, len(left), TOGETHER):
+                part = left.slice(a, TOGETHER)
+                q, qids, floors = matrix(part["v"]), part["qid"].to_pylist(), part["floor"].to_pylist()
+                near = [candidates(v, length, floor if floor is not None else 0.0, unit, norms) for v, length, floor in zip(q, part["norm"].to_pylist(), floors, strict=True)]
+                # One product of matrices over what any of these queries has left; each then takes its own.
+                some = np.zeros(len(norms), bool)
+                for own in near:
+                    some[own] = True
+                kept = np.flatnonzero(some)
+                together = products(q, c[kept])
+                for i, (qid, own) in enumerate(zip(qids, near, strict=True)):
+                    own = own[ids[own] != qid]
+                    scores = together[i, np.searchsorted(kept, own)]
+                    first = best(scores, ids[own], k)
+                    out.append((np.full(len(first), qid, np.int64), ids[own][first], scores[first]))
         qids, found, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         return pa.table({"query_id": qids, "vec_id": found, "score": scores})
 
