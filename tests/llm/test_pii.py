@@ -108,11 +108,11 @@ def test_trusted_patterns_give_values_of_other_shapes(spark):
 
 
 def test_shapes_that_are_held_back_from_the_seeds_are_found(spark, monkeypatch):
-    """Of the planted keys only those that begin with a digit below 8 are seeds; patterns have to give the others."""
+    """Of the planted keys only those in lower case that begin with a digit or an a are seeds; patterns have to give the others."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where(F.contains("text", F.lit("oken = ")) | (F.col("doc_id") % 10 == 0))
-    monkeypatch.setattr(P, "SECRET", r"^(?:[0-7][0-9a-f]{39})$")
+    monkeypatch.setattr(P, "SECRET", r"^(?:[0-9a][0-9a-f]{39})$")
     rows = docs.collect()
     keys = {(r.doc_id, m.start(1), m.end(1)) for r in rows for m in re.finditer(r'(?i:token) = "([0-9a-fA-F]{40})"', r.text or "")}
     held = {k for k in keys if not re.match(P.SECRET, next(r.text for r in rows if r.doc_id == k[0])[k[1] : k[2]])}
     found = {(r.doc_id, s["start"], s["end"]) for r in P.find(docs, trusted=P.patterns(docs)).collect() for s in r.spans if s["rank"] == 4}
-    assert len(held) > 60 and len(found & held) >= 0.95 * len(held) and found <= keys
+    assert len(held) > 30 and len(found & held) >= 0.95 * len(held) and found <= keys
