@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -50,7 +50,7 @@ def columns(tier: str, static: list[str]) -> list[str]:
 
 
 def design(daily: DataFrame, static: DataFrame | None = None) -> DataFrame:
-    """Features with the block of each row, written once; missing values are training medians.
+    """Features with the block of each row, written once; missing values are training medians (approximate; 0 where training has no value).
 
     static: (station_id, ...) with numbers that don't change. The vector x holds the linear model's inputs. by_city: for each
     city the day's sum of the target and its count.
@@ -63,7 +63,8 @@ def design(daily: DataFrame, static: DataFrame | None = None) -> DataFrame:
     full = full.join(static, "station_id", "left") if own else full
     numbers = [*dict.fromkeys([*INPUTS, *LAGS, *CALENDAR, *FORECAST, *SATELLITE, *own])]
     full = full.withColumns({c: F.col(c).cast("double") for c in numbers})
-    full = Imputer(strategy="median", inputCols=numbers, outputCols=numbers).fit(full.where("block = 'train'")).transform(full)
+    medians = full.where("block = 'train'").agg(*[F.percentile_approx(c, 0.5).alias(c) for c in numbers]).first().asDict()
+    full = full.fillna({c: 0.0 if m is None else m for c, m in medians.items()})
     # Bagging draws rows by their place: sorted files make a seed give the same model again.
     return kept(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(full).orderBy("station_id", "date"), "design")
 
@@ -121,6 +122,7 @@ def tuned(rows: DataFrame, names: list[str], settings: list[dict] | None = None,
     """Settings chosen on the validation block alone, refitted on training and validation rows."""
     x = assembled(rows, names)
     own = regressor(trees, 5, 0, share)
+    own.set(own.validationTol, 0.0)  # small steps gain little each: stop where the error rises, not where it falls slowly
     return FixedSplit(estimator=own, settings=GRID if settings is None else settings, splitCol="block", parallelism=parallel).fit(x)
 
 

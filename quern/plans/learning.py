@@ -66,8 +66,8 @@ def settled(chosen: dict) -> Column:
     return F.lit(", ".join(f"{k}={v}" for k, v in sorted(chosen.items())))
 
 
-def tuned_cities(spark: SparkSession, sf: str, tier: str = "retrospective", seeds: tuple[int, ...] = (0, 1, 2, 3, 4)):
-    """(test rows with pred, seed, params and val_rmse; each city's models) of Task N: tuned without the city."""
+def tuned_cities(spark: SparkSession, sf: str, tier: str = "retrospective", seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """Test rows with pred, seed, params and val_rmse of Task N: tuned without the city."""
     rows = design(spark, sf)
     names = [*learned.columns(tier, STATIC), *learned.SPATIAL]
 
@@ -78,17 +78,16 @@ def tuned_cities(spark: SparkSession, sf: str, tier: str = "retrospective", seed
     cities = learned.folds(rows)
     done = learned.at_once([lambda c=c: study(c) for c in cities], 3)  # each tunes in a pool of its own
     parts = [p.withColumns({"params": settled(best.chosen), "val_rmse": F.lit(float(min(best.errors)))}) for p, best, _ in done]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, {c: (models, learned.without_city(rows, c)) for c, (_, _, models) in zip(cities, done, strict=True)}, names
+    none = rows.limit(0).select("city", "target", F.lit(0.0).alias("pred"), F.lit(0).alias("seed"), F.lit("").alias("params"), F.lit(0.0).alias("val_rmse"))
+    for p in parts:  # none, where no city has enough rows
+        none = none.unionByName(p.select(*none.columns))
+    return none
 
 
 @query()
 def task_n_tuned(spark: SparkSession, sf: str) -> DataFrame:
     """Sixteen settings for each held-out city, chosen on the validation block of the others, refitted for five seeds."""
-    scored, _, _ = tuned_cities(spark, sf)
-    return learned.score(scored, ["city", "seed", "params", "val_rmse"])
+    return learned.score(tuned_cities(spark, sf), ["city", "seed", "params", "val_rmse"])
 
 
 @query()
@@ -105,7 +104,8 @@ def task_f_tuned(spark: SparkSession, sf: str) -> DataFrame:
 
 def explained(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """(fold, station_id, date, shap, base) of the test rows, from each fold's first seed; and the features' names."""
-    rows, out = design(spark, sf), None
+    rows = design(spark, sf)
+    out = rows.limit(0).select(F.lit("").alias("fold"), "station_id", "date", F.array().cast("array<double>").alias("shap"), F.lit(0.0).alias("base"))
     names = [*learned.columns("retrospective", STATIC), *learned.SPATIAL]
 
     def fit(city: str):
@@ -115,7 +115,7 @@ def explained(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
         return attribution.explain(model, test, ["fold", "station_id", "date"])
 
     for part in learned.at_once([lambda c=c: fit(c) for c in learned.folds(rows)]):
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out, names
 
 
