@@ -20,7 +20,7 @@ def dm_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     return with_p(stats.diebold_mariano(losses(spark, sf), ["station_id"], 23)).select("station_id", "n", r("dm"), r("p_value"))
 
 
-NORMAL = "1 - 2 * least(abs(z), 9.0) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(least(abs(z), 9.0) * i / 400.0, 2) / 2)))"
+NORMAL = "CASE WHEN z IS NOT NULL THEN 1 - 2 * least(abs(z), 9.0) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(least(abs(z), 9.0) * i / 400.0, 2) / 2))) END"
 
 
 @query(f"WITH {RANKS}, zs AS (SELECT city, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / nullif(sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM s) SELECT city, n1, n2, round(z, 5) AS z, round({NORMAL}, 5) AS p_value FROM zs")
