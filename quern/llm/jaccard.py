@@ -268,21 +268,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), parts, grams], names=["key", "parts", "grams"])
 
     raw = small_batches(docs).mapInArrow(run, "key long, parts array<smallint>, grams array<long>")
-    sets = written(raw.groupBy("key").agg(F.first("parts").alias("parts"), F.first("grams").alias("grams")), "shingle-sets")
+    # Sets stay where they are written. A class may be given by more than one document: the first in the order of writing stands
+    # for it, which integers alone tell, and pairs name sets by their place in that order.
+    sets = written(raw.withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
+    first = written(sets.groupBy("key").agg(F.min("uid").alias("uid")), "set-places")
+    one, two = (first.select(F.col("key").alias(k), F.col("uid").alias(f"u{k}")) for k in "ab")
+    numbered = written(pairs.join(one, "a").join(two, "b").select("a", "b", "ua", "ub"), "numbered")
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
-        one, two = (sets.select(F.col("key").alias(k), F.col(column).alias(f"{k}_own")) for k in "ab")
-        return pairs.join(two, "b").join(one, "a")
+        one, two = (sets.select(F.col("uid").alias(f"u{k}"), F.col(column).alias(f"{k}_own")) for k in "ab")
+        return pairs.join(two, "ub").join(one, "ua")
 
     counted_out = lambda c: F.array_max(c) >= COUNTED  # noqa: E731  (a part that isn't counted out bounds nothing)
     total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x.cast("int"))
     both = total(F.zip_with("a_own", "b_own", lambda x, y: F.least(x, y)))
     possible = counted_out("a_own") | counted_out("b_own") | ((100 + share) * both >= share * (total("a_own") + total("b_own")))
-    near = written(joined(pairs, "parts").where(possible).select("a", "b"), "near")
+    near = written(joined(small(numbered), "parts").where(possible).select("a", "b", "ua", "ub"), "near")
     common = F.size(F.array_intersect("a_own", "b_own"))
     alike = (100 + share) * common.cast("long") >= share * (F.size("a_own") + F.size("b_own")).cast("long")
     links = written(joined(small(near), "grams").where(alike).select("a", "b"), "links")
-    free(spark, sets, near)
+    free(spark, sets, first, numbered, near)
     return links
 
 
