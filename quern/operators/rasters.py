@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.geo import haversine
 
 RADIUS_KM = 6371.0088
+SHARES = 16  # tasks that share a cube's stations
 
 
 def bounding_box(places: DataFrame, pad: float = 0.5) -> DataFrame:
@@ -58,30 +61,57 @@ def daily_composite(slices: DataFrame, keys: list[str], cell: str, value: str) -
     return by_cell.groupBy(*keys).agg(F.avg("_v").alias("value"), F.count("_v").alias("valid_cells"))
 
 
-def near_cells(stations: DataFrame, cells: DataFrame, most_km: float) -> DataFrame:
-    """cells with station_id and km, for each station within most_km of a cell.
+def spots(stations: DataFrame) -> DataFrame:
+    """(at_lat, at_lon): the stations' different positions."""
+    return stations.select(F.col("latitude").alias("at_lat"), F.col("longitude").alias("at_lon")).distinct()
+
 
-    The globe is cut into cubes with edges of most_km; a station is filed under the 27 around it and a cell under its own, so
-    only neighbours meet. Arcs are never shorter than chords, so no cell within reach is missed.
+def near_cells(at: DataFrame, cells: DataFrame, most_km: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """cells with the columns of `at` (at_lat, at_lon, ...) and km, for each position of it within most_km of a cell; columns of `on` must be equal (or both null).
+
+    The globe is cut into cubes with edges of most_km; a position is filed under the 27 around it and a cell under its own, so
+    only neighbours meet. Arcs are never shorter than chords, so no cell within reach is missed. A cube's positions are dealt to
+    SHARES tasks, and each has the cube's cells: wide buffers give few cubes. Products of unit vectors leave out most pairs before the arc is taken.
     """
     edge = lambda x: F.floor(RADIUS_KM * x / most_km).cast("long")
-    lat, lon = F.radians("latitude"), F.radians("longitude")
-    x, y, z = edge(F.cos(lat) * F.cos(lon)), edge(F.cos(lat) * F.sin(lon)), edge(F.sin(lat))
-    around = F.array(*[F.struct((x + i).alias("_x"), (y + j).alias("_y"), (z + k).alias("_z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    own = stations.select("station_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.explode(around).alias("_c")).select("station_id", "_lat", "_lon", "_c.*")
-    km = haversine(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
-    met = cells.withColumns({"_x": x, "_y": y, "_z": z}).join(own, ["_x", "_y", "_z"]).withColumn("km", km).where(F.col("km") <= most_km)
-    return met.drop("_x", "_y", "_z", "_lat", "_lon")
+
+    def unit(latitude: str, longitude: str) -> tuple[Column, Column, Column]:
+        lat, lon = F.radians(latitude), F.radians(longitude)
+        return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+
+    spark = cells.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # by number: little data, much work
+    keys = ["_x", "_y", "_z", "_share", *(["_on"] if on else [])]
+    image = {"_on": F.struct(*on)} if on else {}
+    u, v, w = unit("at_lat", "at_lon")
+    around = F.array(*[F.struct((edge(u) + i).alias("_x"), (edge(v) + j).alias("_y"), (edge(w) + k).alias("_z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    own = at.withColumns({"_u": u, "_v": v, "_w": w, "_share": F.pmod(F.xxhash64("at_lat", "at_lon"), F.lit(SHARES)), **image, "_c": F.explode(around)}).select("*", "_c.*").drop("_c", *on).repartition(tasks, *keys)
+    p, q, r = unit("latitude", "longitude")
+    there = cells.withColumns({**image, "_p": p, "_q": q, "_r": r, "_x": edge(p), "_y": edge(q), "_z": edge(r), "_share": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))}).repartition(tasks, *keys)
+    least = math.cos(min(most_km / RADIUS_KM, math.pi)) - 1e-9  # more than the products' error
+    met = there.join(own, keys).where(F.col("_u") * F.col("_p") + F.col("_v") * F.col("_q") + F.col("_w") * F.col("_r") >= least)
+    met = met.withColumn("km", haversine(F.col("at_lat"), F.col("at_lon"), F.col("latitude"), F.col("longitude"))).where(F.col("km") <= most_km)
+    return met.drop(*keys, "_u", "_v", "_w", "_p", "_q", "_r")
+
+
+def at_stations(stations: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """(station_id, ...): what was found at positions (at_lat, at_lon), for each station there."""
+    where = [F.col("latitude") == F.col("at_lat"), F.col("longitude") == F.col("at_lon")]
+    return stations.select("station_id", "latitude", "longitude").join(found, where, how).drop("latitude", "longitude", "at_lat", "at_lon")
 
 
 def rings(stations: DataFrame, cells: DataFrame, value: str, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """(station_id, <name>, n_<name>, ...): mean and count of the cells in each ring (inner, outer] of km; an inner bound below 0
     makes a disc. All rings come from one scan of the cells; stations without a cell in a ring have a null mean and 0.
+
+    Cells of one position are summed before they meet stations, and stations of one position meet them once.
     """
-    met = near_cells(stations, cells, max(outer for _, outer in bounds.values()))
-    inside = {name: F.when((F.col("km") > inner) & (F.col("km") <= outer), F.col(value)) for name, (inner, outer) in bounds.items()}
-    found = met.groupBy("station_id").agg(*[a for name, v in inside.items() for a in (F.avg(v).alias(name), F.count(v).alias(f"n_{name}"))])
-    return stations.select("station_id").join(found, "station_id", "left").fillna(0, [f"n_{name}" for name in bounds])
+    summed = cells.groupBy("latitude", "longitude").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    met = near_cells(spots(stations), summed, max(outer for _, outer in bounds.values()))
+    inside = {name: (F.col("km") > inner) & (F.col("km") <= outer) for name, (inner, outer) in bounds.items()}
+    sums = met.groupBy("at_lat", "at_lon").agg(*[F.sum(F.when(i, F.col(c))).alias(f"{c}_{name}") for name, i in inside.items() for c in ("_s", "_n")])
+    found = sums.select("at_lat", "at_lon", *[c for name in bounds for c in ((F.col(f"_s_{name}") / F.nullif(F.col(f"_n_{name}"), F.lit(0))).alias(name), F.col(f"_n_{name}").alias(f"n_{name}"))])
+    return at_stations(stations, found, "left").fillna(0, [f"n_{name}" for name in bounds])
 
 
 def ring_mean(stations: DataFrame, cells: DataFrame, inner_km: float, outer_km: float, value: str) -> DataFrame:

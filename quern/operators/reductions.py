@@ -11,8 +11,9 @@ from typing import TypeVar
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quern.operators.rasters import near_cells
+from quern.operators import rasters, specs
 from quern.operators.specs import REDUCERS
+from quern.sources.sinks import kept
 
 T = TypeVar("T")
 FEATURES = "struct<features:array<struct<properties:struct<station_id:string,date:string,value:double,count:long>>>>"
@@ -47,12 +48,31 @@ def tidy(answers: DataFrame, scale: float = 1.0, fixture: bool = False, json_col
     return read.select("p.station_id", F.to_date("p.date").alias("date"), (F.col("p.value") * scale).alias("value"), F.col("p.count").alias("valid_px"), F.lit(fixture).alias("fixture"))
 
 
+#: Statistics of cells of one position, from which those of more cells follow.
+MERGED = {"mean", "count", "max", "min", "stdDev"}
+
+
 def reduce_at(stations: DataFrame, cells: DataFrame, buffer_km: float, keys: list[str], value: str, statistics: list[str]) -> DataFrame:
     """(station_id, *keys, <statistic>, ...) over the cells within a buffer around each station, for each image (keys).
 
-    A station without a cell in an image has no row. Cells and stations meet through the spatial index, in one scan.
+    A station without a cell in an image has no row. Cells and stations meet through the spatial index; stations of one position
+    meet the cells once, and cells of one position and image are merged before, except for a median. Deviations are from the mean
+    of a first pass, so a large mean takes no digits from them.
     """
-    return near_cells(stations, cells, buffer_km).groupBy("station_id", *keys).agg(*[REDUCERS[s](value).alias(s) for s in statistics])
+    at, by = rasters.spots(stations), ["at_lat", "at_lon", *keys]
+    if not MERGED.issuperset(statistics):
+        return rasters.at_stations(stations, specs.reduced(rasters.near_cells(at, cells, buffer_km), by, value, statistics), "inner")
+    v = F.col(value)
+    merged = cells.groupBy("latitude", "longitude", *keys).agg(F.sum(v).alias("_s"), F.count(v).alias("_n"), F.max(v).alias("_max"), F.min(v).alias("_min"), F.avg(v).alias("_m"), F.var_pop(v).alias("_var"))
+    sums = rasters.near_cells(at, merged, buffer_km).groupBy(*by).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("count"), F.max("_max").alias("max"), F.min("_min").alias("min"))
+    found = sums.withColumn("mean", F.col("_s") / F.nullif(F.col("count"), F.lit(0)))
+    if "stdDev" in statistics:
+        found = kept(found, "sums")
+        off = F.col("_m") - F.col("mean")
+        met = rasters.near_cells(found.select(*by, "mean"), merged, buffer_km, tuple(keys))
+        sd = met.groupBy(F.struct(*by).alias("_by")).agg(F.sum(F.col("_n") * (F.col("_var") + off * off)).alias("_d"))  # structs: a null key is one, too
+        found = found.withColumn("_by", F.struct(*by)).join(sd, "_by").withColumn("stdDev", F.sqrt(F.col("_d") / F.nullif(F.col("count"), F.lit(0))))
+    return rasters.at_stations(stations, found.select(*by, *statistics), "inner")
 
 
 def unzipped(archives: DataFrame, suffix: str = ".nc") -> DataFrame:

@@ -232,3 +232,26 @@ def test_recall_pairs_are_those_of_all_pairs(spark):
         want = {(i, j, len(set(q) & set(d)) / len(d)) for i, q in sets for j, d in sets if d and len(set(q) & set(d)) / len(d) >= share}
         got = {tuple(r) for r in tx.recall_join(df, df.select(F.col("a").alias("b"), "tokens"), "a", "b", share).collect()}
         assert got == want and (want or share == 1.0)
+
+
+def crowded(spark, monkeypatch):
+    """Stations and cells with many copies of few positions, and the sizes of what meets in near_cells."""
+    from quern.operators import rasters
+
+    met, plain = [], rasters.near_cells
+    monkeypatch.setattr(rasters, "near_cells", lambda at, cells, *how: met.append((at.count(), cells.count())) or plain(at, cells, *how))
+    st = spark.range(300).select(F.concat(F.lit("s"), "id").alias("station_id"), (F.col("id") % 3 * 1.0).alias("latitude"), F.lit(10.0).alias("longitude"))
+    k = F.col("id")
+    cells = spark.range(2000).select((k % 4 * 1.0).alias("latitude"), F.lit(10.0).alias("longitude"), F.when(k % 2 == 0, "a").alias("image"), (1e9 + k % 7).alias("value"))
+    return st, cells, met
+
+
+def test_rings_meet_each_position_once(spark, monkeypatch):
+    from quern.operators import rasters
+
+    st, cells, met = crowded(spark, monkeypatch)
+    got = {r.station_id: r for r in rasters.rings(st, cells, "value", {"disc": (-1.0, 150.0)}).collect()}
+    assert met == [(3, 4)] and len(got) == 300
+    for s, near in (("s0", (0, 1)), ("s1", (0, 1, 2)), ("s2", (1, 2, 3)), ("s299", (1, 2, 3))):
+        own = [1e9 + k % 7 for k in range(2000) if k % 4 in near]
+        assert got[s].n_disc == len(own) and got[s].disc == pytest.approx(sum(own) / len(own), rel=1e-14)
