@@ -255,3 +255,19 @@ def test_rings_meet_each_position_once(spark, monkeypatch):
     for s, near in (("s0", (0, 1)), ("s1", (0, 1, 2)), ("s2", (1, 2, 3)), ("s299", (1, 2, 3))):
         own = [1e9 + k % 7 for k in range(2000) if k % 4 in near]
         assert got[s].n_disc == len(own) and got[s].disc == pytest.approx(sum(own) / len(own), rel=1e-14)
+
+
+def test_reductions_meet_each_position_once(spark, monkeypatch):
+    from quern.operators import reductions
+
+    st, cells, met = crowded(spark, monkeypatch)
+    names = ["mean", "count", "max", "min", "stdDev"]
+    got = {(r.station_id, r.image): r for r in reductions.reduce_at(st, cells, 150.0, ["image"], "value", names).collect()}
+    assert met == [(3, 4), (6, 4)] and len(got) == 600  # an image for each half of the positions, one of them named null
+    for (s, image), r in got.items():
+        lat = int(s[1:]) % 3
+        own = [1e9 + k % 7 for k in range(2000) if abs(k % 4 - lat) <= 1 and (image == "a") == (k % 2 == 0)]
+        mean = sum(own) / len(own)
+        sd = math.sqrt(sum((v - mean) ** 2 for v in own) / len(own))
+        assert (r["count"], r["max"], r["min"]) == (len(own), max(own), min(own)) and r["mean"] == pytest.approx(mean, rel=1e-14) and r["stdDev"] == pytest.approx(sd, rel=1e-6)
+    assert reductions.reduce_at(st, cells, 150.0, ["image"], "value", ["median", "mean"]).count() == 600
