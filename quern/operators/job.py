@@ -41,7 +41,7 @@ def merged_feeds(panel: DataFrame, stations: DataFrame, metres: float = 150.0) -
     ones by their smallest id have it appended.
     """
     here = stations.join(panel.select("station_id").distinct(), "station_id", "left_semi")
-    found = qc.components(qc.colocated_pairs(here.select(F.col("station_id").alias("id"), "latitude", "longitude"), metres), here.select(F.col("station_id").alias("id")))
+    found = qc.components(qc.colocated_links(here.select(F.col("station_id").alias("id"), "latitude", "longitude"), metres), here.select(F.col("station_id").alias("id")))
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
     first = Window.partitionBy("city").orderBy("component")
     named = here.select(F.col("station_id").alias("id"), "city").join(found, "id").join(sizes, "component")

@@ -43,6 +43,16 @@ def test_clusters_are_single_link(spark):
     assert sorted(tuple(r) for r in qc.colocated_clusters(df).collect()) == [(1, 4, "1,2,3,4"), (5, 2, "5,6")]
 
 
+def test_clusters_link_copies_of_a_position_once(spark):
+    step = 111 / 111_195
+    k = F.col("id")
+    df = spark.range(900).select("id", (41.0 + k % 3 * step).alias("latitude"), F.when(k == 899, float("nan")).otherwise(69.0 + k.cast("int") % 2).alias("longitude"))
+    links = qc.colocated_links(df)
+    assert links.count() == 899 - 6 + 4  # six positions, of which two and two are neighbours on each meridian
+    got = {r.component: (r.n, r.ids) for r in qc.colocated_clusters(df).collect()}
+    assert got == {c: (len(own), ",".join(map(str, own))) for c, own in ((0, range(0, 900, 2)), (1, range(1, 899, 2)))}
+
+
 def test_moved_ids(spark):
     df = spark.createDataFrame([("x", -12.5, 30.25), ("x", -13.0, 31.0), ("y", 41.0, 69.0)], "location_id string, latitude double, longitude double")
     assert {r.location_id: r.verdict for r in qc.moved_ids(df).collect()} == {"x": "reject", "y": "pass"}
