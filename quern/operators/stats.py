@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quern.operators.grid import mid_ranks, positions
+from quern.sources.sinks import kept
 
 
 MANY = 48  # lags; more are taken as one list a row instead of a column each
@@ -155,8 +156,11 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(*keys, n, rho) of mid-ranks, ranked as in mann_whitney(). Keys with a null drop out."""
-    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    """(*keys, n, rho) of mid-ranks, ranked as in mann_whitney(). Keys with a null drop out.
+
+    The values are written once: ranks are joined on them, and a mean that is worked out again may differ in its last digit.
+    """
+    x = kept(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")), "ranked")
     for c in ("_a", "_b"):
         x = x.join(mid_ranks(x, keys, c).select(*keys, c, F.col("rank").alias(f"_r{c}")), [*keys, c])
     return x.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_r_a", "_r_b").alias("rho"))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +286,9 @@ def test_components_raise_when_rounds_run_out(spark):
     nodes = spark.range(31).selectExpr("cast(id as int) as id")
     with pytest.raises(RuntimeError):
         grid.components(edges, nodes, rounds=2)
+
+
+def test_spearman_of_values_that_differ_when_worked_out_again(spark):
+    draw = F.udf(lambda k: random.random() + k, "double").asNondeterministic()
+    df = spark.range(200).select((F.col("id") % 2).alias("k"), draw("id").alias("a"), F.col("id").cast("double").alias("b"))
+    assert [r.n for r in stats.spearman(df, ["k"], "a", "b").collect()] == [100, 100]
