@@ -53,8 +53,10 @@ def design(daily: DataFrame, static: DataFrame | None = None) -> DataFrame:
     """Features with the block of each row, written once; missing values are training medians (approximate; 0 where training has no value).
 
     static: (station_id, ...) with numbers that don't change. The vector x holds the linear model's inputs. by_city: for each
-    city the day's sum of the target and its count.
+    city the day's sum of the target and its count. daily is worked out once, then read: it has a row a station and date, however
+    many rows it was made of.
     """
+    daily = kept(daily, "daily")
     day = daily.where("target is not null").groupBy("date", "city").agg(F.sum("target").alias("s"), F.count("*").alias("n")).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("city", F.struct("s", "n")))).alias("by_city"))  # cities are few
     full = features.local_lags(daily).join(features.neighbours(daily).select("station_id", "date", "nb_mean"), ["station_id", "date"]).withColumns(features.calendar(F.col("date")))
     full = full.withColumn("block", splits.block_of(F.col("date").cast("timestamp_ntz"), splits.DAILY_BLOCKS)).where(F.col("target").isNotNull())

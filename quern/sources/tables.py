@@ -86,12 +86,13 @@ def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(station_id, city, date, target, n, aod, valid_px, forecast): one row for each nation and ship date."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer, nation = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation")
-    joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == customer.c_custkey)
-    by = joined.groupBy(F.col("c_nationkey").alias("k"), F.to_date("l_shipdate").alias("date")).agg(
-        F.avg("l_quantity").alias("target"), F.count("*").alias("n"), F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_tax"))).alias("aod"),
-        F.count_if(F.col("l_returnflag") == "R").alias("valid_px"), (F.avg("l_extendedprice") / 1500).alias("forecast"),
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customer, nation = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), table(spark, sf_dir, "nation")
+    buyers = orders.join(customer, orders.o_custkey == customer.c_custkey).select("l_orderkey", "k")  # first, so that lines move once
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_tax", (F.col("l_returnflag") == "R").alias("returned"))
+    by = line.join(buyers, "l_orderkey").groupBy("k", "date").agg(
+        F.avg("l_quantity").alias("target"), F.count("*").alias("n"), F.avg(F.when(F.col("returned"), F.col("l_tax"))).alias("aod"),
+        F.count_if("returned").alias("valid_px"), (F.avg("l_extendedprice") / 1500).alias("forecast"),
     )
     names = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("station_id"), F.concat(F.lit("r"), "n_regionkey").alias("city"))
     return by.join(names, "k").drop("k")

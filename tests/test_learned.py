@@ -193,3 +193,19 @@ def test_ridge_is_the_closed_form(spark):
     centred = a - a.mean(axis=0)
     beta = np.linalg.solve(centred.T @ centred / 90 + np.diag(0.7 / sy * s**2), centred.T @ (t - t.mean()) / 90)
     assert got == pytest.approx(list((x[90:] - a.mean(axis=0)) @ beta + t.mean()), rel=2e-2, abs=2e-2)
+
+
+def test_design_works_daily_rows_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    seen = F.udf(count, "double")
+    k = F.col("id")
+    daily = spark.range(900).select(
+        F.concat(F.lit("s"), k % 3).alias("station_id"), F.concat(F.lit("c"), k % 3).alias("city"), F.date_add(F.lit("1998-06-01").cast("date"), (k / 3).cast("int")).alias("date"),
+        seen(k.cast("double")).alias("target"), (k * 1.0).alias("forecast"), (k * 0.5).alias("aod"), (k % 4).alias("valid_px"),
+    )
+    assert learned.design(daily).count() == 900 and made.value == 900
