@@ -24,8 +24,8 @@ def countries(spark: SparkSession, sf: str) -> DataFrame:
     broken = ((kind == 1) & (F.col("page") == 2)) | ((kind == 2) & (F.col("page") == 1))
     base = new_path(spark, "pages")
     paged.store(pages.withColumn("value", F.when(broken, "<html>").otherwise(F.col("value"))), base)
-    names = [f"n{x.n_nationkey}" for x in n.select("n_nationkey").orderBy("n_nationkey").collect()]  # a row for each country
-    parts = [{**paged.locations(k), "path": f"part={k}"} for k in names]
+    sizes = n.join(s, s.s_nationkey == n.n_nationkey, "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n")).orderBy("n_nationkey").collect()  # a row for each country
+    parts = [{**paged.locations(f"n{x.n_nationkey}"), "path": f"part=n{x.n_nationkey}", "max_pages": max(paged.MOST_PAGES, x.n // LIMIT + 1)} for x in sizes]
     return spark.read.format("paged").option("base", base).option("limit", LIMIT).option("parts", paged.parts_json(parts)).load()
 
 

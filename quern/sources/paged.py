@@ -8,7 +8,7 @@ part `partial`; a part whose first page fails is `failed`, and the other parts a
 one row without a record that has its status: records() and outcomes() take the two kinds apart.
 
 `base` is an http(s) address (?page= and ?limit= are added), or a folder that workers can open, with pages under
-<part's path>/page=<number>/, as Spark writes them.
+<part's path>/page=<number>/, or many together under <part's path>/book=<number>/, as store() writes them: a line for each page.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ TRIES, WAIT_LEAST, WAIT_MOST = 4, 2.0, 30.0
 #: The only time filters that the service honours; it ignores others without a word.
 TIME_FILTERS = ("datetime_from", "datetime_to")
 MOST_PAGES = 1000
+BOOK = 100  # pages that are stored together, and read together
 
 
 class PageError(Exception):
@@ -81,13 +82,26 @@ def fetch_http(base: str, path: str, params: dict[str, str], headers: dict[str,
     raise PageError(f"{last}, {TRIES} times")
 
 
-def fetch_stored(base: str, path: str, params: dict[str, str]) -> dict:
+def _texts(base: str, path: str) -> list[bytes]:
+    """The contents of a folder's files; none if it isn't there."""
     from pyarrow import fs
 
-    where = f"{base.rstrip('/')}/{path}/page={params['page']}"
+    where = f"{base.rstrip('/')}/{path}"
     store, folder = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
     found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    texts = [store.open_input_stream(f.path).read() for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith((".", "_"))]
+    return [store.open_input_stream(f.path).read() for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith((".", "_"))]
+
+
+def fetch_stored(base: str, path: str, params: dict[str, str], held: dict | None = None) -> dict:
+    """A page's payload, from its book or its own folder. held keeps the last book that was read, for the pages after."""
+    held, number = {} if held is None else held, int(params["page"])
+    key = (base, path, (number - 1) // BOOK)
+    if held.get("key") != key:
+        lines = b"\n".join(_texts(base, f"{path}/book={key[2]}")).splitlines()
+        held["key"], held["pages"] = key, {p["page"]: p.get("value", "") for p in map(json.loads, filter(None, lines))}
+    if number in held["pages"]:
+        return json.loads(held["pages"][number])
+    texts = _texts(base, f"{path}/page={number}")
     if not texts:
         raise PageError(f"page {params['page']} isn't there")
     return json.loads(b"".join(texts))
@@ -110,6 +124,7 @@ class PagedReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]):
         self.base, self.parts = options["base"], json.loads(options["parts"])
+        self.held: dict = {}
         self.limit, self.key, self.scale = int(options.get("limit", "1000")), options.get("key"), float(options.get("waitscale", "1"))
 
     def partitions(self) -> list[InputPartition]:
@@ -120,7 +135,7 @@ class PagedReader(DataSourceReader):
             params = {**part.params, "limit": str(self.limit), "page": str(number)}
             payload = fetch_http(self.base, part.path, params, {"X-API-Key": self.key} if self.key else {}, scale=self.scale)
         else:
-            payload = fetch_stored(self.base, part.path, {"page": str(number)})
+            payload = fetch_stored(self.base, part.path, {"page": str(number)}, self.held)
         results = payload.get("results") if isinstance(payload, dict) else None
         if results is not None and not isinstance(results, list):
             raise PageError("results is no list")
@@ -169,5 +184,6 @@ def paged(rows: DataFrame, part_path: Column, order: str, record: Column, limit:
 
 
 def store(pages: DataFrame, base: str) -> None:
-    """Write pages (path, page, value) so that the source finds them: a folder for each path and page."""
-    pages.withColumnRenamed("path", "part").repartition("part", "page").write.partitionBy("part", "page").text(base)
+    """Write pages (path, page, value) so that the source finds them: a folder for each path and book of pages, so that files are few."""
+    books = pages.select(F.col("path").alias("part"), F.floor((F.col("page") - 1) / BOOK).alias("book"), F.to_json(F.struct("page", "value")).alias("line"))
+    books.repartition("part", "book").write.partitionBy("part", "book").text(base)

@@ -141,3 +141,15 @@ def test_decisions_are_told_by_station(spark):
     said = qc.decisions_block(out, "Panel", feeds(spark)).splitlines()
     assert said[0] == "# Panel" and "* a: in" in said and "* b: out" in said
     assert any("Q7: reject" in line for line in said) and any("Q1: flag" in line for line in said)
+
+
+def test_more_stored_pages_than_a_service_may_have(spark, tmp_path):
+    from quern.plans.ingestion import census_outcomes
+
+    n = 3 * (paged.MOST_PAGES + 5) + 1
+    spark.range(n).select(F.col("id").alias("s_suppkey"), F.lit("x").alias("s_name"), F.lit(0).alias("s_nationkey")).write.parquet(f"file://{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "ZERO"), (5, "NONE")], "n_nationkey int, n_name string").write.parquet(f"file://{tmp_path}/nation.parquet")
+    assert sorted(tuple(r) for r in census_outcomes(spark, f"file://{tmp_path}").collect()) == [("n0", n, "complete"), ("n5", 0, "failed")]
+    few = spark.range(250).select(F.lit("a").alias("path"), (F.col("id") + 1).cast("int").alias("page"), F.lit('{"results": []}').alias("value"))
+    paged.store(few, f"file://{tmp_path}/p")
+    assert len(list((tmp_path / "p").rglob("part-*"))) == 3  # 100 pages a file
