@@ -6,6 +6,7 @@ which a fold's neighbour columns follow without its held-out city. Fits of city,
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -32,6 +33,7 @@ OTHER = "static_geography"
 #: The grid of settings (step, depth as 2^5 and 2^6 leaves, rows of a leaf, share of features), and what a fold needs.
 GRID = [{"stepSize": s, "maxDepth": d, "minInstancesPerNode": n, "featureSubsetStrategy": f} for s, d, n, f in product([0.03, 0.08], [5, 6], [20, 40], ["0.7", "0.9"])]
 LEAST = {"train": 200, "val": 50, "test": 30}
+TASK_ROWS = 32_768  # of a design in a task: trees are many small jobs, which cost by their tasks
 
 
 def family(name: Column) -> Column:
@@ -57,6 +59,7 @@ def design(daily: DataFrame, static: DataFrame | None = None) -> DataFrame:
     many rows it was made of.
     """
     daily = kept(daily, "daily")
+    tasks = max(1, math.ceil(daily.count() / TASK_ROWS))
     day = daily.where("target is not null").groupBy("date", "city").agg(F.sum("target").alias("s"), F.count("*").alias("n")).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("city", F.struct("s", "n")))).alias("by_city"))  # cities are few
     full = features.local_lags(daily).join(features.neighbours(daily).select("station_id", "date", "nb_mean"), ["station_id", "date"]).withColumns(features.calendar(F.col("date")))
     full = full.withColumn("block", splits.block_of(F.col("date").cast("timestamp_ntz"), splits.DAILY_BLOCKS)).where(F.col("target").isNotNull())
@@ -67,8 +70,8 @@ def design(daily: DataFrame, static: DataFrame | None = None) -> DataFrame:
     full = full.withColumns({c: F.col(c).cast("double") for c in numbers})
     medians = full.where("block = 'train'").agg(*[F.percentile_approx(c, 0.5).alias(c) for c in numbers]).first().asDict()
     full = full.fillna({c: 0.0 if m is None else m for c, m in medians.items()})
-    # Bagging draws rows by their place: sorted files make a seed give the same model again.
-    return kept(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(full).orderBy("station_id", "date"), "design")
+    # Bagging draws rows by their place: files by hash, sorted, make a seed give the same model again.
+    return kept(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(full).repartition(tasks, "station_id", "date").sortWithinPartitions("station_id", "date"), "design")
 
 
 def without_city(rows: DataFrame, held_out: str) -> DataFrame:

@@ -135,8 +135,9 @@ def shap_by_family(spark: SparkSession, sf: str) -> DataFrame:
 
 def losses(spark: SparkSession, sf: str) -> DataFrame:
     """Squared errors of the boosted ensemble (la) and the forecast less the other cities' bias (lb), by test row."""
-    scored = learned.ensemble(learned.leave_city_out(design(spark, sf), STATIC, ("retrospective",), trees=TREES))
-    days = target(spark, sf)
+    days = kept(target(spark, sf), "days")
+    rows = learned.design(days, static(spark, sf))
+    scored = learned.ensemble(learned.leave_city_out(rows, STATIC, ("retrospective",), trees=TREES))
     bias = ft.station_bias(days, TRAIN_END)
     pooled = ft.pooled_bias(bias, days.select("station_id", "city").distinct())
     both = scored.join(days.select("station_id", "date", "forecast"), ["station_id", "date"]).join(pooled, F.col("city") == F.col("held_out_city"))

@@ -209,3 +209,21 @@ def test_design_works_daily_rows_out_once(spark):
         seen(k.cast("double")).alias("target"), (k * 1.0).alias("forecast"), (k * 0.5).alias("aod"), (k % 4).alias("valid_px"),
     )
     assert learned.design(daily).count() == 900 and made.value == 900
+
+
+def test_design_is_dealt_by_its_rows(spark, monkeypatch):
+    """Each fit is many small jobs, so a task gets many rows; how many tasks there are doesn't hang on the session."""
+    daily = daily_rows(spark)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        whole = learned.design(daily)
+        assert len(whole.inputFiles()) == 1 and whole.count() == 1200
+        monkeypatch.setattr(learned, "TASK_ROWS", 300)
+        dealt = learned.design(daily)
+        assert len(dealt.inputFiles()) == 4
+        assert sorted(dealt.select("station_id", "date").collect()) == sorted(whole.select("station_id", "date").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
