@@ -1,9 +1,10 @@
 """HTML extraction with wrappers that are inferred by host.
 
 A wrapper is a union-free regular expression over a page's tokens: tags, text slots, optional groups (...)? and repeated
-groups (...)+. It is inferred from a bounded sample of a host's pages: the first page is the first wrapper; each further
-page's token stream is aligned with it, and a mismatch becomes a slot (two different texts), a repeated group (one side goes
-on with another copy of what came just before) or an optional group (one side has what the other lacks).
+groups (...)+. All different pages of a host are dealt into blocks of a few. In each, the first page is the first wrapper; each
+further page's token stream is aligned with it, and a mismatch becomes a slot (two different texts), a repeated group (one side goes
+on with another copy of what came just before) or an optional group (one side has what the other lacks). The host's wrapper has
+what more than half of its blocks' wrappers have.
 
 The wrapper decides what main text is. Spark sums up the text in its slots over all of the host's pages: the main part is the
 innermost element of the wrapper that holds most of what varies outside of links, and the pages' h1; whatever varies
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from quern.llm.store import written
 from quern.llm.tokens import small_batches
 
-SAMPLE_PAGES = 6  # of a host, to find candidates
+BLOCK_PAGES = 6  # of a host in a block, at least if it has as many
+HOSTS = 200_000  # of a table by host that is broadcast; more are joined by shuffle
 LEAST_PAGES = 3  # that show what is the same on all of a host's pages
 MOST_PAGES = 0.8  # of a host's pages with different main text have what is its template's
 MOST_TEXT = 0.5  # of what varies on a host's pages lies in their main part
@@ -423,20 +425,35 @@ def host_key(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(rows: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, tags, fixed): the tags of the wrapper of at most `sample` different pages of a host, picked by hash, and its fixed texts."""
-    known = rows.select("host", F.xxhash64("html").alias("h"), "html").where(F.length("html") > 0)
-    # Picked on hashes alone, by one partial aggregate: a hot host's pages are gathered nowhere.
-    picks = [F.min_by("h", F.xxhash64("h", F.lit(r))) for r in range(sample)]
-    kept = written(known.groupBy("host").agg(F.array_distinct(F.array(*picks)).alias("h")).select("host", F.explode("h").alias("h")), "sample")
-    chosen = known.join(F.broadcast(kept) if kept.count() <= 200_000 else kept, ["host", "h"], "left_semi")
-    some = chosen.dropDuplicates(["host", "h"])
+def wrappers(rows: DataFrame, size: int = BLOCK_PAGES) -> DataFrame:
+    """(host, tags, fixed): tags and fixed texts that more than half of the wrappers of a host's blocks have.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wrapper = infer(pdf.sort_values("h")["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tags": [sorted(wrapper_tags(wrapper))], "fixed": [sorted(fixed_texts(wrapper))]})
+    Each different page is in one block, by its hash; a host has a block for each `size` pages. Fixed texts are those of most
+    blocks of at least LEAST_PAGES, as fewer pages don't show any.
+    """
+    known = rows.select("host", F.xxhash64("html").alias("h"), "html").where(F.length("html") > 0)
+    # Blocks are counted on hashes alone, and copies collapse before pages are moved: a hot host's pages are gathered nowhere.
+    n = known.select("host", "h").distinct().groupBy("host").agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / size)).alias("n"))
+    n = written(n, "blocks")
+    dealt = known.join(F.broadcast(n) if n.count() <= HOSTS else n, "host").withColumn("block", F.expr("pmod(h, n)"))
+    some = small_batches(dealt.groupBy("host", "block").agg(F.collect_set("html").alias("pages")))
 
-    return some.groupBy("host").applyInPandas(run, "host string, tags array<string>, fixed array<string>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for host, pages in zip(pdf["host"], pdf["pages"], strict=True):
+                wrapper = infer(sorted(pages, key=digest))
+                enough = len(pages) >= LEAST_PAGES
+                found += [(host, "block", "", enough), *[(host, "tag", x, enough) for x in wrapper_tags(wrapper)], *[(host, "fixed", x, enough) for x in fixed_texts(wrapper)]]
+            yield pd.DataFrame(found, columns=["host", "kind", "what", "enough"])
+
+    votes = some.mapInPandas(run, "host string, kind string, what string, enough boolean").groupBy("host", "kind", "what").agg(F.count("*").alias("n"), F.count_if("enough").alias("some"))
+    votes = written(votes, "votes")
+    of = votes.where("kind = 'block'").select("host", F.col("n").alias("blocks"), F.col("some").alias("telling"))
+    most = votes.where("kind <> 'block'").join(F.broadcast(of) if of.count() <= HOSTS else of, "host").where("kind = 'tag' and 2 * n > blocks or kind = 'fixed' and 2 * some > telling")
+    told = most.groupBy("host").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("what")))).alias(name) for k, name in (("tag", "tags"), ("fixed", "fixed"))])
+    none = F.array().cast("array<string>")
+    return of.select("host").join(told, "host", "left").select("host", F.coalesce("tags", none).alias("tags"), F.coalesce("fixed", none).alias("fixed"))
 
 
 def _by_host(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:

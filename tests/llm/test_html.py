@@ -143,3 +143,13 @@ def test_a_main_part_that_is_the_body_leaves_it_to_names(spark):
     spread = lambda i: f"<html><body><article><p>Own {i}</p></article>{''.join(f'<{t}><p>Other text {i}</p></{t}>' for t in ('section', 'div', 'table', 'ul', 'dl'))}</body></html>"
     df = spark.createDataFrame([(i, "http://s/", spread(i)) for i in range(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: f"Own {i}" for i in range(8)}
+
+
+def test_all_pages_of_a_host_make_its_wrapper(spark):
+    """A page in twenty says something else where the others say the same: whichever pages come first, that is fixed."""
+    said = lambda i, k: f"{'lorem ipsum dolor ' * 5}{i} {k}"
+    note = lambda i: f"Printed by {i}" if i % 20 == 0 else "Printed by us"
+    page = lambda host, i: f"<html><body id={host}><div class=k><h1>Title {i}</h1><div><p>{said(i, 1)}</p><blockquote>{said(i, 2)}</blockquote></div><address>{note(i)}</address></div></body></html>"
+    df = spark.createDataFrame([(1000 * h + i, f"https://h{h}/", page(f"h{h}", i)) for h in range(12) for i in range(80)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert got == {1000 * h + i: f"Title {i}\n{said(i, 1)}\n{said(i, 2)}" + (f"\nPrinted by {i}" if i % 20 == 0 else "") for h in range(12) for i in range(80)}
