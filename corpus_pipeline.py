@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm import decontaminate, jaccard, pieces, pii, toxicity
 from quern.llm.queries import PIECES, held_out, table
-from quern.llm.store import clear, mark, written
+from quern.llm.store import clear, mark, seen_in, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SENT = 1_000_000  # keys that are broadcast; more are joined by shuffle
@@ -23,8 +23,8 @@ SENT = 1_000_000  # keys that are broadcast; more are joined by shuffle
 
 def without(docs: DataFrame, key: Column, gone: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
     """The documents whose key isn't among gone's (column k)."""
-    gone = written(gone.distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= SENT else gone
+    gone = written(gone.distinct(), "gone", rows=F.count(F.lit(1)))
+    gone = F.broadcast(gone) if seen_in(gone)["rows"] <= SENT else gone
     return docs.withColumn("_k", key).join(gone, F.col("_k") == F.col("k"), "left_anti").select(*columns)
 
 
@@ -61,8 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def _near(docs: DataFrame) -> DataFrame:
     """k of the documents that aren't the first of their component."""
-    found = written(jaccard.near_components(docs), "near")
-    return found.where("doc_id <> component_id").select(F.col("doc_id").alias("k"))
+    return jaccard.near_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("k"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.store import free, written
+from quern.llm.store import free, seen_in, written
 from quern.llm.tokens import LOWERED, Words, grams, mix, slices, small_batches, words_of
 
 CELLS = (1 << 19, 1 << 23)  # counters of shingles, at least and at most: a byte each where they are broadcast
@@ -228,9 +228,14 @@ def _across(places: DataFrame, share: int) -> DataFrame:
 SENT = 1_000_000  # rows of keys that are broadcast; more are joined by shuffle
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows: some pairs of integers each."""
-    return F.broadcast(df) if df.count() <= SENT else df
+def counted(df: DataFrame, name: str, **seen: Column) -> DataFrame:
+    """written(), its rows counted meanwhile."""
+    return written(df, name, rows=F.count("*"), **seen)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table whose rows were seen, to be broadcast if it has few: some pairs of integers each."""
+    return F.broadcast(table) if seen_in(table)["rows"] <= SENT else table
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, share: int, salt: int) -> DataFrame:
@@ -242,8 +247,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
     spark = docs.sparkSession
     pairs = small(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    keys = written(classes.join(small(written(keys, "keys")), "key").select(F.col("key").bitwiseXOR(F.coalesce("least", F.lit(0))).alias("x")), "wanted")
-    bits = min(MOST_BITS, 1 << max(16, (16 * keys.count()).bit_length()))
+    keys = counted(classes.join(small(counted(keys, "keys")), "key").select(F.col("key").bitwiseXOR(F.coalesce("least", F.lit(0))).alias("x")), "wanted")
+    bits = min(MOST_BITS, 1 << max(16, (16 * seen_in(keys)["rows"]).bit_length()))
     slot = F.pmod(F.col("x"), F.lit(bits))
     words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("x"))
     bitmap, found = np.zeros(bits // 64, np.uint64), words.toArrow()  # at most MOST_BITS / 64 rows
@@ -273,7 +278,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
     sets = written(raw.withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
     first = written(sets.groupBy("key").agg(F.min("uid").alias("uid")), "set-places")
     one, two = (first.select(F.col("key").alias(k), F.col("uid").alias(f"u{k}")) for k in "ab")
-    numbered = written(pairs.join(one, "a").join(two, "b").select("a", "b", "ua", "ub"), "numbered")
+    numbered = counted(pairs.join(one, "a").join(two, "b").select("a", "b", "ua", "ub"), "numbered")
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
         one, two = (sets.select(F.col("uid").alias(f"u{k}"), F.col(column).alias(f"{k}_own")) for k in "ab")
@@ -283,7 +288,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, sha
     total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x.cast("int"))
     both = total(F.zip_with("a_own", "b_own", lambda x, y: F.least(x, y)))
     possible = counted_out("a_own") | counted_out("b_own") | ((100 + share) * both >= share * (total("a_own") + total("b_own")))
-    near = written(joined(small(numbered), "parts").where(possible).select("a", "b", "ua", "ub"), "near")
+    near = counted(joined(small(numbered), "parts").where(possible).select("a", "b", "ua", "ub"), "near")
     common = F.size(F.array_intersect("a_own", "b_own"))
     alike = (100 + share) * common.cast("long") >= share * (F.size("a_own") + F.size("b_own")).cast("long")
     links = written(joined(small(near), "grams").where(alike).select("a", "b"), "links")
@@ -300,11 +305,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregate and the rest a join, so a node with very many neighbours is gathered nowhere.
     """
     spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    known = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", sum=known)
     before = None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        state = seen_in(now)
+        if state == before or not state["rows"]:
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -313,7 +319,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = written(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        older, now = now, written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        older, now = now, counted(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", sum=known)
         free(spark, older, large)
     else:
         raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
@@ -341,8 +347,8 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
         rows = written(_rows(df, n, salt, n_cells), "shingles")
         own = rows.where("block is null").select("id", "n", "key")
         found = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), (F.min(F.struct("n", "key2")) != F.max(F.struct("n", "key2"))).alias("clash"))
-        classes = written(found, "classes")
-        if classes.where("clash").isEmpty():
+        classes = written(found, "classes", clashes=F.count_if("clash"))
+        if not seen_in(classes)["clashes"]:
             break
         free(spark, rows, classes)
         salt += 1
@@ -350,24 +356,24 @@ def near_components(docs: DataFrame, n: int = 5, share: int = 75, id_col: str =
     rarity = _rarity(rows, n_cells)
     grouped = written(_grouped(_entries(texts, n, share, rarity, salt), share), "grouped")
     a, b = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
-    star = written(grouped.where("hub is not null").select(a, b).distinct(), "pairs")
+    star = counted(grouped.where("hub is not null").select(a, b).distinct(), "pairs")
     links = _verified(df, star, classes, n, share, salt)
-    tied = written(components(links), "components")
+    tied = counted(components(links).withColumnRenamed("node", "key"), "components")
 
     # What is left: pairs of other members of a group that lie in different components.
-    places = grouped.where("h is not null").select("h", "key", "place").join(small(tied.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    places = grouped.where("h is not null").select("h", "key", "place").join(small(tied), "key", "left").withColumn("component", F.coalesce("component", "key"))
     counts = places.groupBy("h", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
-    places = written(places.join(small(written(main, "mixed")), "h"), "places")
+    places = written(places.join(small(counted(main, "mixed")), "h"), "places")
     free(spark, grouped)
     cross = _across(places, share)
-    cross = written(cross.join(small(star), ["a", "b"], "left_anti"), "pairs")
+    cross = counted(cross.join(small(star), ["a", "b"], "left_anti"), "pairs")
     free(spark, places, star)
-    if not cross.isEmpty():
-        tied = written(components(links.unionByName(_verified(df, cross, classes, n, share, salt))), "components")
+    if seen_in(cross)["rows"]:
+        tied = written(components(links.unionByName(_verified(df, cross, classes, n, share, salt))).withColumnRenamed("node", "key"), "components")
     free(spark, cross, links)
 
-    classes = classes.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    classes = classes.join(tied, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.select("key", "component").join(least, "component").select("key", "component_id")
     linked = own.where("n > 0").join(named, "key").select("id", "n", "key", "component_id")

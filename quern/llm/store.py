@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,17 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
 _PATHS: list[str] = []  # of tables that were written and not deleted, oldest first
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back: cuts lineage, and survives lost executors."""
+def written(df: DataFrame, name: str, **seen: Column) -> DataFrame:
+    """Write df once as Parquet into the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    seen: aggregates over all rows, taken while they are written; seen_in() has them without a query of their own, as each
+    query leaves plans, classes and threads in the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    counts = Observation() if seen else None
+    (df.observe(counts, *[c.alias(k) for k, c in seen.items()]) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    out._seen = counts.get if seen else {}
     _PATHS.append(path)
     return out
 
 
+def seen_in(table: DataFrame) -> dict:
+    """What was seen while a table of written() was written."""
+    return table._seen
+
+
 def mark() -> int:
     """A place in the list of written tables, for clear()."""
     return len(_PATHS)

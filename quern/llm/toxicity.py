@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quern.llm.store import written
-from quern.llm.tokens import ALNUM, Words, mix, slices, small_batches, words_of, _UP
+from quern.llm.tokens import ALNUM, Words, mix, release, slices, small_batches, words_of, _UP
 
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)  # bytes
 SEGMENT = 48  # words of a training sequence
@@ -324,7 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, mos
         seen = _part(words, other)
         at, weights = model.events(seen)
         x[other] = summed(seen, at, model.marginals(seen, at, weights))
-    return ToxicityModel(_train_field(words, y, even, least, odds, rounds, most_features), _logistic(x, y, true))
+    fitted = ToxicityModel(_train_field(words, y, even, least, odds, rounds, most_features), _logistic(x, y, true))
+    del sample, words, model, seen, at, weights
+    release()  # the driver goes on after the fit
+    return fitted
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, others: tuple[str, ...] = (), with_spans: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from quern.llm import jaccard as J
+from quern.llm.store import seen_in
 from tests.llm import brute
 
 ODD = [None, "", " \n", "one", "ONE", "one two three", "one Two three", "a b c d e", "x " * 40_000, "y" * 400_000]
@@ -69,3 +70,17 @@ def test_op9_on_the_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op9_jaccard_join(spark, sf).collect())
     assert got == sorted(brute.jaccard_components(docs))
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    """Each query leaves plans, classes and threads in the driver: counts of written tables have none of their own."""
+    context = spark.sparkContext
+    docs = spark.createDataFrame(cases(9)[:60], "doc_id long, text string")
+    context.setJobGroup("near", "near")
+    try:
+        J.near_components(docs)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("near")) <= 106  # 118 with queries for the counts
+    few, none = J.counted(spark.range(7), "few"), J.counted(spark.range(7).where("id > 9"), "none")
+    assert J.small(few).count() == 7 and seen_in(few) == {"rows": 7} and seen_in(none) == {"rows": 0}
